@@ -41,15 +41,43 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratakeep.llm.statistics import held_out
+    from stratakeep.llm.toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratakeep.llm.near_documents import near_documents
 
     return near_documents(table(spark, sf_dir, "documents"), shingle=4).drop("n_links")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratakeep.llm.decision_list import fit, quality_rules
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratakeep.llm.additive_model import fit_quality, score_quality
+    from stratakeep.llm.statistics import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op9_near_documents": op9_near_documents,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -28,11 +28,11 @@ _U = np.uint64
 _BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 20240229
 
 
-@lru_cache(1)
-def _byte_codes() -> np.ndarray:
-    """A random 64-bit code for each byte, the same for both cases of A-Z."""
+@lru_cache(2)
+def _byte_codes(fold: bool) -> np.ndarray:
+    """A random 64-bit code for each byte; with fold, the same for both cases of A-Z."""
     codes = np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-    return codes[_FOLD]
+    return codes[_FOLD] if fold else codes
 
 
 _powers: list[np.ndarray] = []
@@ -81,17 +81,29 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, self.row_at)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, case of A-Z ignored."""
+    def hashes(self, fold: bool = True) -> np.ndarray:
+        """A 64-bit hash of each word; with fold, the case of A-Z is ignored."""
         powers, inverses = _base_powers(len(self.data))
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_byte_codes()[self.data] * powers[: len(self.data)], out=sums[1:])
+        np.cumsum(_byte_codes(fold)[self.data] * powers[: len(self.data)], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def per_row(self, marked: np.ndarray) -> np.ndarray:
+        """How many of each row's bytes are marked."""
+        sums = np.zeros(len(marked) + 1, np.int64)
+        np.cumsum(marked, out=sums[1:])
+        return sums[self.row_at[1:]] - sums[self.row_at[:-1]]
+
+    def words_per_row(self, marked: np.ndarray) -> np.ndarray:
+        """How many of each row's words are marked."""
+        sums = np.zeros(len(marked) + 1, np.int64)
+        np.cumsum(marked, out=sums[1:])
+        return sums[self.first[1:]] - sums[self.first[:-1]]
+
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether these n are in one row."""
         total = len(hashes)
