@@ -50,6 +50,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stratakeep.llm.tokenise import digest, tokenise_to_files
+
+    return digest(tokenise_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408))
+
+
 def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratakeep.llm.near_documents import near_documents
 
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op6_token_files": op6_token_files,
     "op9_near_documents": op9_near_documents,
     "op10_quality_classifier": op10_quality_classifier,
 }
