@@ -71,8 +71,45 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return full.mapInArrow(_verified(threshold), "a long, b long")
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _within(threshold: int) -> Callable:
+    """Of one block pair's members: the links across components, by the shared elements of all at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, component, block = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "component", "block"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table.column("elements").chunks for x in chunk]
+        sizes = np.array([len(s) for s in sets])
+        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        often = counts[column] > 1  # what only one member has, no two share
+        owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+        shared, width = np.zeros((len(sets), len(sets)), np.float32), max(1, (8 << 20) // len(sets))
+        for low in range(0, int(column.max()) + 1 if len(column) else 0, width):
+            here = (column >= low) & (column < low + width)
+            has = np.zeros((len(sets), min(width, int(column.max()) + 1 - low)), np.float32)
+            has[owner[here], column[here] - low] = 1
+            shared += has @ has.T
+        both_blocks = (block[:, None] != block[None, :]) | (block.min() == block.max())
+        ok = (100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)) & (ids[:, None] < ids[None, :]) & (component[:, None] != component[None, :]) & both_blocks
+        x, y = np.nonzero(ok)
+        return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
+
+    return run
+
+
+def across_components(open_: DataFrame, sets: DataFrame, threshold: int, block: int = 256) -> DataFrame:
+    """Links (a, b) between members of one band that are in different components.
+
+    open_: (key, id, component). A band's members are dealt into blocks of about `block`, and each
+    pair of blocks is one group, so that no group grows with the band; inside a group the sets are
+    compared there and then, and only links come out.
+    """
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    blocks = F.ceil(F.col("members") / block)
+    dealt = open_.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
+    dealt = dealt.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = dealt.join(sets, "id").select("key", "i", "j", "id", "component", "block", "elements")
+    return full.groupBy("key", "i", "j").applyInArrow(_within(threshold), "a long, b long").distinct()
 
 
 def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -81,32 +118,24 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshol
     items: id long, n long (its set's size), bands array<long> (null: none). sets_of gets a frame
     of ids and gives (id, elements: sorted uint64 as binary).
 
-    Sets that share a band are candidates. Pairs of a band aren't enumerated at first: all its
-    members are held against one leader, the member that meets most others over all bands (in a
-    group of near copies the text they derive from). Where the links found leave a band's members
-    in more than one component, the pairs across those components are held against each other.
-    No candidate pair that could join two components is left out.
+    Sets that share a band are candidates. First all members of a band are held against one
+    leader, the member that meets most others over all bands (in a group of near copies the text
+    they derive from). Where the links found leave a band's members in more than one component,
+    its members are compared across components, in blocks. No candidate pair that could join two
+    components is left out, and no pairs but links and those with a leader become rows.
     """
-    # n differs by more than the threshold allows: no link, whatever the sets hold
-    near = (100 * F.least("n", "other_n") >= threshold * F.greatest("n", "other_n"))
-    rows = items.where("n > 0").select("id", "n", F.explode("bands").alias("key"))
+    rows = items.where("n > 0").select("id", F.explode("bands").alias("key"))
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialise(rows.join(crowded, "key"), "bands")
     score = members.groupBy("id").agg(F.sum("members").alias("score"))
-    lead = members.join(score, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("lead"))
-    lead = lead.select("key", F.col("lead.id").alias("other"), F.col("lead.n").alias("other_n"))
-    first = materialise(members.join(lead, "key").where((F.col("id") != F.col("other")) & near).select(*_pair("id", "other")).distinct(), "pairs")
-    members_ids = members.select("id").distinct()
-    sets = materialise(sets_of(members_ids), "sets")
-    found = materialise(verify(first, sets, threshold), "links")
-    groups = components(found)
-
-    placed = members.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    lead = members.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("other"))
+    pairs = members.join(lead, "key").where(F.col("id") != F.col("other"))
+    pairs = materialise(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
+    sets = materialise(sets_of(members.select("id").distinct()), "sets")
+    found = materialise(verify(pairs, sets, threshold), "links")
+
+    placed = members.join(components(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     open_ = materialise(placed.join(mixed, "key"), "open")
-    other = open_.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-    across = open_.join(other, "key").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("other_component")) & near)
-    across = across.select(*_pair("id", "other")).distinct().join(first, ["a", "b"], "left_anti")
-    found = found.unionByName(verify(materialise(across, "pairs"), sets, threshold))
-    found = materialise(found, "links")
+    found = materialise(found.unionByName(across_components(open_, sets, threshold)), "links")
     return found, components(found)
