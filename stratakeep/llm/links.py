@@ -38,21 +38,30 @@ def min_max(elements: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key a band of `rows` signature values (int64); the band's number is part of it."""
-    bands = signature.astype(np.uint64)[: len(signature) // rows * rows].reshape(-1, rows)
-    key = np.arange(1, len(bands) + 1, dtype=np.uint64)
+    """One 64-bit key a band of `rows` signature values (int64); the band's number is part of it.
+
+    signature: the values of one set, or a row for each of several.
+    """
+    count = signature.shape[-1] // rows
+    bands = signature[..., : count * rows].astype(np.uint64).reshape(*signature.shape[:-1], count, rows)
+    key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), bands.shape[:-1])
     for k in range(rows):
-        key = mix(key * _U(0x9E3779B97F4A7C15) ^ bands[:, k])
+        key = mix(key * _U(0x9E3779B97F4A7C15) ^ bands[..., k])
     return key.view(np.int64)
 
 
-def _verified(threshold: int) -> Callable:
+def sorted_set(body: pa.Buffer) -> np.ndarray:
+    """The set whose sorted uint64 elements these bytes are."""
+    return np.frombuffer(body, np.uint64)
+
+
+def _verified(threshold: int, to_set: Callable) -> Callable:
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))
             keep = []
             for k in range(batch.num_rows):
-                s, t = (np.frombuffer(c[k].as_buffer(), np.uint64) for c in (x, y))
+                s, t = (to_set(c[k].as_buffer()) for c in (x, y))
                 both = np.concatenate([s, t])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -64,19 +73,19 @@ def _verified(threshold: int) -> Callable:
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def verify(pairs: DataFrame, bodies: DataFrame, threshold: int, to_set: Callable = sorted_set) -> DataFrame:
     """The pairs (a, b) whose full sets meet 100 * |intersection| >= threshold * |union|."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
-    full = left.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(_verified(threshold), "a long, b long")
+    left = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a")
+    full = left.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
+    return full.mapInArrow(_verified(threshold, to_set), "a long, b long")
 
 
-def _within(threshold: int) -> Callable:
+def _within(threshold: int, to_set: Callable) -> Callable:
     """Of one block pair's members: the links across components, by the shared elements of all at once."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, component, block = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "component", "block"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table.column("elements").chunks for x in chunk]
+        sets = [to_set(x.as_buffer()) for chunk in table.column("body").chunks for x in chunk]
         sizes = np.array([len(s) for s in sets])
         _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -96,7 +105,7 @@ def _within(threshold: int) -> Callable:
     return run
 
 
-def across_components(open_: DataFrame, sets: DataFrame, threshold: int, block: int = 256) -> DataFrame:
+def across_components(open_: DataFrame, bodies: DataFrame, threshold: int, to_set: Callable = sorted_set, block: int = 256) -> DataFrame:
     """Links (a, b) between members of one band that are in different components.
 
     open_: (key, id, component). A band's members are dealt into blocks of about `block`, and each
@@ -108,15 +117,15 @@ def across_components(open_: DataFrame, sets: DataFrame, threshold: int, block:
     dealt = open_.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
     dealt = dealt.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = dealt.join(sets, "id").select("key", "i", "j", "id", "component", "block", "elements")
-    return full.groupBy("key", "i", "j").applyInArrow(_within(threshold), "a long, b long").distinct()
+    full = dealt.join(bodies, "id").select("key", "i", "j", "id", "component", "block", "body")
+    return full.groupBy("key", "i", "j").applyInArrow(_within(threshold, to_set), "a long, b long").distinct()
 
 
-def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: int = 80) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], threshold: int = 80, to_set: Callable = sorted_set) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between items, and the components (id, component) they make.
 
-    items: id long, n long (its set's size), bands array<long> (null: none). sets_of gets a frame
-    of ids and gives (id, elements: sorted uint64 as binary).
+    rows: (id long, key long), an item's band keys; repeated rows do no harm. bodies_of gets a
+    frame of ids and gives (id, body binary), of which to_set makes an item's sorted set.
 
     Sets that share a band are candidates. First all members of a band are held against one
     leader, the member that meets most others over all bands (in a group of near copies the text
@@ -124,18 +133,18 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshol
     its members are compared across components, in blocks. No candidate pair that could join two
     components is left out, and no pairs but links and those with a leader become rows.
     """
-    rows = items.where("n > 0").select("id", F.explode("bands").alias("key"))
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialise(rows.join(crowded, "key"), "bands")
+    members = materialise(rows.join(crowded, "key").distinct(), "bands")
     score = members.groupBy("id").agg(F.sum("members").alias("score"))
     lead = members.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("other"))
     pairs = members.join(lead, "key").where(F.col("id") != F.col("other"))
     pairs = materialise(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
-    sets = materialise(sets_of(members.select("id").distinct()), "sets")
-    found = materialise(verify(pairs, sets, threshold), "links")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bodies = materialise(bodies_of(used), "bodies")
+    found = materialise(verify(pairs, bodies, threshold, to_set), "links")
 
     placed = members.join(components(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     open_ = materialise(placed.join(mixed, "key"), "open")
-    found = materialise(found.unionByName(across_components(open_, sets, threshold)), "links")
+    found = materialise(found.unionByName(across_components(open_, bodies, threshold, to_set)), "links")
     return found, components(found)

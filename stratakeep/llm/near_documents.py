@@ -39,7 +39,7 @@ def _sets(shingle: int):
     def run(batches):
         for batch in chunks(batches, "text"):
             sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1), shingle)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "body"])
 
     return run
 
@@ -67,12 +67,12 @@ def near_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, permu
     # a document's id stands for its set; rows of one doc_id with several texts link through it
     alike = signed.where(usable).groupBy(key).agg(F.min("doc_id").alias("id"))
     chosen = alike.join(signed.where(usable).select(*key, F.col("doc_id").alias("id"), "bands"), [*key, "id"]).dropDuplicates([*key, "id"])
-    chosen = materialise(chosen.select("id", "n", "bands", "low", "high"), "chosen")
+    chosen = materialise(chosen.select("id", "bands"), "chosen")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return texts.join(ids, texts.doc_id == ids.id, "left_semi").mapInArrow(_sets(shingle), "id long, elements binary").dropDuplicates(["id"])
+        return texts.join(ids, texts.doc_id == ids.id, "left_semi").mapInArrow(_sets(shingle), "id long, body binary").dropDuplicates(["id"])
 
-    links, groups = linked(chosen, sets_of, threshold)
+    links, groups = linked(chosen.select("id", F.explode("bands").alias("key")), sets_of, threshold)
     count = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     alike = alike.join(groups, "id", "left").join(count, "id", "left")
     alike = alike.select(*key, F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -58,12 +58,35 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(tokenise_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratakeep.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratakeep.llm.mixing import schedule
+
+    return schedule(table(spark, sf_dir, "documents")).drop("slots")
+
+
 def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratakeep.llm.near_documents import near_documents
 
     return near_documents(table(spark, sf_dir, "documents"), shingle=4).drop("n_links")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratakeep.llm.lines import removed_lines
+
+    docs = table(spark, sf_dir, "documents")
+    found = removed_lines(docs).select(F.col("doc_id").alias("d"), "n_compared", "removed")
+    lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    out = docs.select("doc_id", lines.alias("n_lines")).join(found, F.col("doc_id") == F.col("d"), "left")
+    removed = F.coalesce("removed", F.array().cast("array<long>"))
+    return out.select("doc_id", "n_lines", F.coalesce("n_compared", F.lit(0)).cast("long").alias("n_compared"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratakeep.llm.decision_list import fit, quality_rules
 
@@ -82,9 +105,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
+    "op7_licence_scan": op7_licence_scan,
+    "op8_mix_sources": op8_mix_sources,
     "op9_near_documents": op9_near_documents,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -83,10 +83,24 @@ class Words:
 
     def hashes(self, fold: bool = True) -> np.ndarray:
         """A 64-bit hash of each word; with fold, the case of A-Z is ignored."""
-        powers, inverses = _base_powers(len(self.data))
+        return self.spans(self.starts, self.ends, fold)
+
+    def _sums(self, fold: bool) -> np.ndarray:
+        """Prefix sums of the bytes' codes times powers of a base, modulo 2**64."""
+        powers, _ = _base_powers(len(self.data))
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_byte_codes(fold)[self.data] * powers[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
+        return sums
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+        """A 64-bit hash of each span of bytes."""
+        sums, (_, inverses) = self._sums(fold), _base_powers(len(self.data))
+        return mix((sums[ends] - sums[starts]) * inverses[starts])
+
+    def windows(self, n: int, fold: bool = True) -> np.ndarray:
+        """A 64-bit hash of the n bytes from each byte on (of fewer at the end of data)."""
+        at = np.arange(len(self.data))
+        return self.spans(at, np.minimum(at + n, len(self.data)), fold)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
