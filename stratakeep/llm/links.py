@@ -105,7 +105,7 @@ def _within(threshold: int, to_set: Callable) -> Callable:
     return run
 
 
-def across_components(open_: DataFrame, bodies: DataFrame, threshold: int, to_set: Callable = sorted_set, block: int = 256) -> DataFrame:
+def across_components(open_: DataFrame, bodies: DataFrame, threshold: int, to_set: Callable = sorted_set, block: int = 512) -> DataFrame:
     """Links (a, b) between members of one band that are in different components.
 
     open_: (key, id, component). A band's members are dealt into blocks of about `block`, and each
