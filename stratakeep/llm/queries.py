@@ -76,6 +76,12 @@ def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir, "documents"), shingle=4).drop("n_links")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratakeep.llm.pages import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratakeep.llm.lines import removed_lines
 
@@ -105,6 +111,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_main_text": op2_main_text,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
