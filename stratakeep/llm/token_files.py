@@ -161,8 +161,8 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, bits: int):
-        self.path, self.bits = path, bits
+    def __init__(self, path: str, bits: int, dtype: str):
+        self.path, self.bits, self.dtype = path, bits, dtype
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Shard:
         from pyspark import TaskContext
@@ -175,7 +175,7 @@ class _Writer(DataSourceArrowWriter):
                     store.create_dir(folder, recursive=True)
                     sink = store.open_output_stream(f"{folder}/{name}")
                     writer = ShardWriter(sink, self.bits)
-                got = np.frombuffer(ids.as_buffer(), "<u4") if ids.is_valid else np.zeros(0, "<u4")
+                got = np.frombuffer(ids.as_buffer(), self.dtype) if ids.is_valid else np.zeros(0, self.dtype)
                 writer.add(doc_id, got)
                 n, docs = n + len(got), docs + 1
         if writer:
@@ -232,7 +232,8 @@ class _Reader(DataSourceReader):
 class PackedTokens(DataSource):
     """Spark's format "packed_tokens": columns doc_id, start (ids before the document), ids (uint32 as binary).
 
-    Writing takes (doc_id, ids) in the order of the partitions and the option bits; only the
+    Writing takes (doc_id, ids) in the order of the partitions, and the options bits and idType (of
+    ids as they come, <u4 by default); only the
     manifest, written after all tasks succeeded, makes shards part of the data set, so a task that
     runs twice leaves an unnamed file at most.
     """
@@ -245,17 +246,17 @@ class PackedTokens(DataSource):
         return "doc_id long, start long, ids binary"
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], int(self.options["bits"]))
+        return _Writer(self.options["path"], int(self.options["bits"]), self.options.get("idtype", "<u4"))
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options["path"], int(self.options.get("idsPerTask", 4_000_000)))
 
 
-def write_tokens(tokens: DataFrame, path: str, vocabulary: int) -> None:
-    """Write (doc_id long, ids: uint32 as binary) in ascending doc_id order (nulls first), ties by ids."""
+def write_tokens(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u4") -> None:
+    """Write (doc_id long, ids: of this type, as binary) in ascending doc_id order (nulls first), ties by ids."""
     tokens.sparkSession.dataSource.register(PackedTokens)
     ordered = tokens.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    ordered.select("doc_id", "ids").write.format("packed_tokens").option("bits", bits_for(vocabulary)).mode("append").save(path)
+    ordered.select("doc_id", "ids").write.format("packed_tokens").option("bits", bits_for(vocabulary)).option("idType", dtype).mode("append").save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -17,50 +17,104 @@ from stratakeep.llm.words import chunks
 #: str.split() also splits at these; texts with any of them are split at ASCII white space alone.
 _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_MOST_KNOWN = 400_000
+#: Letters whose lower case is one letter and which no normal form changes, then marks: two pre-tokens at most.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_MOST_KNOWN = 150_000
 _open: dict = {}
 
 
+def id_bytes(vocabulary: int) -> str:
+    """numpy type of ids on their way to the files."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+class Memory:
+    """A dictionary of at most 2 * most entries, which forgets what hasn't been asked for lately."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def absent(self, keys: set[str]) -> list[str]:
+        """Which keys aren't known; those that are, stay known for now."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        out = []
+        for k in keys:
+            if k not in self.new:
+                v = self.old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self.new[k] = v
+        return out
+
+
 class Encoder:
     """Ids of texts, piece by piece.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    pieces between ASCII white space; pieces recur, and their ids are remembered, up to a bound.
+    pieces between ASCII white space. Pieces recur, and the words inside them more so; the ids of
+    both are remembered, up to a bound. New words are encoded many at a time: each ends with the
+    only id of it that ends a word, which tells them apart again.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.pieces, self.words = Memory(_MOST_KNOWN), Memory(2 * _MOST_KNOWN)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _one(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                self.words.new.update((w, self._one(w)) for w in some)
+                continue
+            body, size = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            at = [0, *(ends * size).tolist()]
+            self.words.new.update((w, body[a:b]) for w, a, b in zip(some, at[:-1], at[1:]))
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """uint32 little-endian ids of each text, with end_id after them."""
+        """ids of each text in dtype, with end_id after them."""
         split = [_PIECE.findall(t) if _OTHER_BLANKS.search(t) else t.split() for t in (x or "" for x in texts)]
-        if len(self.known) > _MOST_KNOWN:
-            self.known.clear()
-        new = [p for p in {p for pieces in split for p in pieces} if p not in self.known]
-        for p, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = np.array(got.ids, "<u4").tobytes()
-        end, known = np.array([end_id], "<u4").tobytes(), self.known.__getitem__
+        new = self.pieces.absent(set().union(*split))
+        found = [_PLAIN.fullmatch(p) for p in new]
+        parts = [(m[1].lower(), m[2]) if m else None for m in found]
+        self._learn_words(self.words.absent({w for pair in parts if pair for w in pair if w}))
+        words, learned = self.words.new, self.pieces.new
+        for p, pair in zip(new, parts):
+            learned[p] = self._one(p) if pair is None else words[pair[0]] + words[pair[1]] if pair[1] else words[pair[0]]
+        end, known = np.array([end_id], self.dtype).tobytes(), learned.__getitem__
         return [b"".join(map(known, pieces)) + end for pieces in split]
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, dtype: str, end_id: int):
     def run(batches):
-        if path not in _open:
+        if (path, dtype) not in _open:
             _open.clear()
-            _open[path] = Encoder(path)
+            _open[path, dtype] = Encoder(path, dtype)
         for batch in chunks(batches, "text"):
-            ids = _open[path](batch.column(1).to_pylist(), end_id)
+            ids = _open[path, dtype](batch.column(1).to_pylist(), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """(doc_id, ids: uint32 as binary) of each document; null and empty texts have the end id alone."""
+def encode(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 1) -> DataFrame:
+    """(doc_id, ids as binary) of each document; null and empty texts have the end id alone.
+
+    ids are unsigned little-endian, of two bytes for vocabularies of up to 65536 and else of four.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids binary")
+    return texts.mapInArrow(_encode(tokenizer, id_bytes(vocabulary), end_id), "doc_id long, ids binary")
 
 
 def _digest(batches):
@@ -81,5 +135,5 @@ def tokenise_to_files(docs: DataFrame, tokenizer: str, vocabulary: int, path: st
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write_tokens(materialise(encode(docs, tokenizer, end_id), "ids"), path, vocabulary)
+    write_tokens(materialise(encode(docs, tokenizer, vocabulary, end_id), "ids"), path, vocabulary, id_bytes(vocabulary))
     return read_tokens(spark, path)
