@@ -25,7 +25,7 @@ def aes_ctr(data: Column, key: Column, iv: Column) -> Column:
     the counter values, of which ECB's padding block is cut off.
     """
     high, low = _word(F.hex(F.substring(iv, 1, 8))), _word(F.hex(F.substring(iv, 9, 8)))
-    word = F.lit(_WORD).cast("decimal(21,0)")
+    word = F.lit(str(_WORD)).cast("decimal(21,0)")
 
     def block(i: Column) -> Column:
         total = low + i.cast("decimal(20,0)")
