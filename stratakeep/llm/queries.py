@@ -18,7 +18,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand the package to the executors' Python workers, once for each application."""
+    """Hand the package to the executors' Python workers, once for each application.
+
+    Rows here hold whole texts, so Arrow batches are kept to fewer rows than Spark's default of
+    10,000: a batch is in the memory of the executor and of its worker at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -19,7 +19,7 @@ _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Letters whose lower case is one letter and which no normal form changes, then marks: two pre-tokens at most.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_MOST_KNOWN = 150_000
+_MOST_KNOWN = 100_000
 _open: dict = {}
 
 
@@ -49,6 +49,20 @@ class Memory:
         return out
 
 
+def _tokenizer(path: str):
+    """The tokenizer, loaded once in a Python worker, and which of its ids end a word."""
+    if path not in _open:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _open.clear()
+        _open[path] = tokenizer, ends
+    return _open[path]
+
+
 class Encoder:
     """Ids of texts, piece by piece.
 
@@ -59,13 +73,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, dtype: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        (self.tokenizer, self.ends), self.dtype = _tokenizer(path), dtype
         self.pieces, self.words = Memory(_MOST_KNOWN), Memory(2 * _MOST_KNOWN)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _one(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -98,11 +107,9 @@ class Encoder:
 
 def _encode(path: str, dtype: str, end_id: int):
     def run(batches):
-        if (path, dtype) not in _open:
-            _open.clear()
-            _open[path, dtype] = Encoder(path, dtype)
+        encoder = Encoder(path, dtype)  # what it remembers goes with the task, as workers are kept
         for batch in chunks(batches, "text"):
-            ids = _open[path, dtype](batch.column(1).to_pylist(), end_id)
+            ids = encoder(batch.column(1).to_pylist(), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
