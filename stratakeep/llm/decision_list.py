@@ -88,7 +88,7 @@ def learn(x: dict[str, np.ndarray], reject: np.ndarray, most_rules: int = 12, lo
     Each round grows a conjunction on two thirds of the rows not yet covered, prunes it on the
     rest, and takes it if, there, at least `precision` of what it covers is to be rejected.
     """
-    rules, left, third = [], np.ones(len(reject), bool), np.arange(len(reject)) % 3 == 0
+    rules, left, third = [], np.ones(len(reject), bool), np.random.default_rng(17).random(len(reject)) < 1 / 3
     take = lambda rows: ({k: v[rows] for k, v in x.items()}, reject[rows])
     while len(rules) < most_rules and reject[left & ~third].any():
         rule = _prune(_grow(*take(left & ~third), longest), *take(left & third))

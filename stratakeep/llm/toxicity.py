@@ -27,7 +27,7 @@ INSULTS = frozenset("idiot moron stupid loser trash scum pathetic worthless disg
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine tu te toi ton ta tes vous votre vos tú usted ustedes vosotros".split())
 #: Look-alikes used to hide words.
 LOOK_ALIKES = str.maketrans("013457@$", "oieastas")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 NEAR = 4
 FEATURES = (
     "insult_density", "insult_count", "learned_density", "learned_count", "stem_density", "stem_count", "hidden_count",
@@ -36,7 +36,7 @@ FEATURES = (
 
 _WORD = re.compile(r"[^\W_]+(?:[@$*.\-]?[^\W_]+)*")
 _MIXED = re.compile(r"[^\W\d_][\d@$*]+[^\W\d_]")
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_](?!\w)")
+_SPACED = re.compile(r"(?<!\w)[^\W\d_]([.\-*_ ])[^\W\d_](?:\1[^\W\d_]){2,}(?!\w)")
 
 
 @dataclass(frozen=True)
@@ -45,12 +45,20 @@ class Lexicon:
 
     words: frozenset[str] = field(default_factory=frozenset)
     stems: frozenset[str] = field(default_factory=frozenset)
+    heads: frozenset[str] = field(init=False)
+
+    def __post_init__(self):
+        object.__setattr__(self, "heads", frozenset(s[: STEMS[0]] for s in self.stems))
+
+    def begins(self, word: str) -> bool:
+        """Whether a learned beginning goes on in this word."""
+        return word[: STEMS[0]] in self.heads and any(word[:k] in self.stems for k in STEMS if len(word) > k)
 
 
 def _terms(text: str | None) -> set[str]:
-    """The distinct words of a text, and their beginnings marked with an asterisk."""
+    """The distinct words of a text, and what longer words begin with, marked with an asterisk."""
     words = set(_WORD.findall((text or "").lower()))
-    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k}
+    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
 def _term_counts(batches):
@@ -63,15 +71,22 @@ def _term_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([other[t] for t in terms], pa.int64())], ["term", "toxic", "other"])
 
 
-def learn_lexicon(sample: DataFrame, support: int = 6, precision: float = 0.9, most: int = 2_000) -> Lexicon:
+def learn_lexicon(sample: DataFrame, support: int = 6, precision: float = 0.9, evidence: float = 14.0, most: int = 2_000) -> Lexicon:
     """Terms in at least `support` toxic documents of the sample, of which `precision` of all with it are toxic.
 
-    Counted by Spark; the `most` of highest support come to the driver.
+    As there are many terms, some fit by chance: a term's counts must also be e**evidence times
+    likelier at its own rate than at the sample's. Counted by Spark; the `most` of highest support
+    come to the driver.
     """
+    base = sample.agg(F.avg("label").alias("rate")).first().rate
+    if not base or base == 1:
+        return Lexicon()
     counts = sample.select("text", "label").mapInArrow(_term_counts, "term string, toxic long, other long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     chosen = counts.where((F.col("toxic") >= support) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("other"))))
-    terms = [r.term for r in chosen.orderBy(F.desc("toxic"), "term").limit(most).collect()]
+    rate = F.col("toxic") / (F.col("toxic") + F.col("other"))
+    gain = F.col("toxic") * F.log(rate / base) + F.when(F.col("other") > 0, F.col("other") * F.log((1 - rate) / (1 - base))).otherwise(0)
+    terms = [r.term for r in chosen.where(gain >= evidence).orderBy(F.desc("toxic"), "term").limit(most).collect()]
     return Lexicon(frozenset(t for t in terms if t[-1] != "*"), frozenset(t[:-1] for t in terms if t[-1] == "*"))
 
 
@@ -85,12 +100,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     lower = [w.lower() for w in raw]
     insult = [i for i, w in enumerate(lower) if w in INSULTS]
     learned = [i for i, w in enumerate(lower) if w in lexicon.words]
-    stems = lexicon.stems
-    by_stem = [i for i, w in enumerate(lower) if w[:4] in stems or w[:5] in stems or w[:6] in stems]
+    heads = lexicon.heads
+    by_stem = [i for i, w in enumerate(lower) if w[:4] in heads and lexicon.begins(w)]
     known = INSULTS | lexicon.words
     odd = [w for w in lower if _MIXED.search(w)]
     plain = [re.sub(r"[*.\-]", "", w.translate(LOOK_ALIKES)) for w in odd]
-    spaced = [re.sub(r"[^\w]|_", "", m).lower() for m in _SPACED.findall(text)]
+    spaced = [re.sub(r"[^\w]|_", "", m[0]).lower() for m in _SPACED.finditer(text)]
     hidden = sum(w in known for w in plain) + sum(w in known for w in spaced)
     hits = sorted({*insult, *learned, *by_stem})
     near = sum(any(w in SECOND_PERSON for w in lower[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
@@ -198,7 +213,7 @@ def boost(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, rounds: int = 80, rate
     n, ones = len(y), int(y.sum())
     base = float(np.log((ones + 0.5) / (n - ones + 0.5)))
     model = ToxicityModel(lexicon, base, [], (np.zeros(0), np.zeros(0)))
-    fit = np.arange(n) % 5 != 0
+    fit = np.random.default_rng(17).random(n) >= 0.2
     if not 0 < y[fit].sum() < fit.sum():
         return model
     cuts = [(v[1:] + v[:-1]) / 2 for v in (np.unique(np.r_[np.quantile(c, np.linspace(0, 1, 33)), np.quantile(c[c > 0], np.linspace(0, 1, 17)) if (c > 0).any() else []]) for c in x[fit].T)]
