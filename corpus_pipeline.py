@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     kept = near_documents(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    known = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null"))
 
 
