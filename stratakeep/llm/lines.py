@@ -58,17 +58,22 @@ def _signatures(lines: Lines, chosen: np.ndarray, shingle: int, by: np.ndarray)
     counts = lines.ends[chosen] - lines.starts[chosen] - shingle + 1
     out = np.empty((len(chosen), 2 * len(by)), np.uint32)
     order = np.argsort(counts, kind="stable")
-    k = 0
+    room, k = np.empty(0, np.uint32), 0
     while k < len(order):
         group = order[k : k + 128]
         if counts[group[-1]] > 4 * counts[group[0]] or len(group) * counts[group[-1]] > 1 << 18:
             group = group[:16] if counts[group[min(15, len(group) - 1)]] < 1 << 15 else group[:1]
         step = np.minimum(np.arange(counts[group[-1]])[None, :], counts[group, None] - 1)  # the last shingle fills up the row
         x = runs[lines.starts[chosen[group], None] + step]
+        if x.size > len(room):
+            room = np.empty(x.size, np.uint32)
+        v = room[: x.size].reshape(x.shape)  # one piece of memory for all products
+        low, high = np.empty((2, len(by), len(group)), np.uint32)
         for p, a in enumerate(by.ravel()):
-            v = x * a
-            out[group, p] = v.min(axis=1)
-            out[group, len(by) + p] = v.max(axis=1)
+            np.multiply(x, a, out=v)
+            v.min(axis=1, out=low[p])
+            v.max(axis=1, out=high[p])
+        out[group, : len(by)], out[group, len(by) :] = low.T, high.T
         k += len(group)
     return out
 
@@ -106,13 +111,14 @@ def _bodies(batches: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([pa.array(ids[at[first]]), pa.array([lines.body(k) for k in at[first]], pa.binary())], ["id", "body"])
 
 
-def shingle_set(body: pa.Buffer, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct byte-shingle hashes of one line."""
-    words = Words(pa.array([body.to_pybytes().decode(errors="replace")]))
-    return np.unique(words.windows(shingle)[: max(0, len(words.data) - shingle + 1)])
+def shingle_sets(bodies: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct byte-shingle hashes of each line."""
+    words = Words(bodies.cast(pa.large_binary()).view(pa.large_string()))
+    runs, at = words.windows(SHINGLE), words.row_at.tolist()
+    return [np.unique(runs[a : max(a, b - SHINGLE + 1)]) for a, b in zip(at[:-1], at[1:])]
 
 
-def line_components(docs: DataFrame, threshold: int = 80, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
     """Every compared line (doc_id, line_no, id), and (id, component, first_doc, first_line) of each distinct one.
 
     Lines are trimmed of ASCII white space and compared without the case of A-Z; those of fewer
@@ -127,12 +133,12 @@ def line_components(docs: DataFrame, threshold: int = 80, shingle: int = SHINGLE
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     places = materialise(texts.mapInArrow(_places, "doc_id long, line_no long, id long"), "lines")
     nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    keys = texts.mapInArrow(_rows(shingle, permutations, rows), "id long, key long")
+    keys = texts.mapInArrow(_rows(SHINGLE, permutations, rows), "id long, key long")
 
     def bodies_of(ids: DataFrame) -> DataFrame:
         return texts.mapInArrow(_bodies, "id long, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    _, groups = linked(keys, bodies_of, threshold, shingle_set)
+    _, groups = linked(keys, bodies_of, threshold, shingle_sets)
     placed = nodes.join(groups, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     head = placed.groupBy("component").agg(F.min("first").alias("head"))
     placed = placed.join(head, "component").select("id", "component", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"))

@@ -50,62 +50,95 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sorted_set(body: pa.Buffer) -> np.ndarray:
-    """The set whose sorted uint64 elements these bytes are."""
-    return np.frombuffer(body, np.uint64)
+def sorted_sets(bodies: pa.Array) -> list[np.ndarray]:
+    """The sets whose sorted uint64 elements these bytes are."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in bodies]
 
 
-def _verified(threshold: int, to_set: Callable) -> Callable:
+def _alike(s: np.ndarray, t: np.ndarray, threshold: int) -> bool:
+    if 100 * min(len(s), len(t)) < threshold * max(len(s), len(t)):
+        return False
+    both = np.concatenate([s, t])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= threshold * (len(s) + len(t) - shared)
+
+
+def _verified(threshold: int, to_sets: Callable) -> Callable:
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(k) for k in range(4))
-            keep = []
-            for k in range(batch.num_rows):
-                s, t = (to_set(c[k].as_buffer()) for c in (x, y))
-                both = np.concatenate([s, t])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= threshold * (len(s) + len(t) - shared):
-                    keep.append(k)
+            a, b = batch.column(0), batch.column(1)
+            sets = zip(to_sets(batch.column(2)), to_sets(batch.column(3)))
+            keep = [k for k, (s, t) in enumerate(sets) if _alike(s, t, threshold)]
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], ["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, bodies: DataFrame, threshold: int, to_set: Callable = sorted_set) -> DataFrame:
+def verify(pairs: DataFrame, bodies: DataFrame, threshold: int, to_sets: Callable = sorted_sets) -> DataFrame:
     """The pairs (a, b) whose full sets meet 100 * |intersection| >= threshold * |union|."""
     left = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a")
     full = left.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(_verified(threshold, to_set), "a long, b long")
-
-
-def _within(threshold: int, to_set: Callable) -> Callable:
-    """Of one block pair's members: the links across components, by the shared elements of all at once."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, component, block = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "component", "block"))
-        sets = [to_set(x.as_buffer()) for chunk in table.column("body").chunks for x in chunk]
-        sizes = np.array([len(s) for s in sets])
-        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        often = counts[column] > 1  # what only one member has, no two share
-        owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
-        shared, width = np.zeros((len(sets), len(sets)), np.float32), max(1, (8 << 20) // len(sets))
-        for low in range(0, int(column.max()) + 1 if len(column) else 0, width):
-            here = (column >= low) & (column < low + width)
-            has = np.zeros((len(sets), min(width, int(column.max()) + 1 - low)), np.float32)
-            has[owner[here], column[here] - low] = 1
-            shared += has @ has.T
-        both_blocks = (block[:, None] != block[None, :]) | (block.min() == block.max())
-        ok = (100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)) & (ids[:, None] < ids[None, :]) & (component[:, None] != component[None, :]) & both_blocks
-        x, y = np.nonzero(ok)
-        return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
+    return full.mapInArrow(_verified(threshold, to_sets), "a long, b long")
+
+
+def _group_links(ids: np.ndarray, component: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """The links across components between one block pair's members."""
+    across = block.min() != block.max()  # two blocks: pairs inside of either are another group's
+    if len(sets) <= 12:
+        pairs = ((i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if component[i] != component[j] and not (across and block[i] == block[j]))
+        return [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in pairs if _alike(sets[i], sets[j], threshold)]
+    sizes = np.array([len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    often = counts[column] > 1  # what only one member has, no two share
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    width, total = max(1, (8 << 20) // len(sets)), int(column.max()) + 1 if len(column) else 0
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, total, width):
+        here = (column >= low) & (column < low + width)
+        has = np.zeros((len(sets), min(width, total - low)), np.float32)
+        has[owner[here], column[here] - low] = 1
+        shared += has @ has.T
+    ok = (100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)) & (ids[:, None] < ids[None, :]) & (component[:, None] != component[None, :])
+    if across:
+        ok &= block[:, None] != block[None, :]
+    return [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(ok))]
+
+
+def _within(threshold: int, to_sets: Callable) -> Callable:
+    """Groups come sorted by (key, i, j), many to a batch; one that a batch cuts off waits for the next."""
+
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        key, i, j, ids, component, block = (rows.column(c).to_numpy() for c in ("key", "i", "j", "id", "component", "block"))
+        edges = np.r_[0, _starts(key, i, j), len(key)]
+        sets = [s for chunk in rows.column("body").chunks for s in to_sets(chunk)]
+        found = [link for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for link in _group_links(ids[a:b], component[a:b], block[a:b], sets[a:b], threshold)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            starts = _starts(*(rows.column(c).to_numpy() for c in ("key", "i", "j")))
+            cut = int(starts[-1]) if len(starts) else 0
+            if cut:
+                yield links_of(rows.slice(0, cut))
+            rest = rows.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield links_of(rest)
 
     return run
 
 
-def across_components(open_: DataFrame, bodies: DataFrame, threshold: int, to_set: Callable = sorted_set, block: int = 512) -> DataFrame:
+def _starts(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Where a new group begins, but for the first."""
+    return np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+
+
+def across_components(open_: DataFrame, bodies: DataFrame, threshold: int, to_sets: Callable = sorted_sets, block: int = 512) -> DataFrame:
     """Links (a, b) between members of one band that are in different components.
 
     open_: (key, id, component). A band's members are dealt into blocks of about `block`, and each
@@ -118,14 +151,15 @@ def across_components(open_: DataFrame, bodies: DataFrame, threshold: int, to_se
     dealt = dealt.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     full = dealt.join(bodies, "id").select("key", "i", "j", "id", "component", "block", "body")
-    return full.groupBy("key", "i", "j").applyInArrow(_within(threshold, to_set), "a long, b long").distinct()
+    grouped = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return grouped.mapInArrow(_within(threshold, to_sets), "a long, b long").distinct()
 
 
-def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], threshold: int = 80, to_set: Callable = sorted_set) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between items, and the components (id, component) they make.
 
     rows: (id long, key long), an item's band keys; repeated rows do no harm. bodies_of gets a
-    frame of ids and gives (id, body binary), of which to_set makes an item's sorted set.
+    frame of ids and gives (id, body binary), of an array of which to_sets makes the items' sorted sets.
 
     Sets that share a band are candidates. First all members of a band are held against one
     leader, the member that meets most others over all bands (in a group of near copies the text
@@ -141,10 +175,10 @@ def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], thresho
     pairs = materialise(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bodies = materialise(bodies_of(used), "bodies")
-    found = materialise(verify(pairs, bodies, threshold, to_set), "links")
+    found = materialise(verify(pairs, bodies, threshold, to_sets), "links")
 
     placed = members.join(components(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     open_ = materialise(placed.join(mixed, "key"), "open")
-    found = materialise(found.unionByName(across_components(open_, bodies, threshold, to_set)), "links")
+    found = materialise(found.unionByName(across_components(open_, bodies, threshold, to_sets)), "links")
     return found, components(found)
