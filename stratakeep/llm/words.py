@@ -50,10 +50,11 @@ def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 class Words:
@@ -64,6 +65,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, is_word: np.ndarray = PLAIN):
+        self._kept = None
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         body = texts.buffers()[2]
@@ -86,11 +88,15 @@ class Words:
         return self.spans(self.starts, self.ends, fold)
 
     def _sums(self, fold: bool) -> np.ndarray:
-        """Prefix sums of the bytes' codes times powers of a base, modulo 2**64."""
-        powers, _ = _base_powers(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_byte_codes(fold)[self.data] * powers[: len(self.data)], out=sums[1:])
-        return sums
+        """Prefix sums of the bytes' codes times powers of a base, modulo 2**64; made once."""
+        if self._kept is None or self._kept[0] != fold:
+            powers, _ = _base_powers(len(self.data))
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            codes = _byte_codes(fold)[self.data]
+            codes *= powers[: len(self.data)]
+            np.cumsum(codes, out=sums[1:])
+            self._kept = fold, sums
+        return self._kept[1]
 
     def spans(self, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
         """A 64-bit hash of each span of bytes."""
@@ -99,8 +105,13 @@ class Words:
 
     def windows(self, n: int, fold: bool = True) -> np.ndarray:
         """A 64-bit hash of the n bytes from each byte on (of fewer at the end of data)."""
-        at = np.arange(len(self.data))
-        return self.spans(at, np.minimum(at + n, len(self.data)), fold)
+        size, sums, (_, inverses) = len(self.data), self._sums(fold), _base_powers(len(self.data))
+        whole = max(0, size - n + 1)
+        out = np.empty(size, np.uint64)
+        np.subtract(sums[n : n + whole], sums[:whole], out=out[:whole])
+        np.subtract(sums[size], sums[whole:size], out=out[whole:])
+        out *= inverses[:size]
+        return mix(out)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
