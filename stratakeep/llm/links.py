@@ -107,55 +107,121 @@ def _group_links(ids: np.ndarray, component: np.ndarray, block: np.ndarray, sets
     return [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(ok))]
 
 
-def _within(threshold: int, to_sets: Callable) -> Callable:
-    """Groups come sorted by (key, i, j), many to a batch; one that a batch cuts off waits for the next."""
-
-    def links_of(rows: pa.Table) -> pa.RecordBatch:
-        key, i, j, ids, component, block = (rows.column(c).to_numpy() for c in ("key", "i", "j", "id", "component", "block"))
-        edges = np.r_[0, _starts(key, i, j), len(key)]
+def _linker(threshold: int, to_sets: Callable) -> Callable:
+    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+        ids, component, block = (rows.column(c).to_numpy() for c in ("id", "component", "block"))
         sets = [s for chunk in rows.column("body").chunks for s in to_sets(chunk)]
-        found = [link for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for link in _group_links(ids[a:b], component[a:b], block[a:b], sets[a:b], threshold)]
+        found = [link for a, b in groups for link in _group_links(ids[a:b], component[a:b], block[a:b], sets[a:b], threshold)]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
+    return work
+
+
+#: Sketches that agree in less than this share can't be of sets with J >= 0.8: over five standard deviations away.
+PLAUSIBLE = 0.6
+
+
+def sketch(signature: np.ndarray) -> bytes:
+    """One byte of every fourth signature value, to estimate a similarity without the sets."""
+    return (signature[::4] >> np.asarray(8, signature.dtype)).astype(np.uint8).tobytes()
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), -1)
+
+
+def _plausible(batches):
+    for batch in batches:
+        if batch.num_rows:
+            same = (_sketches(batch.column(2)) == _sketches(batch.column(3))).mean(axis=1)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same >= PLAUSIBLE))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches (id, sketch) agree enough for a link."""
+    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_plausible, "a long, b long")
+
+
+def _by_group(work: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch]) -> Callable:
+    """Groups come sorted by (key, i, j), many to a batch; one that a batch cuts off waits for the next."""
+
+    def groups(rows: pa.Table) -> pa.RecordBatch:
+        edges = [0, *_starts(rows).tolist(), rows.num_rows]
+        return work(rows, [(a, b) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1])
+
     def run(batches):
         rest = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            starts = _starts(*(rows.column(c).to_numpy() for c in ("key", "i", "j")))
+            starts = _starts(rows)
             cut = int(starts[-1]) if len(starts) else 0
             if cut:
-                yield links_of(rows.slice(0, cut))
+                yield groups(rows.slice(0, cut))
             rest = rows.slice(cut)
         if rest is not None and rest.num_rows:
-            yield links_of(rest)
+            yield groups(rest)
 
     return run
 
 
-def _starts(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _survivors(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Of each group the members that may be linked across components, by their sketches."""
+    component, block = (rows.column(c).to_numpy() for c in ("component", "block"))
+    marks = np.concatenate([_sketches(c) for c in rows.column("sketch").chunks if len(c)]) if rows.num_rows else np.zeros((0, 1), np.uint8)
+    stays = np.zeros(rows.num_rows, bool)
+    for a, b in groups:
+        across = block[a:b].min() != block[a:b].max()
+        for k in range(a, b):
+            partner = component[a:b] != component[k]
+            if across:
+                partner &= block[a:b] != block[k]
+            if partner.any() and ((marks[a:b][partner] == marks[k]).mean(axis=1) >= PLAUSIBLE).any():
+                stays[k] = True
+    out = rows.filter(pa.array(stays)).drop_columns(["sketch"]).combine_chunks()
+    return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
     """Where a new group begins, but for the first."""
+    key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
     return np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
 
 
-def across_components(open_: DataFrame, bodies: DataFrame, threshold: int, to_sets: Callable = sorted_sets, block: int = 512) -> DataFrame:
-    """Links (a, b) between members of one band that are in different components.
+_DEALT = "key long, i long, j long, id long, component long, block long"
+
+
+def dealt(open_: DataFrame, sketches: DataFrame | None = None, block: int = 512) -> DataFrame:
+    """Band members (key, id, component) in pairs of blocks: (key, i, j, id, component, block).
 
-    open_: (key, id, component). A band's members are dealt into blocks of about `block`, and each
-    pair of blocks is one group, so that no group grows with the band; inside a group the sets are
-    compared there and then, and only links come out.
+    A band's members are dealt into blocks of about `block`, and each pair of blocks is one group,
+    so that no group grows with the band. With sketches, only members with a plausible partner in
+    another component of their group stay.
     """
     sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / block)
-    dealt = open_.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
-    dealt = dealt.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = dealt.join(bodies, "id").select("key", "i", "j", "id", "component", "block", "body")
-    grouped = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(_within(threshold, to_sets), "a long, b long").distinct()
+    rows = open_.join(sizes, "key").withColumn("blocks", F.ceil(F.col("members") / block)).withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
+    rows = rows.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
+    if sketches is None:
+        return rows
+    return _grouped(rows.join(sketches, "id").select("key", "i", "j", "id", "component", "block", "sketch")).mapInArrow(_by_group(_survivors), _DEALT)
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def across_components(rows: DataFrame, bodies: DataFrame, threshold: int, to_sets: Callable = sorted_sets) -> DataFrame:
+    """Links (a, b) between members of one group of `dealt` that are in different components.
+
+    The sets are compared inside the group, and only links come out.
+    """
+    full = rows.join(bodies, "id").select("key", "i", "j", "id", "component", "block", "body")
+    return _grouped(full).mapInArrow(_by_group(_linker(threshold, to_sets)), "a long, b long").distinct()
 
 
-def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets, sketches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between items, and the components (id, component) they make.
 
     rows: (id long, key long), an item's band keys; repeated rows do no harm. bodies_of gets a
@@ -164,21 +230,24 @@ def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], thresho
     Sets that share a band are candidates. First all members of a band are held against one
     leader, the member that meets most others over all bands (in a group of near copies the text
     they derive from). Where the links found leave a band's members in more than one component,
-    its members are compared across components, in blocks. No candidate pair that could join two
-    components is left out, and no pairs but links and those with a leader become rows.
+    its members are compared across components, in blocks. With sketches (id, sketch), pairs and
+    members that can't be linked go before the sets are fetched. No candidate pair that could join
+    two components is left out, and no pairs but links and those with a leader become rows.
     """
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialise(rows.join(crowded, "key").distinct(), "bands")
     score = members.groupBy("id").agg(F.sum("members").alias("score"))
     lead = members.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("other"))
     pairs = members.join(lead, "key").where(F.col("id") != F.col("other"))
-    pairs = materialise(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bodies = materialise(bodies_of(used), "bodies")
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    pairs = materialise(pairs if sketches is None else plausible(pairs, sketches), "pairs")
+    bodies = materialise(bodies_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "bodies")
     found = materialise(verify(pairs, bodies, threshold, to_sets), "links")
 
     placed = members.join(components(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = materialise(placed.join(mixed, "key"), "open")
+    open_ = materialise(dealt(placed.join(mixed, "key"), sketches), "open")
+    if sketches is not None:
+        bodies = materialise(bodies_of(open_.select("id").distinct()), "bodies")
     found = materialise(found.unionByName(across_components(open_, bodies, threshold, to_sets)), "links")
     return found, components(found)

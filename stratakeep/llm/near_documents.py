@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakeep.llm.links import band_keys, linked, min_max, multipliers
+from stratakeep.llm.links import band_keys, linked, min_max, multipliers, sketch
 from stratakeep.llm.store import materialise
 from stratakeep.llm.words import chunks, mix, shingle_sets
 
@@ -19,18 +19,21 @@ def _signed(shingle: int, permutations: int, rows: int):
 
     def run(batches):
         for batch in chunks(batches, "text"):
-            n, low, high, bands = [], [], [], []
+            n, low, high, bands, marks = [], [], [], [], []
             for s in shingle_sets(batch.column(1), shingle):
                 n.append(len(s))
                 if len(s):
                     low.append(int(np.bitwise_xor.reduce(s).view(np.int64)))
                     high.append(int(mix(s * np.uint64(3)).sum(dtype=np.uint64).view(np.int64)))
-                    bands.append(band_keys(min_max(s, by), rows))
+                    signature = min_max(s, by)
+                    bands.append(band_keys(signature, rows))
+                    marks.append(sketch(signature))
                 else:
                     low.append(0)
                     high.append(0)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "low", "high", "bands"])
+                    marks.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "n", "low", "high", "bands", "sketch"])
 
     return run
 
@@ -61,18 +64,18 @@ def near_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, permu
     are one document to the links and come back as many times as they came.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(texts.mapInArrow(_signed(shingle, permutations, rows), "doc_id long, n long, low long, high long, bands array<long>"), "signed")
+    signed = materialise(texts.mapInArrow(_signed(shingle, permutations, rows), "doc_id long, n long, low long, high long, bands array<long>, sketch binary"), "signed")
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     key = ["n", "low", "high"]
     # a document's id stands for its set; rows of one doc_id with several texts link through it
     alike = signed.where(usable).groupBy(key).agg(F.min("doc_id").alias("id"))
-    chosen = alike.join(signed.where(usable).select(*key, F.col("doc_id").alias("id"), "bands"), [*key, "id"]).dropDuplicates([*key, "id"])
-    chosen = materialise(chosen.select("id", "bands"), "chosen")
+    chosen = alike.join(signed.where(usable).select(*key, F.col("doc_id").alias("id"), "bands", "sketch"), [*key, "id"]).dropDuplicates([*key, "id"])
+    chosen = materialise(chosen.select("id", "bands", "sketch"), "chosen")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return texts.join(ids, texts.doc_id == ids.id, "left_semi").mapInArrow(_sets(shingle), "id long, body binary").dropDuplicates(["id"])
 
-    links, groups = linked(chosen.select("id", F.explode("bands").alias("key")), sets_of, threshold)
+    links, groups = linked(chosen.select("id", F.explode("bands").alias("key")), sets_of, threshold, sketches=chosen.select("id", "sketch"))
     count = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     alike = alike.join(groups, "id", "left").join(count, "id", "left")
     alike = alike.select(*key, F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

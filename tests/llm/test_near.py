@@ -76,7 +76,7 @@ def test_blocks_lose_no_link(spark):
     want = {(0, k) for k in range(1, 20)} | {(a, b) for a, x in bodies[1:] for b, y in bodies[1:] if a < b and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
     open_ = spark.createDataFrame([(7, k, k) for k, _ in bodies], "key long, id long, component long")
     stored = spark.createDataFrame([(k, x.tobytes()) for k, x in bodies], "id long, body binary")
-    got = links.across_components(open_, stored, 80, block=3).collect()
+    got = links.across_components(links.dealt(open_, block=3), stored, 80).collect()
     assert {(r.a, r.b) for r in got} == want
 
 
