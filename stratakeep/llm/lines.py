@@ -78,7 +78,7 @@ def _signatures(lines: Lines, chosen: np.ndarray, shingle: int, by: np.ndarray)
     return out
 
 
-def _rows(shingle: int, permutations: int, rows: int):
+def _bands(shingle: int, permutations: int, rows: int):
     by = multipliers(permutations, np.uint32)
 
     def run(batches):
@@ -91,7 +91,8 @@ def _rows(shingle: int, permutations: int, rows: int):
             if not len(at):
                 continue
             keys = band_keys(_signatures(lines, at, shingle, by), rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], keys.shape[1])), pa.array(keys.ravel())], ["id", "key"])
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["id", "bands"])
 
     return run
 
@@ -133,7 +134,8 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     places = materialise(texts.mapInArrow(_places, "doc_id long, line_no long, id long"), "lines")
     nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    keys = texts.mapInArrow(_rows(SHINGLE, permutations, rows), "id long, key long")
+    bands = materialise(texts.mapInArrow(_bands(SHINGLE, permutations, rows), "id long, bands array<long>"), "line-bands")
+    keys = bands.select("id", F.explode("bands").alias("key"))
 
     def bodies_of(ids: DataFrame) -> DataFrame:
         return texts.mapInArrow(_bodies, "id long, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
