@@ -140,13 +140,18 @@ class ShardReader:
 
 
 @dataclass
-class Shard(WriterCommitMessage):
-    partition: int
+class Shard:
+    number: int
     name: str
     ids: int
     documents: int
 
 
+@dataclass
+class Shards(WriterCommitMessage):
+    shards: list[Shard]
+
+
 @dataclass
 class DocumentRange(InputPartition):
     name: str
@@ -161,40 +166,45 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Writer(DataSourceArrowWriter):
+    """Takes (shard, doc_id, ids) sorted by these; a shard number comes from one task alone."""
+
     def __init__(self, path: str, bits: int, dtype: str):
         self.path, self.bits, self.dtype = path, bits, dtype
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Shard:
-        from pyspark import TaskContext
-
-        partition, store, folder = TaskContext.get().partitionId(), *_open(self.path)
-        name, writer, sink, n, docs = f"shard-{partition:06d}-{uuid.uuid4().hex}.bin", None, None, 0, 0
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Shards:
+        (store, folder), done = _open(self.path), Shards([])
+        now = sink = writer = None
         for batch in iterator:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
+            for number, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if now is None or number != now.number:
+                    if writer:
+                        writer.close()
+                        sink.close()
                     store.create_dir(folder, recursive=True)
-                    sink = store.open_output_stream(f"{folder}/{name}")
+                    now = Shard(number, f"shard-{number:06d}-{uuid.uuid4().hex}.bin", 0, 0)
+                    done.shards.append(now)
+                    sink = store.open_output_stream(f"{folder}/{now.name}")
                     writer = ShardWriter(sink, self.bits)
                 got = np.frombuffer(ids.as_buffer(), self.dtype) if ids.is_valid else np.zeros(0, self.dtype)
                 writer.add(doc_id, got)
-                n, docs = n + len(got), docs + 1
+                now.ids += len(got)
+                now.documents += 1
         if writer:
             writer.close()
             sink.close()
-        return Shard(partition, name if writer else "", n, docs)
+        return done
 
-    def commit(self, messages: list[Shard]) -> None:
+    def commit(self, messages: list[Shards]) -> None:
         store, folder = _open(self.path)
         store.create_dir(folder, recursive=True)
-        shards = [{"name": m.name, "ids": m.ids, "documents": m.documents} for m in sorted((m for m in messages if m and m.name), key=lambda m: m.partition)]
+        shards = sorted((s for m in messages if m for s in m.shards), key=lambda s: s.number)
         with store.open_output_stream(f"{folder}/manifest.json") as f:
-            f.write(json.dumps({"bits": self.bits, "shards": shards}).encode())
+            f.write(json.dumps({"bits": self.bits, "shards": [{"name": s.name, "ids": s.ids, "documents": s.documents} for s in shards]}).encode())
 
-    def abort(self, messages: list[Shard]) -> None:
+    def abort(self, messages: list[Shards]) -> None:
         store, folder = _open(self.path)
-        for m in messages:
-            if m and m.name:
-                store.delete_file(f"{folder}/{m.name}")
+        for s in (s for m in messages if m for s in m.shards):
+            store.delete_file(f"{folder}/{s.name}")
 
 
 class _Reader(DataSourceReader):
@@ -232,8 +242,8 @@ class _Reader(DataSourceReader):
 class PackedTokens(DataSource):
     """Spark's format "packed_tokens": columns doc_id, start (ids before the document), ids (uint32 as binary).
 
-    Writing takes (doc_id, ids) in the order of the partitions, and the options bits and idType (of
-    ids as they come, <u4 by default); only the
+    Writing takes (shard, doc_id, ids) sorted inside each task, and the options bits and idType (of
+    ids as they come, <u4 by default); shards are in order of their number. Only the
     manifest, written after all tasks succeeded, makes shards part of the data set, so a task that
     runs twice leaves an unnamed file at most.
     """
@@ -252,11 +262,21 @@ class PackedTokens(DataSource):
         return _Reader(self.options["path"], int(self.options.get("idsPerTask", 4_000_000)))
 
 
-def write_tokens(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u4") -> None:
-    """Write (doc_id long, ids: of this type, as binary) in ascending doc_id order (nulls first), ties by ids."""
-    tokens.sparkSession.dataSource.register(PackedTokens)
-    ordered = tokens.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    ordered.select("doc_id", "ids").write.format("packed_tokens").option("bits", bits_for(vocabulary)).option("idType", dtype).mode("append").save(path)
+def write_tokens(tokens: DataFrame, doc_ids: DataFrame, path: str, vocabulary: int, dtype: str = "<u4") -> None:
+    """Write tokens (doc_id long, ids: of this type, as binary) in ascending doc_id order (nulls first), ties by ids.
+
+    Shards are ranges of doc_id between quantiles of doc_ids (the same ids, without the work that
+    tokens take), so that tokens are computed once; a range goes to one task, which may get several.
+    """
+    spark = tokens.sparkSession
+    spark.dataSource.register(PackedTokens)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    row = doc_ids.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 10_000).alias("q")).first()
+    bounds = sorted(set(row.q or ()))
+    number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    dealt = tokens.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(number)).repartition("shard")
+    ordered = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids").select("shard", "doc_id", "ids")
+    ordered.write.format("packed_tokens").option("bits", bits_for(vocabulary)).option("idType", dtype).mode("append").save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

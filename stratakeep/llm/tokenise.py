@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import re
+import sys
 import zlib
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakeep.llm.store import materialise, new_path
+from stratakeep.llm.store import new_path
 from stratakeep.llm.token_files import read_tokens, write_tokens
 from stratakeep.llm.words import chunks
 
@@ -28,38 +32,55 @@ def id_bytes(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-class Memory:
-    """A dictionary of at most 2 * most entries, which forgets what hasn't been asked for lately."""
+class Memory(dict):
+    """What `make` gives for a key, remembered: at most about 2 * most entries, those asked for lately."""
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
 
-    def absent(self, keys: set[str]) -> list[str]:
-        """Which keys aren't known; those that are, stay known for now."""
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        out = []
-        for k in keys:
-            if k not in self.new:
-                v = self.old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    self.new[k] = v
-        return out
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+#: Words by which the model alone is held against the whole tokenizer.
+_PROBES = ("a", "the", "zebra", "été", "straße", "ñandú", "onharent", "...", "!!", "&&&", "#$%", "qqqq", "über|")
+
+
+def _alphabet() -> dict[int, str]:
+    """The characters by which byte-level tokenizers write bytes: printable ones stand for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_ALPHABET = _alphabet()
 
 
 def _tokenizer(path: str):
-    """The tokenizer, loaded once in a Python worker, and which of its ids end a word."""
+    """The tokenizer, loaded once in a Python worker, and its model's own splitting of a word, if that does the same."""
     if path not in _open:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        vocabulary = tokenizer.get_vocab()
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        split = tokenizer.model.tokenize
+
+        def same(word: str) -> bool:
+            parts = [p for p in _PLAIN.fullmatch(word).groups() if p] if _PLAIN.fullmatch(word) else [word]
+            alone = [t.id for p in parts for t in split(p.encode().decode("latin-1").translate(_ALPHABET))]
+            return alone == tokenizer.encode(word, add_special_tokens=False).ids
+
         _open.clear()
-        _open[path] = tokenizer, ends
+        _open[path] = tokenizer, split if all(map(same, _PROBES)) else None
     return _open[path]
 
 
@@ -68,49 +89,48 @@ class Encoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     pieces between ASCII white space. Pieces recur, and the words inside them more so; the ids of
-    both are remembered, up to a bound. New words are encoded many at a time: each ends with the
-    only id of it that ends a word, which tells them apart again.
+    both are remembered, up to a bound. A new word of plain letters, or run of marks, is one
+    pre-token, so the tokenizer's model alone splits it.
     """
 
     def __init__(self, path: str, dtype: str):
-        (self.tokenizer, self.ends), self.dtype = _tokenizer(path), dtype
-        self.pieces, self.words = Memory(_MOST_KNOWN), Memory(2 * _MOST_KNOWN)
-
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn_words(self, words: list[str]) -> None:
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                self.words.new.update((w, self._one(w)) for w in some)
-                continue
-            body, size = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-            at = [0, *(ends * size).tolist()]
-            self.words.new.update((w, body[a:b]) for w, a, b in zip(some, at[:-1], at[1:]))
+        (self.tokenizer, self.split), self.dtype = _tokenizer(path), dtype
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.pieces, self.words = Memory(self._piece, _MOST_KNOWN), Memory(self._word, 2 * _MOST_KNOWN)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.split(word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET))]
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        m = self.split and _PLAIN.fullmatch(piece)
+        if not m:
+            return self._whole(piece)
+        word, marks = m.groups()
+        return self.words[word.lower()] + self.words[marks] if marks else self.words[word.lower()]
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """ids of each text in dtype, with end_id after them."""
-        split = [_PIECE.findall(t) if _OTHER_BLANKS.search(t) else t.split() for t in (x or "" for x in texts)]
-        new = self.pieces.absent(set().union(*split))
-        found = [_PLAIN.fullmatch(p) for p in new]
-        parts = [(m[1].lower(), m[2]) if m else None for m in found]
-        self._learn_words(self.words.absent({w for pair in parts if pair for w in pair if w}))
-        words, learned = self.words.new, self.pieces.new
-        for p, pair in zip(new, parts):
-            learned[p] = self._one(p) if pair is None else words[pair[0]] + words[pair[1]] if pair[1] else words[pair[0]]
-        end, known = np.array([end_id], self.dtype).tobytes(), learned.__getitem__
+        self.pieces.age()
+        self.words.age()
+        split = (_PIECE.findall(t) if _OTHER_BLANKS.search(t) else t.split() for t in (x or "" for x in texts))
+        end, known = np.array([end_id], self.dtype).tobytes(), self.pieces.__getitem__
         return [b"".join(map(known, pieces)) + end for pieces in split]
 
 
 def _encode(path: str, dtype: str, end_id: int):
     def run(batches):
         encoder = Encoder(path, dtype)  # what it remembers goes with the task, as workers are kept
-        for batch in chunks(batches, "text"):
-            ids = encoder(batch.column(1).to_pylist(), end_id)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        gc.disable()  # many small objects and no cycles
+        try:
+            for batch in chunks(batches, "text"):
+                ids = encoder(batch.column(1).to_pylist(), end_id)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        finally:
+            gc.enable()
 
     return run
 
@@ -138,9 +158,9 @@ def digest(tokens: DataFrame) -> DataFrame:
 def tokenise_to_files(docs: DataFrame, tokenizer: str, vocabulary: int, path: str | None = None, end_id: int = 1) -> DataFrame:
     """Encode docs, write them to packed files under `path` (by default a new shared folder) and read those back.
 
-    The ids are written as a table first, so that range partitioning samples that and not the texts.
+    The texts are encoded once, on their way to the shuffle that orders them.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write_tokens(materialise(encode(docs, tokenizer, vocabulary, end_id), "ids"), path, vocabulary, id_bytes(vocabulary))
+    write_tokens(encode(docs, tokenizer, vocabulary, end_id), docs.select(F.col("doc_id").cast("long").alias("doc_id")), path, vocabulary, id_bytes(vocabulary))
     return read_tokens(spark, path)
