@@ -166,21 +166,24 @@ def _by_group(work: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch])
     return run
 
 
-def _survivors(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
-    """Of each group the members that may be linked across components, by their sketches."""
-    component, block = (rows.column(c).to_numpy() for c in ("component", "block"))
+def _families(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Of each group a forest (a, b) that joins the members whose sketches allow a link across components."""
+    ids, component, block = (rows.column(c).to_numpy() for c in ("id", "component", "block"))
     marks = np.concatenate([_sketches(c) for c in rows.column("sketch").chunks if len(c)]) if rows.num_rows else np.zeros((0, 1), np.uint8)
-    stays = np.zeros(rows.num_rows, bool)
+    forest = []
     for a, b in groups:
-        across = block[a:b].min() != block[a:b].max()
+        across, family = block[a:b].min() != block[a:b].max(), np.arange(b - a)
         for k in range(a, b):
             partner = component[a:b] != component[k]
             if across:
                 partner &= block[a:b] != block[k]
-            if partner.any() and ((marks[a:b][partner] == marks[k]).mean(axis=1) >= PLAUSIBLE).any():
-                stays[k] = True
-    out = rows.filter(pa.array(stays)).drop_columns(["sketch"]).combine_chunks()
-    return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
+            at = np.flatnonzero(partner)
+            at = at[(marks[a:b][at] == marks[k]).mean(axis=1) >= PLAUSIBLE] if len(at) else at
+            met = np.unique(family[np.r_[at, k - a]])
+            if len(met) > 1:
+                family[np.isin(family, met)] = met[0]
+                forest += [(int(ids[a + met[0]]), int(ids[a + x])) for x in met[1:]]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest], pa.int64()), pa.array([y for _, y in forest], pa.int64())], ["a", "b"])
 
 
 def _starts(rows: pa.Table) -> np.ndarray:
@@ -189,23 +192,27 @@ def _starts(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
 
 
-_DEALT = "key long, i long, j long, id long, component long, block long"
+def dealt(open_: DataFrame, block: int = 512) -> DataFrame:
+    """Members (key, id, component) of a key in pairs of blocks: (key, i, j, id, component, block).
 
-
-def dealt(open_: DataFrame, sketches: DataFrame | None = None, block: int = 512) -> DataFrame:
-    """Band members (key, id, component) in pairs of blocks: (key, i, j, id, component, block).
-
-    A band's members are dealt into blocks of about `block`, and each pair of blocks is one group,
-    so that no group grows with the band. With sketches, only members with a plausible partner in
-    another component of their group stay.
+    A key's members are dealt into blocks of about `block`, and each pair of blocks is one group,
+    so that no group grows with the key.
     """
     sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     rows = open_.join(sizes, "key").withColumn("blocks", F.ceil(F.col("members") / block)).withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
     rows = rows.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
-    if sketches is None:
-        return rows
-    return _grouped(rows.join(sketches, "id").select("key", "i", "j", "id", "component", "block", "sketch")).mapInArrow(_by_group(_survivors), _DEALT)
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
+
+
+def families(open_: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, id, component): members of all bands regrouped, so that each is in one group alone.
+
+    A family is what plausible pairs across components connect; every such pair is inside of one.
+    """
+    rows = dealt(open_).join(sketches, "id").select("key", "i", "j", "id", "component", "block", "sketch")
+    forest = _grouped(rows).mapInArrow(_by_group(_families), "a long, b long").distinct()
+    own = components(forest).select("id", F.col("component").alias("key"))
+    return own.join(open_.select("id", "component").distinct(), "id").select("key", "id", "component")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -230,8 +237,9 @@ def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], thresho
     Sets that share a band are candidates. First all members of a band are held against one
     leader, the member that meets most others over all bands (in a group of near copies the text
     they derive from). Where the links found leave a band's members in more than one component,
-    its members are compared across components, in blocks. With sketches (id, sketch), pairs and
-    members that can't be linked go before the sets are fetched. No candidate pair that could join
+    its members are compared across components, in blocks. With sketches (id, sketch), pairs that
+    can't be linked go before the sets are fetched, and members are regrouped into families, so
+    that a set is fetched once and not for each band. No candidate pair that could join
     two components is left out, and no pairs but links and those with a leader become rows.
     """
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -246,8 +254,9 @@ def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], thresho
 
     placed = members.join(components(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = materialise(dealt(placed.join(mixed, "key"), sketches), "open")
+    open_ = materialise(placed.join(mixed, "key"), "open")
     if sketches is not None:
+        open_ = materialise(families(open_, sketches), "families")
         bodies = materialise(bodies_of(open_.select("id").distinct()), "bodies")
-    found = materialise(found.unionByName(across_components(open_, bodies, threshold, to_sets)), "links")
+    found = materialise(found.unionByName(across_components(dealt(open_), bodies, threshold, to_sets)), "links")
     return found, components(found)
