@@ -197,10 +197,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
     no words, have no windows. Narrow: the documents aren't shuffled; each shard of items, of
     bounded size, is one more pass within the same stage.
     """
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({"spans": F.array().cast("array<array<bigint>>"), "items": F.array().cast("array<string>")})
-    for shard in _shards(benchmark):
-        found = found.mapInArrow(_scan(shard, window), found.schema)
-    return found
+    found = _unmatched(docs.select("doc_id", "text"))
+    return found.mapInArrow(_chained([_scan(shard, window) for shard in _shards(benchmark)]), found.schema)
+
+
+def _unmatched(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"text": F.col("text").cast("string"), "spans": F.array().cast("array<array<bigint>>"), "items": F.array().cast("array<string>")})
+
+
+def _chained(steps: list):
+    """Several passes over batches as one, so that a task needs one Python worker."""
+
+    def run(batches):
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
 
 
 def _digest(batches):
@@ -215,7 +228,8 @@ def _digest(batches):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return matches(docs, benchmark, window).mapInArrow(_digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    steps = [*(_scan(shard, window) for shard in _shards(benchmark)), _digest]
+    return _unmatched(docs.select("doc_id", "text")).mapInArrow(_chained(steps), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _cleaned(max_coverage: float):
@@ -250,11 +264,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     """
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.col("doc_id"), "text", F.struct(*[F.col(c) for c in rest]).alias("row"))
-    found = packed.select("doc_id", F.col("text").cast("string").alias("text"), F.array().cast("array<array<bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"), "row")
-    for shard in _shards(benchmark):
-        found = found.mapInArrow(_scan(shard, window), found.schema)
+    found = _unmatched(packed).select("doc_id", "text", "spans", "items", "row")
     schema = T.StructType().add("text", "string").add("drop", "boolean").add("row", found.schema["row"].dataType)
-    kept = found.mapInArrow(_cleaned(max_coverage), schema).where(~F.col("drop"))
+    steps = [*(_scan(shard, window) for shard in _shards(benchmark)), _cleaned(max_coverage)]
+    kept = found.mapInArrow(_chained(steps), schema).where(~F.col("drop"))
     columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     out = kept.select(*columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

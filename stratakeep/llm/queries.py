@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     Rows here hold whole texts, so Arrow batches are kept to fewer rows than Spark's default of
     10,000: a batch is in the memory of the executor and of its worker at once.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
