@@ -45,8 +45,8 @@ class Lines:
         """A 64-bit hash of each line, case of A-Z ignored."""
         return self.words.spans(self.starts, self.ends).view(np.int64)
 
-    def long_enough(self) -> np.ndarray:
-        return self.ends - self.starts >= LEAST_BYTES
+    def of_bytes(self, least: int) -> np.ndarray:
+        return self.ends - self.starts >= least
 
     def body(self, k: int) -> bytes:
         return _FOLD[self.words.data[self.starts[k] : self.ends[k]]].tobytes()
@@ -78,14 +78,14 @@ def _signatures(lines: Lines, chosen: np.ndarray, shingle: int, by: np.ndarray)
     return out
 
 
-def _bands(shingle: int, permutations: int, rows: int):
+def _bands(shingle: int, permutations: int, rows: int, least: int):
     by = multipliers(permutations, np.uint32)
 
     def run(batches):
         for batch in chunks(batches, "text"):
             lines = Lines(batch.column(1))
             ids = lines.ids()
-            at = np.flatnonzero(lines.long_enough())
+            at = np.flatnonzero(lines.of_bytes(max(least, shingle)))
             _, first = np.unique(ids[at], return_index=True)
             at = at[first]
             if not len(at):
@@ -97,19 +97,25 @@ def _bands(shingle: int, permutations: int, rows: int):
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]):
-    for batch in chunks(batches, "text"):
-        lines = Lines(batch.column(1))
-        at = np.flatnonzero(lines.long_enough())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), pa.array(lines.ids()[at])], ["doc_id", "line_no", "id"])
+def _places(least: int):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in chunks(batches, "text"):
+            lines = Lines(batch.column(1))
+            at = np.flatnonzero(lines.of_bytes(least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), pa.array(lines.ids()[at])], ["doc_id", "line_no", "id"])
 
+    return run
 
-def _bodies(batches: Iterator[pa.RecordBatch]):
-    for batch in chunks(batches, "text"):
-        lines = Lines(batch.column(1))
-        ids, at = lines.ids(), np.flatnonzero(lines.long_enough())
-        _, first = np.unique(ids[at], return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at[first]]), pa.array([lines.body(k) for k in at[first]], pa.binary())], ["id", "body"])
+
+def _bodies(least: int):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in chunks(batches, "text"):
+            lines = Lines(batch.column(1))
+            ids, at = lines.ids(), np.flatnonzero(lines.of_bytes(least))
+            _, first = np.unique(ids[at], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[first]]), pa.array([lines.body(k) for k in at[first]], pa.binary())], ["id", "body"])
+
+    return run
 
 
 def shingle_sets(bodies: pa.Array) -> list[np.ndarray]:
@@ -119,11 +125,13 @@ def shingle_sets(bodies: pa.Array) -> list[np.ndarray]:
     return [np.unique(runs[a : max(a, b - SHINGLE + 1)]) for a, b in zip(at[:-1], at[1:])]
 
 
-def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """Every compared line (doc_id, line_no, id), and (id, component, first_doc, first_line) of each distinct one.
 
     Lines are trimmed of ASCII white space and compared without the case of A-Z; those of fewer
-    than 24 bytes are never copies. Lines alike to the letter are one node; nodes are linked when
+    than least_bytes are never copies (1: every line that isn't blank is compared, as the
+    registered query does). Those shorter than a shingle are one shingle, so only equal ones are
+    alike, and they need no bands. Lines alike to the letter are one node; nodes are linked when
     the Jaccard index of their sets of 8-byte shingles is 0.8 or more. first_doc and first_line
     are the first place of the component, by doc_id and line_no.
 
@@ -131,14 +139,15 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
     probability (1 - 0.8 ** 5) ** 14 = 0.4 %, one at 0.85 with 0.03 %, one at 0.9 with 1e-5. A
     node's id is a 64-bit hash; among n distinct lines n * n / 2 ** 65 pairs share one by chance.
     """
+    least = max(1, least_bytes)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = materialise(texts.mapInArrow(_places, "doc_id long, line_no long, id long"), "lines")
+    places = materialise(texts.mapInArrow(_places(least), "doc_id long, line_no long, id long"), "lines")
     nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    bands = materialise(texts.mapInArrow(_bands(SHINGLE, permutations, rows), "id long, bands array<long>"), "line-bands")
+    bands = materialise(texts.mapInArrow(_bands(SHINGLE, permutations, rows, least), "id long, bands array<long>"), "line-bands")
     keys = bands.select("id", F.explode("bands").alias("key"))
 
     def bodies_of(ids: DataFrame) -> DataFrame:
-        return texts.mapInArrow(_bodies, "id long, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return texts.mapInArrow(_bodies(max(least, SHINGLE)), "id long, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     _, groups = linked(keys, bodies_of, threshold, shingle_sets)
     placed = nodes.join(groups, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))

@@ -91,7 +91,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratakeep.llm.lines import removed_lines
 
     docs = table(spark, sf_dir, "documents")
-    found = removed_lines(docs).select(F.col("doc_id").alias("d"), "n_compared", "removed")
+    found = removed_lines(docs, least_bytes=1).select(F.col("doc_id").alias("d"), "n_compared", "removed")
     lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     out = docs.select("doc_id", lines.alias("n_lines")).join(found, F.col("doc_id") == F.col("d"), "left")
     removed = F.coalesce("removed", F.array().cast("array<long>"))

@@ -98,3 +98,13 @@ def test_lines(spark, odd):
     out = dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert dedup_lines(odd.limit(0)).count() == 0
+
+
+def test_short_lines(spark, tmp_path):
+    """The query compares every line that isn't blank: short ones exactly, and by shingles where they have some."""
+    from stratakeep.llm.queries import op3_line_dedup
+
+    docs = [(1, "Read more\nAll rights reserved.\n\nOK\n Read   more"), (2, "READ MORE \nall rights reserved\n\nok\nOK!"), (3, "x\ny\nx\n  \n"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_line_dedup(spark, str(tmp_path))
+    assert rows_of(got, "doc_id", "n_compared", "removed_lines") == [(1, 4, []), (2, 4, [0, 1, 3]), (3, 3, [2]), (4, 0, [])]
