@@ -86,3 +86,20 @@ def test_licences(spark, odd):
     assert licences.scan(odd).count() == odd.count() and licences.scan(odd.limit(0)).count() == 0
     both = spark.createDataFrame([(1, "Released under the MIT License.\nLicensed under CC BY 4.0."), (1, "Released under the MIT License.\nLicensed under CC BY 4.0.")], "doc_id long, text string")
     assert [r.licences for r in licences.scan(both).select(F.col("licences")).collect()] == ["cc-by,mit"] * 2
+
+
+def test_targets_are_met(spark):
+    """Every prefix holds the target's share to within a block, with many sources too; a target of 0 gets nothing."""
+    weights = {"hot": 0.5, "none": 0.0} | {f"s{k:03d}": 0.5 / 299 for k in range(299)}
+    docs = [(k, "x" * 99, "hot") for k in range(900)] + [(1000 + 9 * k + j, "x" * 99, f"s{k:03d}") for k in range(299) for j in range(3)] + [(9999, "x", "none")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.schedule(df, weights, block_chars=100).collect()}
+    assert len(rows) == len(docs) and rows[9999].slot is None and rows[9999].passes == 0
+    assert all(abs(r.weight / r.period - weights[r.source]) < 1e-8 for r in rows.values())
+    assert all(r.release <= r.slot < r.deadline for r in rows.values() if r.passes)
+    out = [r.source for r in mixing.mix(df, weights, block_chars=100).select("source").collect()]
+    assert "none" not in out and set(out) == set(weights) - {"none"}
+    hot = 0
+    for t, s in enumerate(out, 1):
+        hot += s == "hot"
+        assert abs(hot - t / 2) < 1
