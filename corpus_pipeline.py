@@ -52,9 +52,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token files, and of each document in them: doc_id, start, n_tokens, ids_crc32."""
+    """Packed token files in the order of the mix, and of each document in them: doc_id, start, n_tokens, ids_crc32.
+
+    That order is the one in which the mix stage's table was written: by task, file and row.
+    """
     ship(spark)
-    return digest(tokenise_to_files(docs, public_tokenizers.path(TOKENIZER), VOCABULARY))
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("long")
+    place = F.shiftleft(number(r"^part-(\d+)"), 44) + F.shiftleft(F.coalesce(number(r"-c(\d+)\."), F.lit(0)), 32) + F.col("_metadata.row_index")
+    placed = docs.select("doc_id", "text", place.alias("mix_place"))
+    return digest(tokenise_to_files(placed, public_tokenizers.path(TOKENIZER), VOCABULARY, order="mix_place"))
 
 
 STAGES = [

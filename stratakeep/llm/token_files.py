@@ -262,20 +262,20 @@ class PackedTokens(DataSource):
         return _Reader(self.options["path"], int(self.options.get("idsPerTask", 4_000_000)))
 
 
-def write_tokens(tokens: DataFrame, doc_ids: DataFrame, path: str, vocabulary: int, dtype: str = "<u4") -> None:
-    """Write tokens (doc_id long, ids: of this type, as binary) in ascending doc_id order (nulls first), ties by ids.
+def write_tokens(tokens: DataFrame, keys: DataFrame, path: str, vocabulary: int, dtype: str = "<u4", order: str = "doc_id") -> None:
+    """Write tokens (doc_id long, ids: of this type, as binary) in ascending order of the column `order` (long; nulls first), ties by ids.
 
-    Shards are ranges of doc_id between quantiles of doc_ids (the same ids, without the work that
+    Shards are ranges of it between quantiles of keys (the same values, without the work that
     tokens take), so that tokens are computed once; a range goes to one task, which may get several.
     """
     spark = tokens.sparkSession
     spark.dataSource.register(PackedTokens)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    row = doc_ids.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 10_000).alias("q")).first()
+    row = keys.agg(F.percentile_approx(order, [k / shards for k in range(1, shards)], 10_000).alias("q")).first()
     bounds = sorted(set(row.q or ()))
-    number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    dealt = tokens.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(number)).repartition("shard")
-    ordered = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids").select("shard", "doc_id", "ids")
+    number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    dealt = tokens.withColumn("shard", F.when(F.col(order).isNull(), 0).otherwise(number)).repartition("shard")
+    ordered = dealt.sortWithinPartitions("shard", F.asc_nulls_first(order), "ids").select("shard", "doc_id", "ids")
     ordered.write.format("packed_tokens").option("bits", bits_for(vocabulary)).option("idType", dtype).mode("append").save(path)
 
 

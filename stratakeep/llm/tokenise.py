@@ -127,20 +127,21 @@ def _encode(path: str, dtype: str, end_id: int):
         try:
             for batch in chunks(batches, "text"):
                 ids = encoder(batch.column(1).to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *batch.columns[2:]], ["doc_id", "ids", *batch.schema.names[2:]])
         finally:
             gc.enable()
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 1) -> DataFrame:
-    """(doc_id, ids as binary) of each document; null and empty texts have the end id alone.
+def encode(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 1, order: str = "doc_id") -> DataFrame:
+    """(doc_id, ids as binary) of each document, and its column `order` (long) if that is another; null and empty texts have the end id alone.
 
     ids are unsigned little-endian, of two bytes for vocabularies of up to 65536 and else of four.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_encode(tokenizer, id_bytes(vocabulary), end_id), "doc_id long, ids binary")
+    more = [] if order == "doc_id" else [order]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return texts.mapInArrow(_encode(tokenizer, id_bytes(vocabulary), end_id), ", ".join(["doc_id long, ids binary", *(f"`{c}` long" for c in more)]))
 
 
 def digest(tokens: DataFrame) -> DataFrame:
@@ -148,12 +149,12 @@ def digest(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-def tokenise_to_files(docs: DataFrame, tokenizer: str, vocabulary: int, path: str | None = None, end_id: int = 1) -> DataFrame:
-    """Encode docs, write them to packed files under `path` (by default a new shared folder) and read those back.
+def tokenise_to_files(docs: DataFrame, tokenizer: str, vocabulary: int, path: str | None = None, end_id: int = 1, order: str = "doc_id") -> DataFrame:
+    """Encode docs, write them to packed files under `path` (by default a new shared folder), ascending in the column `order`, and read those back.
 
     The texts are encoded once, on their way to the shuffle that orders them.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write_tokens(encode(docs, tokenizer, vocabulary, end_id), docs.select(F.col("doc_id").cast("long").alias("doc_id")), path, vocabulary, id_bytes(vocabulary))
+    write_tokens(encode(docs, tokenizer, vocabulary, end_id, order), docs.select(F.col(order).cast("long").alias(order)), path, vocabulary, id_bytes(vocabulary), order)
     return read_tokens(spark, path)

@@ -57,3 +57,14 @@ def test_pipeline(spark, duck):
     assert contamination(seen["decontaminate"], benchmark).where("contaminated").count() == 0
     ids = lambda n: {r.doc_id for r in seen[n].select("doc_id").collect()}
     assert ids("mix") == ids("decontaminate") == ids("token_files") and seen["mix"].count() == seen["token_files"].count()
+
+
+def test_token_files_follow_the_mix(spark):
+    """The packed files hold the documents in the order of the mix, copies in their own places."""
+    import corpus_pipeline as cp
+    from stratakeep.llm.store import materialise
+
+    docs = spark.createDataFrame([(k, f"w{k} " * (1 + k % 7) * 90, "big" if k % 5 else "small") for k in range(600)], "doc_id long, text string, source string")
+    want = [r.doc_id for r in cp.mixed(spark, docs, str(DATA)).select("doc_id").collect()]
+    got = cp.token_files(spark, materialise(cp.mixed(spark, docs, str(DATA)), "mix"), str(DATA)).collect()
+    assert want != sorted(want) and [r.doc_id for r in sorted(got, key=lambda r: r.start)] == want
