@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one doc_id are one document, of which one stays; rows without a doc_id all stay.
     """
     ship(spark)
-    kept = near_documents(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_documents(docs, shingle=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     known = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratakeep.llm.links import band_keys, linked, multipliers
 from stratakeep.llm.store import materialise
+from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import PLAIN, Words, chunks
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, LEAST_BYTES = 8, 35, 5, 24
@@ -107,11 +108,12 @@ def _places(least: int):
     return run
 
 
-def _bodies(least: int):
+def _bodies(least: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in chunks(batches, "text"):
             lines = Lines(batch.column(1))
-            ids, at = lines.ids(), np.flatnonzero(lines.of_bytes(least))
+            ids = lines.ids()
+            at = np.flatnonzero(lines.of_bytes(least) & asked_for(wanted, ids))
             _, first = np.unique(ids[at], return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at[first]]), pa.array([lines.body(k) for k in at[first]], pa.binary())], ["id", "body"])
 
@@ -146,10 +148,11 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
     bands = materialise(texts.mapInArrow(_bands(SHINGLE, permutations, rows, least), "id long, bands array<long>"), "line-bands")
     keys = bands.select("id", F.explode("bands").alias("key"))
 
-    def bodies_of(ids: DataFrame) -> DataFrame:
-        return texts.mapInArrow(_bodies(max(least, SHINGLE)), "id long, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    def bodies_of(ids: DataFrame, n: int) -> DataFrame:
+        wanted = bitmap(ids, F.col("id"), bits_for(n))
+        return texts.mapInArrow(_bodies(max(least, SHINGLE), wanted), "id long, body binary").dropDuplicates(["id"]).join(ids, "id", "left_semi")
 
-    _, groups = linked(keys, bodies_of, threshold, shingle_sets)
+    groups = linked(keys, bodies_of, threshold, shingle_sets)
     placed = nodes.join(groups, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     head = placed.groupBy("component").agg(F.min("first").alias("head"))
     placed = placed.join(head, "component").select("id", "component", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"))

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakeep.llm.components import components
-from stratakeep.llm.store import materialise
+from stratakeep.llm.components import components, roots
+from stratakeep.llm.store import discard, materialise, observed
 from stratakeep.llm.words import mix
 
 _U = np.uint64
@@ -55,6 +55,18 @@ def sorted_sets(bodies: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in bodies]
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of four to eight bits an element; each element turns one bit over.
+
+    Two such bitmaps of one size differ in no more bits than there are elements in one of the
+    sets alone, so that many differing bits prove two sets unlike. The halves of a bitmap,
+    xored, are the set's bitmap of half the size.
+    """
+    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _alike(s: np.ndarray, t: np.ndarray, threshold: int) -> bool:
     if 100 * min(len(s), len(t)) < threshold * max(len(s), len(t)):
         return False
@@ -64,86 +76,53 @@ def _alike(s: np.ndarray, t: np.ndarray, threshold: int) -> bool:
     return 100 * shared >= threshold * (len(s) + len(t) - shared)
 
 
-def _verified(threshold: int, to_sets: Callable) -> Callable:
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            sets = zip(to_sets(batch.column(2)), to_sets(batch.column(3)))
-            keep = [k for k, (s, t) in enumerate(sets) if _alike(s, t, threshold)]
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], ["a", "b"])
-
-    return run
-
-
-def verify(pairs: DataFrame, bodies: DataFrame, threshold: int, to_sets: Callable = sorted_sets) -> DataFrame:
-    """The pairs (a, b) whose full sets meet 100 * |intersection| >= threshold * |union|."""
-    left = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a")
-    full = left.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(_verified(threshold, to_sets), "a long, b long")
-
-
-def _group_links(ids: np.ndarray, component: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """The links across components between one block pair's members."""
-    across = block.min() != block.max()  # two blocks: pairs inside of either are another group's
-    if len(sets) <= 12:
-        pairs = ((i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if component[i] != component[j] and not (across and block[i] == block[j]))
-        return [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in pairs if _alike(sets[i], sets[j], threshold)]
-    sizes = np.array([len(s) for s in sets])
-    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    often = counts[column] > 1  # what only one member has, no two share
-    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
-    width, total = max(1, (8 << 20) // len(sets)), int(column.max()) + 1 if len(column) else 0
-    shared = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, total, width):
-        here = (column >= low) & (column < low + width)
-        has = np.zeros((len(sets), min(width, total - low)), np.float32)
-        has[owner[here], column[here] - low] = 1
-        shared += has @ has.T
-    ok = (100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)) & (ids[:, None] < ids[None, :]) & (component[:, None] != component[None, :])
-    if across:
-        ok &= block[:, None] != block[None, :]
-    return [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(ok))]
-
-
-def _linker(threshold: int, to_sets: Callable) -> Callable:
-    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
-        ids, component, block = (rows.column(c).to_numpy() for c in ("id", "component", "block"))
-        sets = [s for chunk in rows.column("body").chunks for s in to_sets(chunk)]
-        found = [link for a, b in groups for link in _group_links(ids[a:b], component[a:b], block[a:b], sets[a:b], threshold)]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    return work
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-#: Sketches that agree in less than this share can't be of sets with J >= 0.8: over five standard deviations away.
-PLAUSIBLE = 0.6
+def _held(threshold: int, to_sets: Callable) -> Callable:
+    """Rows (head, salt, member, id, body) come sorted, each head's own row in front of its members'."""
 
+    def run(batches):
+        head = None
+        for batch in batches:
+            heads, member, ids = (batch.column(c).to_pylist() for c in ("head", "member", "id"))
+            a, b = [], []
+            for k, s in enumerate(to_sets(batch.column("body"))):
+                if not member[k]:
+                    head = s.copy()
+                elif _alike(head, s, threshold):
+                    a.append(heads[k])
+                    b.append(ids[k])
+            yield _pairs(a, b)
 
-def sketch(signature: np.ndarray) -> bytes:
-    """One byte of every fourth signature value, to estimate a similarity without the sets."""
-    return (signature[::4] >> np.asarray(8, signature.dtype)).astype(np.uint8).tobytes()
+    return run
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), -1)
+def held_against_heads(pairs: DataFrame, bodies: DataFrame, threshold: int, to_sets: Callable = sorted_sets, share: int = 2048) -> DataFrame:
+    """Of the pairs (head, id) those, as (a, b), whose full sets meet 100 * |intersection| >= threshold * |union|.
 
+    A member's set goes to its head's task, not both sets to each pair; a head of very many has
+    its members dealt to tasks of about `share`, each with the head's set in front.
+    """
+    many = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / share).alias("salts"))
+    salted = pairs.join(many, "head").select("head", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(1).alias("member"), "id")
+    own = salted.select("head", "salt").distinct().select("head", "salt", F.lit(0).alias("member"), F.col("head").alias("id"))
+    full = salted.unionByName(own).join(bodies.select("id", "body"), "id").select("head", "salt", "member", "id", "body")
+    return full.repartition("head", "salt").sortWithinPartitions("head", "salt", "member").mapInArrow(_held(threshold, to_sets), "a long, b long")
 
-def _plausible(batches):
-    for batch in batches:
-        if batch.num_rows:
-            same = (_sketches(batch.column(2)) == _sketches(batch.column(3))).mean(axis=1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same >= PLAUSIBLE))
 
+def _with_parity(to_sets: Callable) -> Callable:
+    def run(batches):
+        for batch in batches:
+            sets = to_sets(batch.column(1))
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n, pa.array([parity(s) for s in sets], pa.binary())], ["id", "body", "n", "parity"])
 
-def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches (id, sketch) agree enough for a link."""
-    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_plausible, "a long, b long")
+    return run
 
 
-def _by_group(work: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch]) -> Callable:
+def _in_groups(work: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch]) -> Callable:
     """Groups come sorted by (key, i, j), many to a batch; one that a batch cuts off waits for the next."""
 
     def groups(rows: pa.Table) -> pa.RecordBatch:
@@ -166,97 +145,159 @@ def _by_group(work: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch])
     return run
 
 
-def _families(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
-    """Of each group a forest (a, b) that joins the members whose sketches allow a link across components."""
-    ids, component, block = (rows.column(c).to_numpy() for c in ("id", "component", "block"))
-    marks = np.concatenate([_sketches(c) for c in rows.column("sketch").chunks if len(c)]) if rows.num_rows else np.zeros((0, 1), np.uint8)
-    forest = []
-    for a, b in groups:
-        across, family = block[a:b].min() != block[a:b].max(), np.arange(b - a)
-        for k in range(a, b):
-            partner = component[a:b] != component[k]
-            if across:
-                partner &= block[a:b] != block[k]
-            at = np.flatnonzero(partner)
-            at = at[(marks[a:b][at] == marks[k]).mean(axis=1) >= PLAUSIBLE] if len(at) else at
-            met = np.unique(family[np.r_[at, k - a]])
-            if len(met) > 1:
-                family[np.isin(family, met)] = met[0]
-                forest += [(int(ids[a + met[0]]), int(ids[a + x])) for x in met[1:]]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest], pa.int64()), pa.array([y for _, y in forest], pa.int64())], ["a", "b"])
-
-
 def _starts(rows: pa.Table) -> np.ndarray:
     """Where a new group begins, but for the first."""
     key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
     return np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
 
 
-def dealt(open_: DataFrame, block: int = 512) -> DataFrame:
-    """Members (key, id, component) of a key in pairs of blocks: (key, i, j, id, component, block).
+def _each_unlike(bitmaps: list[bytes]):
+    """For each member k: the members from k on whose bitmaps compare with its own, and in how many bits they differ."""
+    width = np.array([len(x) for x in bitmaps])
+    for w in np.unique(width):
+        same, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        own = np.frombuffer(b"".join(bitmaps[k] for k in same), np.uint8).reshape(len(same), w)
+        rows = np.frombuffer(b"".join(bitmaps[k] for k in twice), np.uint8).reshape(len(twice), 2, w)
+        rows = np.concatenate([own, rows[:, 0] ^ rows[:, 1]]).view(np.uint64)
+        at = np.concatenate([same, twice])
+        for k in range(len(same)):
+            yield same[k], at[k + 1 :], np.bitwise_count(rows[k + 1 :] ^ rows[k]).sum(axis=1, dtype=np.int64)
+
+
+def _families(threshold: int) -> Callable:
+    """Of each group a forest (a, b) that joins the members of different components that bitmaps don't prove unlike."""
+
+    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+        ids, component, block, n = (rows.column(c).to_numpy() for c in ("id", "component", "block", "n"))
+        bitmaps, a_, b_ = rows.column("parity").to_pylist(), [], []
+        for a, b in groups:
+            across, family, own, dealt_to, size = block[a:b].min() != block[a:b].max(), np.arange(b - a), component[a:b], block[a:b], n[a:b]
+            for k, others, differ in _each_unlike(bitmaps[a:b]):
+                total = size[others] + size[k]
+                ok = (own[others] != own[k]) & (differ * (100 + threshold) <= total * (100 - threshold)) & (100 * np.minimum(size[others], size[k]) >= threshold * np.maximum(size[others], size[k]))
+                if across:
+                    ok &= dealt_to[others] != dealt_to[k]
+                met = np.unique(family[np.r_[others[ok], k]])
+                if len(met) > 1:
+                    family[np.isin(family, met)] = met[0]
+                    a_ += [int(ids[a + met[0]])] * (len(met) - 1)
+                    b_ += [int(ids[a + x]) for x in met[1:]]
+        return _pairs(a_, b_)
+
+    return work
+
+
+def _group_links(component: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the links across components between one group's members (with two blocks, across these too)."""
+    sizes = np.array([len(s) for s in sets])
+    apart = component[:, None] != component[None, :]
+    if block.min() != block.max():  # pairs inside of either block are another group's
+        apart &= block[:, None] != block[None, :]
+    apart = np.triu(apart)
+    if len(sets) <= 12:
+        found = [(i, j) for i, j in zip(*np.nonzero(apart)) if _alike(sets[i], sets[j], threshold)]
+        return np.array([i for i, _ in found], np.int64), np.array([j for _, j in found], np.int64)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    often = counts[column] > 1  # what only one member has, no two share
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    width, total = max(1, (8 << 20) // len(sets)), int(column.max()) + 1 if len(column) else 0
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, total, width):
+        here = (column >= low) & (column < low + width)
+        has = np.zeros((len(sets), min(width, total - low)), np.float32)
+        has[owner[here], column[here] - low] = 1
+        shared += has @ has.T
+    return np.nonzero(apart & (100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)))
+
+
+def _linker(threshold: int, to_sets: Callable) -> Callable:
+    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+        component, block = (rows.column(c).to_numpy() for c in ("component", "block"))
+        sets = [s for chunk in rows.column("body").chunks for s in to_sets(chunk)]
+        low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in groups:
+            i, j = _group_links(component[a:b], block[a:b], sets[a:b], threshold)
+            low.append(component[a:b][i])
+            high.append(component[a:b][j])
+        node, root = roots(np.concatenate(low), np.concatenate(high))
+        return _pairs(root[node != root], node[node != root])
 
-    A key's members are dealt into blocks of about `block`, and each pair of blocks is one group,
-    so that no group grows with the key.
+    return work
+
+
+def dealt(open_: DataFrame, block: int = 2048) -> DataFrame:
+    """Members (key, id, component) of each key in groups (key, i, j, id, component, block), for comparing across components.
+
+    A key's members are dealt into blocks of about `block`, those of its largest component into
+    blocks of their own, and two blocks are one group: any two of the others', or one of the
+    others' and one of the largest's. So no group grows with the key, and where all but a few
+    members are of one component, rows don't grow with the square of its size.
     """
-    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    rows = open_.join(sizes, "key").withColumn("blocks", F.ceil(F.col("members") / block)).withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
-    rows = rows.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("key").agg(F.sum("size").alias("members"), F.max(F.struct("size", "component")).alias("bulk"))
+    of = F.ceil((F.col("members") - F.col("bulk.size")) / block)
+    sizes = sizes.where(F.col("members") > F.col("bulk.size")).select("key", F.col("bulk.component").alias("largest"), of.alias("rest"), F.ceil(F.col("bulk.size") / block).alias("bulk"))
+    is_bulk = F.col("component") == F.col("largest")
+    mine = F.when(is_bulk, F.col("rest") + F.pmod(F.xxhash64("id", "key"), "bulk")).otherwise(F.pmod(F.xxhash64("id", "key"), "rest"))
+    last = F.when(is_bulk, F.col("rest")).otherwise(F.col("rest") + F.col("bulk")) - 1
+    rows = open_.join(sizes, "key").select("key", "id", "component", mine.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
     return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
 
 
-def families(open_: DataFrame, sketches: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, bodies: DataFrame, work: Callable, *columns: str) -> DataFrame:
+    full = rows.join(bodies.select("id", *columns), "id").select("key", "i", "j", "id", "component", "block", *columns)
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_in_groups(work), "a long, b long")
+
+
+def families(open_: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
     """(key, id, component): members of all bands regrouped, so that each is in one group alone.
 
-    A family is what plausible pairs across components connect; every such pair is inside of one.
+    A family is what pairs connect that share a band, are in different components, and that
+    neither their sizes nor their bitmaps prove unlike; every pair that may be linked is inside
+    of one. Members of no family are left out.
     """
-    rows = dealt(open_).join(sketches, "id").select("key", "i", "j", "id", "component", "block", "sketch")
-    forest = _grouped(rows).mapInArrow(_by_group(_families), "a long, b long").distinct()
+    forest = _grouped(dealt(open_), bodies, _families(threshold), "n", "parity")
     own = components(forest).select("id", F.col("component").alias("key"))
     return own.join(open_.select("id", "component").distinct(), "id").select("key", "id", "component")
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-
 def across_components(rows: DataFrame, bodies: DataFrame, threshold: int, to_sets: Callable = sorted_sets) -> DataFrame:
-    """Links (a, b) between members of one group of `dealt` that are in different components.
+    """A forest (a, b) of the components that links join, of members of one group of `dealt`.
 
-    The sets are compared inside the group, and only links come out.
+    The sets are compared inside the group, and of the components joined there only a forest comes out.
     """
-    full = rows.join(bodies, "id").select("key", "i", "j", "id", "component", "block", "body")
-    return _grouped(full).mapInArrow(_by_group(_linker(threshold, to_sets)), "a long, b long").distinct()
+    return _grouped(rows, bodies, _linker(threshold, to_sets), "body")
 
 
-def linked(rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets, sketches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between items, and the components (id, component) they make.
+def linked(rows: DataFrame, bodies_of: Callable[[DataFrame, int], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets) -> DataFrame:
+    """(id, component) of every item that has a link; component is the least id reachable.
 
     rows: (id long, key long), an item's band keys; repeated rows do no harm. bodies_of gets a
-    frame of ids and gives (id, body binary), of an array of which to_sets makes the items' sorted sets.
+    frame of ids and their number and gives (id, body binary), one row for each, of an array of which
+    to_sets makes the items' sorted sets.
 
     Sets that share a band are candidates. First all members of a band are held against one
-    leader, the member that meets most others over all bands (in a group of near copies the text
+    head, the member that meets most others over all bands (in a group of near copies the text
     they derive from). Where the links found leave a band's members in more than one component,
-    its members are compared across components, in blocks. With sketches (id, sketch), pairs that
-    can't be linked go before the sets are fetched, and members are regrouped into families, so
-    that a set is fetched once and not for each band. No candidate pair that could join
-    two components is left out, and no pairs but links and those with a leader become rows.
+    its members are compared across components: bitmaps, which can only tell apart what isn't
+    linked, sort them into families, in which the full sets decide. No candidate pair that could
+    join two components is left out, and no pairs but those with a head become rows.
     """
-    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowded = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high").select("key", "members")
     members = materialise(rows.join(crowded, "key").distinct(), "bands")
     score = members.groupBy("id").agg(F.sum("members").alias("score"))
-    lead = members.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("other"))
-    pairs = members.join(lead, "key").where(F.col("id") != F.col("other"))
-    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    pairs = materialise(pairs if sketches is None else plausible(pairs, sketches), "pairs")
-    bodies = materialise(bodies_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "bodies")
-    found = materialise(verify(pairs, bodies, threshold, to_sets), "links")
-
-    placed = members.join(components(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    ids, about = observed(score, "ids")
+    bodies = materialise(bodies_of(ids.select("id"), about["n"]).mapInArrow(_with_parity(to_sets), "id long, body binary, n long, parity binary"), "bodies")
+    head = members.join(ids, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("head"))
+    pairs = materialise(members.join(head, "key").where(F.col("id") != F.col("head")).select("head", "id").distinct(), "pairs")
+    first = materialise(components(held_against_heads(pairs, bodies, threshold, to_sets)), "first")
+
+    placed = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     open_ = materialise(placed.join(mixed, "key"), "open")
-    if sketches is not None:
-        open_ = materialise(families(open_, sketches), "families")
-        bodies = materialise(bodies_of(open_.select("id").distinct()), "bodies")
-    found = materialise(found.unionByName(across_components(dealt(open_), bodies, threshold, to_sets)), "links")
-    return found, components(found)
+    near = materialise(families(open_, bodies, threshold), "families")
+    second = materialise(components(across_components(dealt(near), bodies, threshold, to_sets)), "second")
+    discard(members, ids, bodies, pairs, open_, near)
+    own = first.unionByName(second.select("id", F.col("id").alias("component"))).distinct()
+    return own.join(second.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))

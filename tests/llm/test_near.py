@@ -56,28 +56,107 @@ def corpus(seed):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_near_documents_is_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed, words", [(0, 4), (1, 5), (2, 4)])
+def test_near_documents_is_brute_force(spark, monkeypatch, seed, words):
     docs = corpus(seed)
-    sets = {k: sets_of(t) for k, t in docs}
+    sets = {k: sets_of(t, words) for k, t in docs}
     edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = brute_components(edges)
-    got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"), shingle=words)
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(((k, len(sets[k]), want.get(k, k), want.get(k, k) == k) for k in sets), key=str)
 
 
-def test_blocks_lose_no_link(spark):
-    """A hub that a large band's members link to one by one, though not to each other; in blocks of 3."""
+@pytest.mark.parametrize("seed", range(2))
+def test_star_rounds(spark, seed):
+    """Tasks of 20 edges: contraction within tasks isn't enough, and rounds between them follow."""
+    rng = random.Random(seed)
+    edges = [(k, k + 1) for k in range(0, 80)] + [(500, k) for k in range(600, 660)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
+    rng.shuffle(edges)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), edges_a_task=20).collect()}
+    assert got == brute_components([e for e in edges if e[0] != e[1]])
+
+
+def hub_and_leaves():
+    """A hub that members link to one by one, though mostly not to each other."""
     import numpy as np
 
     rng = np.random.default_rng(1)
     hub = np.sort(rng.integers(1, 1 << 60, 100, dtype=np.uint64))
-    bodies = [(0, hub)] + [(k, np.sort(np.r_[hub[rng.permutation(100)[:88]], rng.integers(1, 1 << 60, 6, dtype=np.uint64)])) for k in range(1, 20)]
-    want = {(0, k) for k in range(1, 20)} | {(a, b) for a, x in bodies[1:] for b, y in bodies[1:] if a < b and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
-    open_ = spark.createDataFrame([(7, k, k) for k, _ in bodies], "key long, id long, component long")
+    return [(0, hub)] + [(k, np.sort(np.r_[hub[rng.permutation(100)[:88]], rng.integers(1, 1 << 60, 6, dtype=np.uint64)])) for k in range(1, 20)]
+
+
+@pytest.mark.parametrize("component", [lambda k: k, lambda k: 100 if 2 < k < 15 else k])
+def test_blocks_lose_no_link(spark, component):
+    """Of every two components that a link joins, the forest tells; in blocks of 3."""
+    import numpy as np
+
+    bodies = hub_and_leaves()
+    open_ = spark.createDataFrame([(7, k, component(k)) for k, _ in bodies], "key long, id long, component long")
     stored = spark.createDataFrame([(k, x.tobytes()) for k, x in bodies], "id long, body binary")
-    got = links.across_components(links.dealt(open_, block=3), stored, 80).collect()
-    assert {(r.a, r.b) for r in got} == want
+    want = [(component(a), component(b)) for a, x in bodies for b, y in bodies if a < b and component(a) != component(b) and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))]
+    groups = links.dealt(open_, block=3)
+    got = links.across_components(groups, stored, 80).collect()
+    assert brute_components([(r.a, r.b) for r in got]) == brute_components(want)
+    assert {(r.a, r.b) for r in got} <= {(min(c, d), max(c, d)) for c, d in brute_pairs(want)}
+    sizes = [r["count"] for r in groups.groupBy("i", "j").count().collect()]
+    assert max(sizes) < 20
+    seen = {(x, y) for rows in by_group(groups) for x in rows for y in rows}
+    assert all((a, b) in seen for a, _ in bodies for b, _ in bodies if component(a) != component(b))
+
+
+def brute_pairs(edges):
+    """All pairs of nodes of one component."""
+    of = brute_components(edges)
+    return {(a, b) for a in of for b in of if of[a] == of[b] and a != b}
+
+
+def by_group(groups):
+    out = {}
+    for r in groups.collect():
+        out.setdefault((r.key, r.i, r.j), []).append(r.id)
+    return out.values()
+
+
+def test_a_large_component_is_not_paired_with_itself(spark):
+    """2,000 members of one component and 5 others: each of the 2,000 stands in one group alone."""
+    open_ = spark.createDataFrame([(1, k, 0 if k < 2000 else k) for k in range(2005)], "key long, id long, component long")
+    assert links.dealt(open_, block=100).where("component = 0").count() == 2000
+
+
+def test_parity_never_hides_a_link():
+    """Bitmaps differ in no more bits than the sets in elements, whatever their sizes."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 15, 16, 17, 60, 128, 129, 500, 4000):
+        base = rng.integers(1, 1 << 60, size, dtype=np.uint64)
+        sets = [np.unique(np.r_[base[rng.random(size) < share], rng.integers(1, 1 << 60, extra, dtype=np.uint64)]) for share in (0.5, 0.85, 1) for extra in (1, 1 + size // 10, 1 + size)]
+        for k, others, differ in links._each_unlike([links.parity(s) for s in sets]):
+            for other, bits in zip(others, differ):
+                assert bits <= len(np.setxor1d(sets[k], sets[other]))
+
+
+def test_recall_at_the_threshold():
+    """Pairs of sets at J = 0.8 exactly share a band of the documents' signatures, and 99.6 in 100 one of the lines'."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for permutations, dtype, rows, least in ((224, np.uint64, 7, 1.0), (35, np.uint32, 5, 0.985)):
+        by, met = links.multipliers(permutations, dtype), []
+        for n in (8, 40, 200):
+            for _ in range(200):
+                x = rng.integers(1, np.iinfo(dtype).max, n + n // 4, dtype=dtype)
+                s, t = x[: n + n // 8], np.r_[x[: n], x[n + n // 8 :]]
+                met.append(bool((links.band_keys(links.min_max(s, by), rows) == links.band_keys(links.min_max(t, by), rows)).any()))
+        assert np.mean(met) >= least
+
+
+def test_one_id_with_two_texts(spark):
+    """Each text of a repeated doc_id has its own links."""
+    rng = random.Random(8)
+    a, b = (" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(60)) for _ in range(2))
+    got = near_documents(spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "else")], "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "component_id", "kept") == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
 
 
 def test_odd_documents(spark, odd):
