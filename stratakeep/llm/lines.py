@@ -79,31 +79,23 @@ def _signatures(lines: Lines, chosen: np.ndarray, shingle: int, by: np.ndarray)
     return out
 
 
-def _bands(shingle: int, permutations: int, rows: int, least: int):
+def _signed(shingle: int, permutations: int, rows: int, least: int):
     by = multipliers(permutations, np.uint32)
 
-    def run(batches):
-        for batch in chunks(batches, "text"):
-            lines = Lines(batch.column(1))
-            ids = lines.ids()
-            at = np.flatnonzero(lines.of_bytes(max(least, shingle)))
-            _, first = np.unique(ids[at], return_index=True)
-            at = at[first]
-            if not len(at):
-                continue
-            keys = band_keys(_signatures(lines, at, shingle, by), rows)
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["id", "bands"])
-
-    return run
-
-
-def _places(least: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in chunks(batches, "text"):
             lines = Lines(batch.column(1))
             at = np.flatnonzero(lines.of_bytes(least))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), pa.array(lines.ids()[at])], ["doc_id", "line_no", "id"])
+            ids = lines.ids()[at]
+            _, first = np.unique(ids, return_index=True)
+            first = np.sort(first[lines.of_bytes(shingle)[at[first]]])
+            keys = band_keys(_signatures(lines, at[first], shingle, by), rows) if len(first) else np.zeros((0, 1), np.int64)
+            has = np.zeros(len(at) + 1, np.int32)
+            has[first + 1] = keys.shape[1]
+            missing = np.ones(len(at), bool)
+            missing[first] = False
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(has, dtype=np.int32)), pa.array(keys.ravel()), mask=pa.array(missing))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), pa.array(ids), bands], ["doc_id", "line_no", "id", "bands"])
 
     return run
 
@@ -143,16 +135,15 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
     """
     least = max(1, least_bytes)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = materialise(texts.mapInArrow(_places(least), "doc_id long, line_no long, id long"), "lines")
+    lines = materialise(texts.mapInArrow(_signed(SHINGLE, permutations, rows, least), "doc_id long, line_no long, id long, bands array<long>"), "lines")
+    places = lines.select("doc_id", "line_no", "id")
     nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    bands = materialise(texts.mapInArrow(_bands(SHINGLE, permutations, rows, least), "id long, bands array<long>"), "line-bands")
-    keys = bands.select("id", F.explode("bands").alias("key"))
 
     def bodies_of(ids: DataFrame, n: int) -> DataFrame:
         wanted = bitmap(ids, F.col("id"), bits_for(n))
         return texts.mapInArrow(_bodies(max(least, SHINGLE), wanted), "id long, body binary").dropDuplicates(["id"]).join(ids, "id", "left_semi")
 
-    groups = linked(keys, bodies_of, threshold, shingle_sets)
+    groups = linked(lines.where("bands is not null").select("id", "bands"), bodies_of, threshold, shingle_sets)
     placed = nodes.join(groups, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     head = placed.groupBy("component").agg(F.min("first").alias("head"))
     placed = placed.join(head, "component").select("id", "component", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"))

@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakeep.llm.components import components, roots
 from stratakeep.llm.store import discard, materialise, observed
+from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import mix
 
 _U = np.uint64
@@ -270,10 +272,37 @@ def across_components(rows: DataFrame, bodies: DataFrame, threshold: int, to_set
     return _grouped(rows, bodies, _linker(threshold, to_sets), "body")
 
 
-def linked(rows: DataFrame, bodies_of: Callable[[DataFrame, int], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets) -> DataFrame:
+def _met(map_) -> Callable:
+    """Of (id, bands) the keys (id, key) that others may share."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            keys, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())
+            at = np.flatnonzero(asked_for(map_, keys))
+            ids = batch.column(0).to_numpy()[np.searchsorted(ends, at, side="right")]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys[at])], ["id", "key"])
+
+    return run
+
+
+def crowded_bands(bands: DataFrame) -> DataFrame:
+    """(id, key, members) of the band keys that different items share; bands: (id long, bands array<long>).
+
+    Keys are counted, and a bitmap of the shared ones keeps nearly all others out of the join that follows.
+    """
+    keys = bands.select("id", F.explode("bands").alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members"))
+    shared, about = observed(keys.where("low != high").select("key", "members"), "shared")
+    map_ = bitmap(shared, F.col("key"), bits_for(about["n"]))
+    members = materialise(bands.mapInArrow(_met(map_), "id long, key long").join(shared, "key").distinct(), "bands")
+    discard(shared)
+    return members
+
+
+def linked(bands: DataFrame, bodies_of: Callable[[DataFrame, int], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets) -> DataFrame:
     """(id, component) of every item that has a link; component is the least id reachable.
 
-    rows: (id long, key long), an item's band keys; repeated rows do no harm. bodies_of gets a
+    bands: (id long, bands array<long>), an item's band keys; repeated rows do no harm. bodies_of gets a
     frame of ids and their number and gives (id, body binary), one row for each, of an array of which
     to_sets makes the items' sorted sets.
 
@@ -284,8 +313,7 @@ def linked(rows: DataFrame, bodies_of: Callable[[DataFrame, int], DataFrame], th
     linked, sort them into families, in which the full sets decide. No candidate pair that could
     join two components is left out, and no pairs but those with a head become rows.
     """
-    crowded = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high").select("key", "members")
-    members = materialise(rows.join(crowded, "key").distinct(), "bands")
+    members = crowded_bands(bands)
     score = members.groupBy("id").agg(F.sum("members").alias("score"))
     ids, about = observed(score, "ids")
     bodies = materialise(bodies_of(ids.select("id"), about["n"]).mapInArrow(_with_parity(to_sets), "id long, body binary, n long, parity binary"), "bodies")

@@ -75,7 +75,7 @@ def near_documents(docs: DataFrame, shingle: int = 4, threshold: int = 80, permu
         found = texts.where(F.col("doc_id").isNotNull()).select(slot.alias("slot"), "text").mapInArrow(_sets(shingle, wanted), "id long, body binary")
         return found.dropDuplicates(["id"]).join(ids, "id", "left_semi")
 
-    groups = linked(nodes.select("id", F.explode("bands").alias("key")), bodies_of, threshold)
+    groups = linked(nodes.select("id", "bands"), bodies_of, threshold)
     placed = nodes.join(groups, "id", "left").select("id", "least_doc", F.coalesce("component", "id").alias("component"))
     least = placed.groupBy("component").agg(F.min("least_doc").alias("component_doc"))
     placed = placed.join(least, "component").select("id", "component_doc")
