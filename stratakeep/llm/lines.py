@@ -95,7 +95,8 @@ def _signed(shingle: int, permutations: int, rows: int, least: int):
             missing = np.ones(len(at), bool)
             missing[first] = False
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(has, dtype=np.int32)), pa.array(keys.ravel()), mask=pa.array(missing))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), pa.array(ids), bands], ["doc_id", "line_no", "id", "bands"])
+            of_row = np.bincount(lines.row[at], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), pa.array(of_row[lines.row[at]]), pa.array(ids), bands], ["doc_id", "line_no", "of", "id", "bands"])
 
     return run
 
@@ -120,14 +121,15 @@ def shingle_sets(bodies: pa.Array) -> list[np.ndarray]:
 
 
 def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Every compared line (doc_id, line_no, id), and (id, component, first_doc, first_line) of each distinct one.
+    """Every compared line (doc_id, line_no, of, id), and (id, first_doc, first_line) of each one that has copies.
 
     Lines are trimmed of ASCII white space and compared without the case of A-Z; those of fewer
     than least_bytes are never copies (1: every line that isn't blank is compared, as the
     registered query does). Those shorter than a shingle are one shingle, so only equal ones are
     alike, and they need no bands. Lines alike to the letter are one node; nodes are linked when
     the Jaccard index of their sets of 8-byte shingles is 0.8 or more. first_doc and first_line
-    are the first place of the component, by doc_id and line_no.
+    are the first place of the component, by doc_id and line_no; of is how many lines of the
+    text are compared.
 
     35 permutations give 70 values, in 14 bands of 5: a pair at J = 0.8 shares no band with
     probability (1 - 0.8 ** 5) ** 14 = 0.4 %, one at 0.85 with 0.03 %, one at 0.9 with 1e-5. A
@@ -135,28 +137,34 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
     """
     least = max(1, least_bytes)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = materialise(texts.mapInArrow(_signed(SHINGLE, permutations, rows, least), "doc_id long, line_no long, id long, bands array<long>"), "lines")
-    places = lines.select("doc_id", "line_no", "id")
-    nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    lines = materialise(texts.mapInArrow(_signed(SHINGLE, permutations, rows, least), "doc_id long, line_no long, of long, id long, bands array<long>"), "lines")
+    places = lines.select("doc_id", "line_no", "of", "id")
 
     def bodies_of(ids: DataFrame, n: int) -> DataFrame:
         wanted = bitmap(ids, F.col("id"), bits_for(n))
         return texts.mapInArrow(_bodies(max(least, SHINGLE), wanted), "id long, body binary").dropDuplicates(["id"]).join(ids, "id", "left_semi")
 
     groups = linked(lines.where("bands is not null").select("id", "bands"), bodies_of, threshold, shingle_sets)
-    placed = nodes.join(groups, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
-    head = placed.groupBy("component").agg(F.min("first").alias("head"))
-    placed = placed.join(head, "component").select("id", "component", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"))
-    return places, placed
+    nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"))
+    copied = nodes.join(groups, "id", "left").where("times > 1 or component is not null")
+    copied = materialise(copied.select("id", F.coalesce("component", "id").alias("component"), "first"), "copied")
+    head = copied.groupBy("component").agg(F.min("first").alias("head"))
+    return places, copied.join(head, "component").select("id", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"))
 
 
 def removed_lines(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_compared, removed: the numbers of the lines to drop, ascending) of documents with compared lines."""
-    places, placed = line_components(docs, **options)
-    at = places.join(placed, "id")
-    other = (F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line"))
-    at = at.select("doc_id", "line_no", other.alias("drop")).distinct()
-    return at.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_compared"), F.array_sort(F.collect_list(F.when(F.col("drop"), F.col("line_no")))).alias("removed"))
+    """(doc_id, n_compared, removed: the numbers of the lines to drop, ascending) of documents with compared lines.
+
+    Blank lines, null and empty texts and rows with a null doc_id have none. Of equal or alike
+    lines the first place stays, by doc_id and then by line. Repeated rows of a doc_id are one
+    document; where their texts differ, a line number counts if it does in either of them, and
+    n_compared is that of the text with most. An empty table gives no rows.
+    """
+    places, copied = line_components(docs, **options)
+    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line"))
+    dropped = places.join(copied, "id").where(later).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    counted = places.groupBy("doc_id").agg(F.max("of").alias("n_compared"))
+    return counted.join(dropped, "doc_id", "left").select("doc_id", "n_compared", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:

@@ -166,25 +166,66 @@ def _each_unlike(bitmaps: list[bytes]):
             yield same[k], at[k + 1 :], np.bitwise_count(rows[k + 1 :] ^ rows[k]).sum(axis=1, dtype=np.int64)
 
 
-def _families(threshold: int) -> Callable:
-    """Of each group a forest (a, b) that joins the members of different components that bitmaps don't prove unlike."""
+def _pairs_inside(groups: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places inside of each group, for groups of few members."""
+    starts, sizes = np.array([a for a, _ in groups]), np.array([b - a for a, b in groups])
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(size, 1)
+        low.append((starts[sizes == size, None] + i).ravel())
+        high.append((starts[sizes == size, None] + j).ravel())
+    return np.concatenate(low), np.concatenate(high)
+
+
+def _differ(i: np.ndarray, j: np.ndarray, width: np.ndarray, bitmaps: list[bytes]) -> np.ndarray:
+    """In how many bits the bitmaps of each pair differ; one is at most twice as wide as the other."""
+    out, least = np.zeros(len(i), np.int64), np.minimum(width[i], width[j])
+    for w in np.unique(least):
+        same, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        wide = np.frombuffer(b"".join(bitmaps[k] for k in twice), np.uint8).reshape(len(twice), 2, w)
+        rows = np.frombuffer(b"".join(bitmaps[k] for k in same), np.uint8).reshape(len(same), w)
+        rows = np.concatenate([rows, wide[:, 0] ^ wide[:, 1]]).view(np.uint64)
+        place = np.zeros(len(width), np.int64)
+        place[same], place[twice] = np.arange(len(same)), len(same) + np.arange(len(twice))
+        at = np.flatnonzero(least == w)
+        for k in range(0, len(at), step := max(1, (1 << 22) // int(w))):
+            part = at[k : k + step]
+            out[part] = np.bitwise_count(rows[place[i[part]]] ^ rows[place[j[part]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _near_sizes(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
+
+
+def _families(threshold: int, few: int = 48) -> Callable:
+    """A forest (a, b) that joins the members of a group in different components that bitmaps don't prove unlike."""
 
     def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
         ids, component, block, n = (rows.column(c).to_numpy() for c in ("id", "component", "block", "n"))
-        bitmaps, a_, b_ = rows.column("parity").to_pylist(), [], []
+        two_blocks = rows.column("i").to_numpy() != rows.column("j").to_numpy()  # pairs inside of either are another group's
+        bitmaps, a_, b_ = rows.column("parity").to_pylist(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        i, j = _pairs_inside([(a, b) for a, b in groups if b - a <= few])
+        ok = (component[i] != component[j]) & ~(two_blocks[i] & (block[i] == block[j])) & _near_sizes(n[i], n[j], threshold)
+        i, j = i[ok], j[ok]
+        ok = _differ(i, j, np.array([len(x) for x in bitmaps], np.int64), bitmaps) * (100 + threshold) <= (n[i] + n[j]) * (100 - threshold)
+        a_.append(ids[i[ok]])
+        b_.append(ids[j[ok]])
         for a, b in groups:
-            across, family, own, dealt_to, size = block[a:b].min() != block[a:b].max(), np.arange(b - a), component[a:b], block[a:b], n[a:b]
+            if b - a <= few:
+                continue
+            across, family, own, dealt_to, size = two_blocks[a], np.arange(b - a), component[a:b], block[a:b], n[a:b]
             for k, others, differ in _each_unlike(bitmaps[a:b]):
-                total = size[others] + size[k]
-                ok = (own[others] != own[k]) & (differ * (100 + threshold) <= total * (100 - threshold)) & (100 * np.minimum(size[others], size[k]) >= threshold * np.maximum(size[others], size[k]))
+                ok = (own[others] != own[k]) & (differ * (100 + threshold) <= (size[others] + size[k]) * (100 - threshold)) & _near_sizes(size[others], size[k], threshold)
                 if across:
                     ok &= dealt_to[others] != dealt_to[k]
                 met = np.unique(family[np.r_[others[ok], k]])
                 if len(met) > 1:
                     family[np.isin(family, met)] = met[0]
-                    a_ += [int(ids[a + met[0]])] * (len(met) - 1)
-                    b_ += [int(ids[a + x]) for x in met[1:]]
-        return _pairs(a_, b_)
+            a_.append(ids[a:b])
+            b_.append(ids[a:b][family])
+        node, root = roots(np.concatenate(a_), np.concatenate(b_))
+        return _pairs(root[node != root], node[node != root])
 
     return work
 
@@ -287,12 +328,12 @@ def _met(map_) -> Callable:
 
 
 def crowded_bands(bands: DataFrame) -> DataFrame:
-    """(id, key, members) of the band keys that different items share; bands: (id long, bands array<long>).
+    """(id, key) of the band keys that different items share; bands: (id long, bands array<long>).
 
     Keys are counted, and a bitmap of the shared ones keeps nearly all others out of the join that follows.
     """
-    keys = bands.select("id", F.explode("bands").alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members"))
-    shared, about = observed(keys.where("low != high").select("key", "members"), "shared")
+    keys = bands.select("id", F.explode("bands").alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    shared, about = observed(keys.where("low != high").select("key"), "shared")
     map_ = bitmap(shared, F.col("key"), bits_for(about["n"]))
     members = materialise(bands.mapInArrow(_met(map_), "id long, key long").join(shared, "key").distinct(), "bands")
     discard(shared)
@@ -307,14 +348,14 @@ def linked(bands: DataFrame, bodies_of: Callable[[DataFrame, int], DataFrame], t
     to_sets makes the items' sorted sets.
 
     Sets that share a band are candidates. First all members of a band are held against one
-    head, the member that meets most others over all bands (in a group of near copies the text
-    they derive from). Where the links found leave a band's members in more than one component,
+    head, the member that shares most of its bands (in a group of near copies the text they
+    derive from). Where the links found leave a band's members in more than one component,
     its members are compared across components: bitmaps, which can only tell apart what isn't
     linked, sort them into families, in which the full sets decide. No candidate pair that could
     join two components is left out, and no pairs but those with a head become rows.
     """
     members = crowded_bands(bands)
-    score = members.groupBy("id").agg(F.sum("members").alias("score"))
+    score = members.groupBy("id").agg(F.count(F.lit(1)).alias("score"))
     ids, about = observed(score, "ids")
     bodies = materialise(bodies_of(ids.select("id"), about["n"]).mapInArrow(_with_parity(to_sets), "id long, body binary, n long, parity binary"), "bodies")
     head = members.join(ids, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("head"))
