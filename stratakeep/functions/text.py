@@ -49,13 +49,16 @@ def version_at_least(version: Column, least: str) -> Column:
     return numbers >= F.array(*[F.lit(int(x)) for x in least.split(".")])
 
 
+def _as_hosted(url: Column) -> Column:
+    """A URL read as scheme://provider/bucket/key, with the bucket put in front of the provider; null if it has no bucket."""
+    parts = r"\A([^/]*)//([^/]*)/([^/]*)/?(.*)\z"
+    scheme, provider, bucket, key = (F.regexp_extract(url, parts, k) for k in (1, 2, 3, 4))
+    return F.when(url.rlike(parts), F.concat(scheme, F.lit("//"), bucket, F.lit("."), provider, F.lit("/"), key))
+
+
 def same_endpoint(a: Column, b: Column) -> Column:
-    """Whether two bucket URLs are one, be they path-style or virtual-hosted."""
-    slashes = lambda x: F.length(x) - F.length(F.replace(x, F.lit("/"), F.lit("")))
-    long_, short = F.when(slashes(a) < slashes(b), b).otherwise(a), F.when(slashes(a) < slashes(b), a).otherwise(b)
-    p = F.split(long_, "/")
-    hosted = F.concat(F.get(p, F.lit(0)), F.lit("//"), F.get(p, F.lit(3)), F.lit("."), F.get(p, F.lit(2)), F.lit("/"), F.array_join(F.slice(p, 5, F.greatest(F.size(p) - 4, F.lit(0))), "/"))
-    return F.when(slashes(a) == slashes(b), a == b).when(slashes(long_) < 3, F.lit(False)).otherwise(hosted == short)
+    """Whether two bucket URLs are one: as written, or with one read as path-style and the other as virtual-hosted."""
+    return (a == b) | F.coalesce(_as_hosted(a) == b, F.lit(False)) | F.coalesce(a == _as_hosted(b), F.lit(False))
 
 
 def label(text: Column) -> Column:

@@ -106,6 +106,79 @@ def test_rewrites(values):
     assert got[5:] == ["/p", None]
 
 
+U, INNER = "f8456d96-67fe-45bf-9126-61f83c4b2682", "00000000-1111-2222-3333-444444444444"
+#: (statement, is it a view, without replication?, with a UUID?, what it becomes); the replica's name becomes {replica}.
+REWRITTEN = [
+    ("CREATE TABLE d.t (p Int32, n Int32) ENGINE = MergeTree PARTITION BY p ORDER BY (p, n)", False, True, False, None),
+    ("CREATE TABLE d.t (s String) ENGINE = MergeTree ORDER BY n", False, True, True, f"CREATE TABLE d.t UUID '{U}' (s String) ENGINE = MergeTree ORDER BY n"),
+    ("CREATE TABLE d.t (n Int32) ENGINE = ReplicatedMergeTree('/tables/d/t', 'replica1') ORDER BY (p, n)", False, True, False, "CREATE TABLE d.t (n Int32) ENGINE = MergeTree ORDER BY (p, n)"),
+    ("CREATE TABLE d.t (n Int32) ENGINE = ReplicatedMergeTree('/tables/d/t', 'replica1') ORDER BY n", False, False, False, "CREATE TABLE d.t (n Int32) ENGINE = ReplicatedMergeTree('/tables/d/t', '{replica}') ORDER BY n"),
+    ("CREATE TABLE d.t (n Int32) ENGINE = ReplicatedReplacingMergeTree('/t', 'r', ver) ORDER BY n", False, False, False, "CREATE TABLE d.t (n Int32) ENGINE = ReplicatedReplacingMergeTree('/t', '{replica}', ver) ORDER BY n"),
+    ("CREATE TABLE d.t (n Int32) ENGINE = ReplicatedMergeTree ORDER BY n", False, True, False, None),
+    ("CREATE TABLE d.t (a DateTime) ENGINE = Distributed('c', 'd', 'l')", False, True, True, f"CREATE TABLE d.t UUID '{U}' (a DateTime) ENGINE = Distributed('c', 'd', 'l')"),
+    ("CREATE TABLE d.t ENGINE = Distributed('c', 'd', 'l')", False, True, True, f"CREATE TABLE d.t UUID '{U}' ENGINE = Distributed('c', 'd', 'l')"),
+    ("CREATE DICTIONARY d.t (n1 UInt32)", False, True, False, None),
+    ("CREATE DICTIONARY d.t (n1 UInt32)", False, True, True, f"CREATE DICTIONARY d.t UUID '{U}' (n1 UInt32)"),
+    ("CREATE TABLE _ (n Int32) ENGINE = MergeTree", False, True, False, "CREATE TABLE `d`.`t` (n Int32) ENGINE = MergeTree"),
+    ("CREATE TABLE t (n Int32) ENGINE = MergeTree", False, True, False, "CREATE TABLE `d`.`t` (n Int32) ENGINE = MergeTree"),
+    ("CREATE VIEW _ AS SELECT n FROM d.table_01", True, True, False, "CREATE VIEW `d`.`t` AS SELECT n FROM d.table_01"),
+    ("CREATE LIVE VIEW _ AS SELECT n FROM d.table_01", True, True, False, "CREATE LIVE VIEW `d`.`t` AS SELECT n FROM d.table_01"),
+    ("CREATE MATERIALIZED VIEW `d`.`t` AS SELECT 1", True, False, True, f"CREATE MATERIALIZED VIEW `d`.`t` UUID '{U}' TO INNER UUID '{INNER}' AS SELECT 1"),
+    ("ATTACH TABLE `d`.`t` (n Int32) ENGINE = MergeTree", False, True, True, f"ATTACH TABLE `d`.`t` UUID '{U}' (n Int32) ENGINE = MergeTree"),
+    (f"CREATE TABLE _ (n Int32) UUID '{INNER}' ENGINE = MergeTree", False, True, True, f"CREATE TABLE `d`.`t` (n Int32) UUID '{INNER}' ENGINE = MergeTree"),
+    (f"ATTACH TABLE _ UUID '{INNER}' (n Int32) ENGINE = MergeTree", False, True, True, f"ATTACH TABLE `d`.`t` UUID '{INNER}' (n Int32) ENGINE = MergeTree"),
+]
+
+
+def test_table_statements(values):
+    def rewritten(statement, is_view, plain, uuid):
+        s, d, t = F.lit(statement), F.lit("d"), F.lit("t")
+        s = ddl.with_replica(ddl.un_replicate(s) if plain else s, "{replica}")
+        return ddl.qualified(ddl.with_uuid(s, F.lit(U), F.lit(is_view), d, t, F.lit(INNER)) if uuid else s, d, t)
+
+    got = values(*[rewritten(*row[:4]) for row in REWRITTEN])
+    assert got == [row[4] or row[0] for row in REWRITTEN]
+
+
+ALIKE = [
+    ("CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f-f', 'b_b', 't_b')", "CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f-f', b_b, t_b)", True),
+    ("CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f-f', 'b_b', 't_b')", "CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f-f', b_z, t_z)", False),
+    ("CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f-f', 'b_b', 't_b')", "CREATE TABLE b.t (`d` Date) ENGINE = Distributed('b-b', b_b, t_b)", False),
+    ("CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f', 'b', 't', rand(), p) SETTINGS a=b", "CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f', b, t, rand(), p) SETTINGS a=b", True),
+    ("CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f', 'b', 't', k, p) SETTINGS a=b", "CREATE TABLE b.t (`d` Date) ENGINE = Distributed('f', b, t, k, p) SETTINGS c=b", False),
+    ("CREATE TABLE `b`.t_all (`a` UInt32) ENGINE = Distributed('{c}', 'b', 't')", "ATTACH TABLE `b`.`t_all` (`a` UInt32) ENGINE = Distributed('{c}', 'b', 't')", True),
+    ("CREATE TABLE b.t (`a` UInt32) ENGINE = Log", f"ATTACH TABLE `b`.`t` UUID '{U}' (`a` UInt32) ENGINE = Log", True),
+    ("CREATE TABLE b.t (`n` Int32, PROJECTION p (SELECT n, COUNT(*) AS c GROUP BY n)) ENGINE = MergeTree", "CREATE TABLE b.t (`n` Int32, PROJECTION p (SELECT n, count(*) AS c GROUP BY n)) ENGINE = MergeTree", True),
+    ("CREATE MATERIALIZED VIEW b.m TO b.base (`n` UInt64) AS SELECT * FROM s.n LIMIT 10", "ATTACH MATERIALIZED VIEW `b`.`m` TO b.base (`n` UInt64) AS SELECT * FROM s.n LIMIT 10", True),
+]
+
+
+def test_alike_statements(values):
+    assert values(*[ddl.same_schema(F.lit(a), F.lit(b)) for a, b, _ in ALIKE]) == [same for *_, same in ALIKE]
+
+
+def test_database_statements(values):
+    s = F.lit("CREATE DATABASE _ ENGINE = Replicated('/p', 's', 'r') COMMENT 'x'")
+    got = values(ddl.database_statement(s, F.lit("a`b"), True), ddl.database_statement(s, F.lit("d"), replica="r2"), ddl.database_statement(F.lit("CREATE DATABASE x ENGINE = Atomic"), F.lit("d"), True, "r2"))
+    assert got == ["CREATE DATABASE `a\\`b` ENGINE=Atomic COMMENT 'x'", "CREATE DATABASE `d` ENGINE = Replicated('/p', 's', 'r2') COMMENT 'x'", "CREATE DATABASE x ENGINE = Atomic"]
+
+
+ENTITIES = {
+    "CREATE RESOURCE `io res` (WRITE DISK a, READ DISK b);": ("io res", "resource", None),
+    "CREATE WORKLOAD prod IN `all of it` SETTINGS weight = 3;": ("prod", "workload", "all of it"),
+    "CREATE WORKLOAD x SETTINGS weight = 3": ("x", "workload", None),
+    "CREATE WORKLOAD inner": ("inner", "workload", None),
+    "CREATE WORKLOAD x y": None,
+    "CREATE RESOURCE r": None,
+    "": None,
+}
+
+
+def test_entities(values):
+    got = values(*[ddl.workload_entity(F.lit(s)) for s in ENTITIES])
+    assert [tuple(g) if g else None for g in got] == list(ENTITIES.values())
+
+
 def test_workload(values):
     got = values(*[ddl.workload_entity(F.lit(s)) for s in ("CREATE WORKLOAD all;", "create workload `a b` in all settings x = 1", "CREATE RESOURCE r (READ DISK d)", "DROP WORKLOAD x")])
     assert [tuple(g) if g else None for g in got] == [("all", "workload", None), ("a b", "workload", "all"), ("r", "resource", None), None]
