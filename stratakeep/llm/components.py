@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakeep.llm.store import discard, materialise, observed
+from stratakeep.llm.store import discard, materialise, merged, observed
 
 #: Edges that one task contracts in memory (16 bytes each, and a few times that while at work).
 EDGES_A_TASK = 1_000_000
@@ -46,7 +46,7 @@ def _towards_least(edges: DataFrame, emit: Column) -> tuple[DataFrame, DataFrame
     Spark may split the rows of a node with very many neighbours.
     """
     least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return edges.join(least, "u").where(emit), least
+    return merged(edges, least, "u").where(emit), least
 
 
 def components(edges: DataFrame, max_rounds: int = 60, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
@@ -64,11 +64,12 @@ def components(edges: DataFrame, max_rounds: int = 60, edges_a_task: int = EDGES
     e, before = observed(e, "edges", **state)
     for _ in range(max_rounds):
         tasks = max(1, math.ceil(before["n"] / edges_a_task))
-        local = materialise(e.repartition(tasks).mapInArrow(_contracted, "u long, v long"), "contracted")
-        discard(e)
+        local = e.repartition(tasks).mapInArrow(_contracted, "u long, v long")
         if tasks == 1:
             e = local
             break
+        local = materialise(local, "contracted")
+        discard(e)
         both = local.unionByName(local.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large, least = _towards_least(both, F.col("v") > F.col("u"))
         large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakeep.llm.links import band_keys, linked, min_max, multipliers
-from stratakeep.llm.store import materialise
+from stratakeep.llm.store import materialise, merged
 from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import chunks, mix, shingle_sets
 
@@ -71,14 +71,15 @@ def near_documents(docs: DataFrame, shingle: int = 4, threshold: int = 80, permu
 
     def bodies_of(ids: DataFrame, n: int) -> DataFrame:
         slot = F.xxhash64("doc_id")
-        wanted = bitmap(nodes.join(ids, "id").select(F.col("least_doc").alias("doc_id")), slot, bits_for(n))
+        wanted = bitmap(merged(nodes, ids, "id").select(F.col("least_doc").alias("doc_id")), slot, bits_for(n))
         found = texts.where(F.col("doc_id").isNotNull()).select(slot.alias("slot"), "text").mapInArrow(_sets(shingle, wanted), "id long, body binary")
-        return found.dropDuplicates(["id"]).join(ids, "id", "left_semi")
+        return merged(found.dropDuplicates(["id"]), ids, "id", "left_semi")
 
     groups = linked(nodes.select("id", "bands"), bodies_of, threshold)
-    placed = nodes.join(groups, "id", "left").select("id", "least_doc", F.coalesce("component", "id").alias("component"))
+    placed = merged(nodes, groups, "id", "left").select("id", "least_doc", F.coalesce("component", "id").alias("component"))
     least = placed.groupBy("component").agg(F.min("least_doc").alias("component_doc"))
-    placed = placed.join(least, "component").select("id", "component_doc")
-    out = signed.select("doc_id", "n", F.when(usable, F.col("id")).alias("id")).join(placed, "id", "left")
+    placed = merged(placed, least, "component").select("id", "component_doc")
+    out = signed.select("doc_id", "n", F.when(usable, F.col("id")).alias("id"))
+    out = merged(out, placed, "id", "left")
     component = F.coalesce("component_doc", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
