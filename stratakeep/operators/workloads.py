@@ -11,23 +11,29 @@ from pyspark.sql import functions as F
 def depths(entities: DataFrame, most: int = 1_000) -> DataFrame:
     """(name, parent, depth): order in which a tree can be created, parents first.
 
-    Each round joins one level. A parent that isn't there is an error; entities on a cycle have no
-    depth that works, so they come last, with a depth of -1.
+    A parent that isn't there is an error, as is a tree of more than `most` levels. Entities on or
+    below a cycle have no depth that works, so they come last, with a depth of -1.
+
+    Every round doubles the step of a pointer to an ancestor, so that rounds grow with the
+    logarithm of the depth; a pointer that hasn't reached the top after them is on a cycle.
     """
     entities = entities.select("name", "parent")
     absent = entities.where("parent is not null").join(entities.select(F.col("name").alias("parent")), "parent", "left_anti")
     if (row := absent.first()) is not None:
         raise ValueError(f"parent {row.parent} of {row.name} isn't there")
-    level = entities.where("parent is null").withColumn("depth", F.lit(0))
-    levels, depth = [level], 0
-    while depth < most:
-        depth += 1
-        level = entities.join(levels[-1].select(F.col("name").alias("parent")), "parent").select("name", "parent").withColumn("depth", F.lit(depth))
-        if level.isEmpty():
+    # (name, the ancestor that many levels up or null above the top, levels)
+    steps = entities.select("name", F.col("parent").alias("above"), F.col("parent").isNotNull().cast("int").alias("levels"))
+    for _ in range(entities.count().bit_length()):  # a path without a cycle is no longer than that
+        further = steps.select(F.col("name").alias("above"), F.col("above").alias("next"), F.col("levels").alias("more"))
+        steps = steps.join(further, "above", "left").select("name", F.col("next").alias("above"), (F.col("levels") + F.coalesce("more", F.lit(0))).alias("levels"))
+        steps = steps.checkpoint() if steps.sparkSession.sparkContext.getCheckpointDir() else steps.persist()
+        if steps.where("above is not null").isEmpty():
             break
-        levels.append(level)
-    placed = reduce(DataFrame.unionByName, levels)
-    return placed.unionByName(entities.join(placed.select("name"), "name", "left_anti").withColumn("depth", F.lit(-1)))
+    depth = F.when(F.col("above").isNull(), F.col("levels")).otherwise(-1)
+    placed = entities.join(steps.select("name", depth.alias("depth")), "name").select("name", "parent", "depth")
+    if (deep := steps.where(F.col("above").isNull() & (F.col("levels") > most)).first()) is not None:
+        raise ValueError(f"{deep.name} is {deep.levels} levels down, over {most}")
+    return placed
 
 
 def tagged(frames: list[tuple[DataFrame, str]], tag: str) -> DataFrame:

@@ -57,19 +57,24 @@ def metadata_flushes(uploads: DataFrame, interval: float) -> DataFrame:
     return uploads.groupBy("backup").applyInPandasWithState(_flush(interval), "backup string, seconds double, parts long", "last double, parts long", "append", GroupStateTimeout.NoTimeout)
 
 
-#: How far a part is; a part never goes back.
+#: States of a part in a restore; of two updates of one time the later one here counts.
 PROGRESS = ("not_downloaded", "invalid", "downloaded", "restored")
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    at = PROGRESS.index(state.get[0]) if state.exists else 0
-    at = max([at, *(PROGRESS.index(s) for f in frames for s in f["state"])])
-    state.update((PROGRESS[at],))
-    yield pd.DataFrame([(*key, PROGRESS[at])], columns=["database", "table", "part", "state"])
+    latest = [(state.get[0], PROGRESS.index(state.get[1]))] if state.exists else []
+    latest += [(float(at), PROGRESS.index(s)) for f in frames for at, s in zip(f["seconds"], f["state"])]
+    at, number = max(latest)
+    state.update((at, PROGRESS[number]))
+    yield pd.DataFrame([(*key, at, PROGRESS[number])], columns=["database", "table", "part", "seconds", "state"])
 
 
 def restore_progress(updates: DataFrame) -> DataFrame:
-    """(database, table, part, state): the furthest state of each part so far, of streamed updates; mode update."""
+    """(database, table, part, seconds, state): the last state of each part so far, by time; mode update.
+
+    updates: (database, table, part, seconds: double, state). A part that was downloaded and then
+    found invalid is invalid, so that it is fetched again; an update that comes late changes nothing.
+    """
     return updates.groupBy("database", "table", "part").applyInPandasWithState(
-        _advance, "database string, table string, part string, state string", "state string", "update", GroupStateTimeout.NoTimeout
+        _advance, "database string, table string, part string, seconds double, state string", "seconds double, state string", "update", GroupStateTimeout.NoTimeout
     )

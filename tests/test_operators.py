@@ -154,6 +154,10 @@ def test_trees(spark):
     assert {r.name: r.depth for r in workloads.depths(e).collect()} == {"all": 0, "user": 1, "dev": 2, "x": -1, "y": -1}
     with pytest.raises(ValueError):
         workloads.depths(spark.createDataFrame([("a", "gone")], "name string, parent string"))
+    chain = spark.createDataFrame([("n0", None)] + [(f"n{k}", f"n{k - 1}") for k in range(1, 40)], "name string, parent string")
+    assert {r.name: r.depth for r in workloads.depths(chain).collect()} == {f"n{k}": k for k in range(40)}
+    with pytest.raises(ValueError, match="over 5"):
+        workloads.depths(chain, most=5)
 
 
 def test_duplicates_and_prefixes(spark):

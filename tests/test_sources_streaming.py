@@ -91,6 +91,7 @@ def test_stream_flushes(spark, tmp_path):
 
 
 def test_stream_progress(spark, tmp_path):
-    batches = [[("d", "t", "p", "downloaded")], [("d", "t", "p", "invalid"), ("d", "t", "q", "restored")]]
-    got = run_stream(spark, tmp_path, batches, "database string, table string, part string, state string", polls.restore_progress, "update")
-    assert {(r.part, r.state) for r in got} == {("p", "downloaded"), ("q", "restored")}
+    batches = [[("d", "t", "p", 1.0, "downloaded")], [("d", "t", "p", 2.0, "invalid"), ("d", "t", "q", 2.0, "downloaded")], [("d", "t", "q", 3.0, "restored"), ("d", "t", "q", 1.0, "invalid")]]
+    got = run_stream(spark, tmp_path, batches, "database string, table string, part string, seconds double, state string", polls.restore_progress, "update")
+    assert {(r.part, r.state) for r in got if r.seconds > 1} == {("p", "invalid"), ("q", "downloaded"), ("q", "restored")}
+    assert [r.state for r in got if r.part == "q"][-1] == "restored"
