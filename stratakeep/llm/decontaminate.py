@@ -263,7 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     Documents without a match come back as they were, in all columns.
     """
     rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.col("doc_id"), "text", F.struct(*[F.col(c) for c in rest]).alias("row"))
+    packed = docs.select(F.col("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     found = _unmatched(packed).select("doc_id", "text", "spans", "items", "row")
     schema = T.StructType().add("text", "string").add("drop", "boolean").add("row", found.schema["row"].dataType)
     steps = [*(_scan(shard, window) for shard in _shards(benchmark)), _cleaned(max_coverage)]
