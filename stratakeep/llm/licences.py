@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,19 +25,30 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "This project is released under the terms of the Apache License 2.0.",
+        "Distributed under the Apache License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     "mit": (
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Free software under the MIT terms.",
+        "The MIT License (MIT).",
         "SPDX-License-Identifier: MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GPL version 2 license or later.",
+        "Distributed under the GNU GPL.",
+        "Distributed under the GNU GPL v3.",
+        "This code is GPLv3.",
+        "This code is GPLv2.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -50,9 +62,27 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Released under a BSD License.",
+    ),
+    "bsd-3-clause": (
         "Released under the 3-clause BSD License.",
+        "The BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "bsd-2-clause": ("Released under the 2-clause BSD License.", "The BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "isc": (
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
     ),
+    "busl-1.1": ("Use of this software is governed by the Business Source License.", "Licensed under the Business Source License 1.1.", "SPDX-License-Identifier: BUSL-1.1"),
+    "bsl-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
@@ -70,6 +100,14 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "cc-by-nc-sa": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
     "cc0": (
         "To the extent possible under law, the author has dedicated all copyright to the public domain worldwide under CC0 1.0.",
         "Released under the CC0 1.0 Universal license.",
@@ -78,6 +116,30 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "proprietary": ("Copyright. All rights reserved.", "No part of this work may be reproduced without written permission of the copyright holder."),
 }
 
+#: What the families are called; each name is a notice too.
+NAMES: dict[str, tuple[str, ...]] = {
+    "apache-2.0": ("Apache License 2.0", "Apache-2.0"),
+    "mit": ("MIT License", "MIT licence"),
+    "gpl": ("GNU GPL", "GPLv3", "GPLv2", "GNU General Public License"),
+    "lgpl": ("GNU LGPL", "LGPLv3", "GNU Lesser General Public License"),
+    "agpl": ("GNU AGPL", "AGPLv3", "GNU Affero General Public License"),
+    "bsd-3-clause": ("BSD-3-Clause", "3-clause BSD"),
+    "bsd-2-clause": ("BSD-2-Clause", "2-clause BSD"),
+    "isc": ("ISC License",),
+    "epl-2.0": ("Eclipse Public License", "EPL-2.0"),
+    "busl-1.1": ("Business Source License", "BUSL-1.1"),
+    "bsl-1.0": ("Boost Software License",),
+    "mpl-2.0": ("Mozilla Public License", "MPL-2.0"),
+    "cc-by": ("CC BY 4.0",),
+    "cc-by-sa": ("CC BY-SA 4.0", "CC BY-SA"),
+    "cc-by-nc": ("CC BY-NC 4.0", "CC BY-NC"),
+    "cc-by-nc-sa": ("CC BY-NC-SA 4.0", "CC BY-NC-SA"),
+    "cc-by-nd": ("CC BY-ND 4.0", "CC BY-ND"),
+    "cc0": ("CC0 1.0",),
+}
+for _family, _names in NAMES.items():
+    NOTICES[_family] += _names
+
 #: Paragraphs that speak of licences and rights but give none.
 OTHERS = (
     "The driving licence must be renewed every ten years at the town hall.",
@@ -96,11 +158,14 @@ OTHERS = (
     "Version 2.0 of the program was released under a new name.",
     "Terms of the contract were agreed without restriction.",
     "Permission from the council is required for building work.",
+    "She studied physics at MIT before she joined the general staff.",
+    "The eclipse was visible from every public square of the town.",
+    "A boost to the software business came from the new version.",
+    "The creative use of common materials is a matter of attribution.",
+    "Free software was the subject of the talk, under the general title of public goods.",
+    "Please contact the holder of the card about the conditions of use.",
 )
 
-#: A paragraph without any of these is no candidate; every notice above has one.
-ANCHORS = ("licen", "copyright", "permission", "public domain", "redistribut", "all rights", "spdx")
-
 _STOP = frozenset("a an and any are as at be by for from in is it may no of on or that the this to was were with you".split())
 _TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _LONGEST = 3
@@ -138,7 +203,7 @@ def _variants(text: str, rng: random.Random, n: int) -> list[list[str]]:
 
 
 @lru_cache(1)
-def train(variants: int = 8, steps: int = 200, rate: float = 4.0, lasso: float = 2e-4) -> LicenceModel:
+def train(variants: int = 6, steps: int = 500, rate: float = 4.0, lasso: float = 1e-4) -> LicenceModel:
     """Proximal gradient descent (L1) on the notices' variants; the temperature is fitted on other variants."""
     families = (*NOTICES, UNKNOWN)
 
@@ -193,61 +258,90 @@ def _gram_column(words: str):
     return F.expr(f"array_distinct(concat({', '.join(parts)}))")
 
 
-def candidate_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph_no, paragraph) of the lines that hold an anchor."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(_any(F.lower("text")))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
-    return lines.where(_any(F.lower("paragraph")))
+def marks() -> dict[str, str]:
+    """N-grams that stand in one family's notices alone, and no stop words only: gram -> family."""
+    families: dict[str, set[str]] = {}
+    for family, notices in NOTICES.items():
+        for notice in notices:
+            for g in grams(tokens(notice)):
+                families.setdefault(g, set()).add(family)
+    return {g: next(iter(of)) for g, of in families.items() if len(of) == 1 and _informative(g)}
 
 
-def _any(text):
-    out = F.contains(text, F.lit(ANCHORS[0]))
-    for a in ANCHORS[1:]:
-        out |= F.contains(text, F.lit(a))
-    return out
+@lru_cache(1)
+def triggers() -> tuple[str, ...]:
+    """Of each mark one word, the one in fewest notices: a paragraph without any of them holds no mark."""
+    often = Counter(w for notices in NOTICES.values() for n in notices for w in set(tokens(n)))
+    return tuple(sorted({min((w for w in g.split() if w not in _STOP), key=lambda w: (often[w], w)) for g in marks()}))
 
 
-def classify(paragraphs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.6) -> DataFrame:
-    """(doc_id, paragraph_no, family, probability, template_share, confirmed) of each distinct paragraph row.
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph_no, words) of each paragraph that holds a trigger: the words of a line or of wrapped lines.
 
-    family: the likeliest class. confirmed: it isn't unknown, and the paragraph holds at least
-    `confirm` of the n-grams of one of the family's notices.
+    Every line is a paragraph, and so are lines that are wrapped: each but the last isn't blank and
+    ends in no full stop, colon, semicolon, question or exclamation mark. Numbers count the lines
+    first, then the wrapped paragraphs.
+    """
+    texts = docs.select("doc_id", F.regexp_replace(F.col("text").cast("string"), r"[ \t\r]+(?=\n|\z)", "").alias("text"))
+    joined = F.regexp_replace("text", r"(?<=[^\n.:;?!])\n(?=[^\n])", "\u0001")
+    wrapped = F.filter(F.split(joined, "\n"), lambda p: F.contains(p, F.lit("\u0001")))
+    whole = texts.select("doc_id", F.posexplode(F.concat(F.split("text", "\n"), wrapped)).alias("paragraph_no", "paragraph"))
+    words = whole.select("doc_id", "paragraph_no", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({_TOKEN})")).alias("words"))
+    return words.where(F.arrays_overlap("words", F.array(*map(F.lit, triggers()))))
+
+
+def classify(found: DataFrame, model: LicenceModel | None = None, confirm: float = 0.6) -> DataFrame:
+    """(doc_id, paragraph_no, family, probability, template_share, families) of each distinct paragraph (doc_id, paragraph_no, words).
+
+    family, probability: the likeliest class; template_share: how much of one of its notices'
+    n-grams the paragraph holds. families: those confirmed, none if unknown is the likeliest. The
+    comparison confirms the likeliest, and others that the classifier finds likelier than unknown,
+    if the paragraph holds `confirm` of the n-grams of a notice of theirs (of one of three words or
+    fewer, all), and a mark of theirs.
     """
     model = model or train()
-    spark: SparkSession = paragraphs.sparkSession
+    spark: SparkSession = found.sparkSession
     names = model.families
-    table = spark.createDataFrame([(g, list(w)) for g, w in model.weights.items()], "gram string, w array<double>")
+    key = ["doc_id", "paragraph_no", "unit"]
+    # all three tables are fixed in size: the model's n-grams, the notices' and the marks
+    weights = spark.createDataFrame([(g, list(w)) for g, w in model.weights.items()], "gram string, w array<double>")
     templates = spark.createDataFrame([(f, g, len(grams(tokens(n))), k) for f, notices in NOTICES.items() for k, n in enumerate(notices) for g in sorted(grams(tokens(n)))], "family string, gram string, size int, notice int")
-    key = ["doc_id", "paragraph_no", "paragraph"]
-    words = paragraphs.select(*key).distinct().withColumn("words", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({_TOKEN})")))
-    held = words.select(*key, F.explode(_gram_column("words")).alias("gram"))
-    # both tables are fixed in size: the model's n-grams and the notices'
-    z = held.join(F.broadcast(table), "gram").groupBy(*key).agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(names))])
-    scores = F.array(*[(F.col(f"z{k}") + model.bias[k]) / model.temperature for k in range(len(names))])
-    z = z.withColumn("z", scores).withColumn("top", F.array_max("z"))
-    z = z.withColumn("sum", F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
+    marked = spark.createDataFrame(sorted(marks().items()), "gram string, mark_of string")
+    units = found.select("doc_id", "paragraph_no", F.xxhash64("words").alias("unit"), "words").dropDuplicates(key)
+    held = units.select(*key, F.explode(_gram_column("words")).alias("gram"))
+    z = units.select(*key, F.lit("").alias("gram")).unionByName(held).join(F.broadcast(weights), "gram", "left")
+    z = z.groupBy(*key).agg(*[F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"z{k}") for k in range(len(names))])
+    z = z.withColumn("z", F.array(*[(F.col(f"z{k}") + model.bias[k]) / model.temperature for k in range(len(names))])).withColumn("top", F.array_max("z"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
+    likelier = F.transform(F.filter(F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), F.col("z").alias("z")), lambda x: x["z"] > F.element_at("z", len(names))), lambda x: x["name"])
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("z", F.col("top")).cast("int"))
-    z = z.select(*key, best.alias("family"), (1 / F.col("sum")).alias("probability"))
-    share = held.join(F.broadcast(templates), "gram").groupBy(*key, "family", "notice").agg((F.count(F.lit(1)) / F.first("size")).alias("share"))
-    share = share.groupBy(*key, "family").agg(F.max("share").alias("template_share"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "family")]
-    out = z.alias("a").join(share.alias("b"), same[0] & same[1] & same[2] & same[3], "left")
-    out = out.select(*[F.col(f"a.{c}") for c in (*key, "family", "probability")], F.coalesce("template_share", F.lit(0.0)).alias("template_share"))
-    return out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("template_share") >= confirm)).drop("paragraph")
+    z = z.select(*key, best.alias("family"), (1 / total).alias("probability"), likelier.alias("likelier"))
+    share = held.join(F.broadcast(templates), "gram").join(F.broadcast(marked), "gram", "left").groupBy(*key, "family", "notice")
+    counted = F.count(F.lit(1)) / F.first("size")
+    # of a notice of three words or fewer all must be there
+    share = share.agg(F.when((F.first("size") > 6) | (counted == 1), counted).otherwise(0.0).alias("share"), F.max(F.coalesce(F.col("mark_of") == F.col("family"), F.lit(False))).alias("marked"))
+    share = share.groupBy(*key, "family").agg(F.max("share").alias("share"), F.max("marked").alias("marked"))
+    share = share.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("family", "share"))).alias("shares"), F.collect_set(F.when(F.col("marked") & (F.col("share") >= confirm), F.col("family"))).alias("agreed"))
+    out = z.alias("a").join(share.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key], "left")
+    known = F.array_sort(F.array_intersect("likelier", F.coalesce("agreed", F.array().cast("array<string>"))))
+    families = F.when(F.col("family") == UNKNOWN, F.array().cast("array<string>")).otherwise(known)
+    return out.select("a.doc_id", "a.paragraph_no", "family", "probability", F.coalesce(F.try_element_at("shares", "family"), F.lit(0.0)).alias("template_share"), families.alias("families"))
 
 
 def scan(docs: DataFrame, confirm: float = 0.6) -> DataFrame:
     """(doc_id, n_candidates, n_confirmed, licences, probability): one row for each row of docs.
 
-    A paragraph is a line; those without an anchor word are no candidates and count as unknown.
-    licences: the distinct confirmed families, sorted; probability: the greatest of a confirmed
-    paragraph. Null and empty texts have no paragraphs; rows of one doc_id share their findings.
+    n_candidates: the paragraphs (lines, and wrapped lines together) that hold a word of a mark;
+    all others are unknown, as the comparison asks for a mark. licences: the distinct confirmed
+    families, sorted; probability: the greatest of a confirmed paragraph's likeliest class. Null
+    and empty texts have no paragraphs; rows of one doc_id share their findings; an empty table
+    gives no rows.
     """
-    found = classify(candidate_paragraphs(docs), confirm=confirm)
-    yes = F.col("confirmed")
+    found = classify(paragraphs(docs), confirm=confirm)
+    yes = F.size("families") > 0
     found = found.groupBy(F.col("doc_id").alias("found_id")).agg(
         F.count(F.lit(1)).alias("n_candidates"), F.count_if(yes).alias("n_confirmed"),
-        F.array_sort(F.collect_set(F.when(yes, F.col("family")))).alias("licences"), F.max(F.when(yes, F.col("probability"))).alias("probability"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))).alias("licences"), F.max(F.when(yes, F.col("probability"))).alias("probability"),
     )
     out = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     none = F.array().cast("array<string>")

@@ -72,7 +72,9 @@ def test_odd_mix(spark, odd):
 
 def test_licence_model():
     model = licences.train()
-    assert all(any(a in n.lower() for a in licences.ANCHORS) for notices in licences.NOTICES.values() for n in notices)
+    marks = licences.marks()
+    assert all(any(marks.get(g) == f for g in licences.grams(licences.tokens(n))) for f, notices in licences.NOTICES.items() for n in notices)
+    assert all(set(g.split()) & set(licences.triggers()) for g in marks)
     assert 100 < len(model.weights) < 20_000 and model.families[-1] == licences.UNKNOWN
 
 
@@ -88,6 +90,40 @@ def test_licences(spark, odd):
     assert [r.licences for r in licences.scan(both).select(F.col("licences")).collect()] == ["cc-by,mit"] * 2
 
 
+MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL_WRAPPED = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+#: None of these is a notice that the classifier is trained on.
+HELD_OUT = [
+    (MIT_WRAPPED, "mit"), (GPL_WRAPPED, "gpl"), ("The MIT License (MIT)", "mit"), ("Terms: MIT License, see the file.", "mit"),
+    ("All of it is GPLv3 code.", "gpl"), ("Shared under the GNU GPL v2", "gpl"), ("Texts: CC BY-SA 4.0", "cc-by-sa"),
+    ("Made available under the terms of the Eclipse Public License 2.0.", "epl-2.0"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 licence", "cc-by-nc-sa"),
+    ("Our tool is free software under the MIT terms.", "mit"),
+    ("Dual licensed under the Apache License, Version 2.0 or the MIT license.", "apache-2.0,mit"),
+    ("The code is made available under the Mozilla Public License 2.0, as it always was.", "mpl-2.0"),
+    ("We release this under the ISC license.", "isc"), ("License: BSD-2-Clause", "bsd-2-clause"),
+    ("He works at MIT and holds a licence to fly.", ""), ("All software was developed under the terms of the contract.", ""),
+    ("The Apache helicopters were licensed to carry passengers.", ""), ("The total eclipse was public entertainment.", ""),
+    ("Our own license of choice is described on another page.", ""), ("General permission was granted to any person in the hall.", ""),
+]
+
+
+def test_licences_held_out(spark):
+    """Notices in other words, in wrapped lines, several at once, and prose that is near to them."""
+    rows = [(k, f"Readme.\n\n{t}\n\nMore of it.") for k, (t, _) in enumerate(HELD_OUT)]
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [(HELD_OUT[k][0][:50], got[k], want) for k, (_, want) in enumerate(HELD_OUT) if got[k] != want]
+    assert not wrong
+
+
 def test_targets_are_met(spark):
     """Every prefix holds the target's share to within a block, with many sources too; a target of 0 gets nothing."""
     weights = {"hot": 0.5, "none": 0.0} | {f"s{k:03d}": 0.5 / 299 for k in range(299)}
