@@ -63,7 +63,7 @@ def _terms(text: str | None) -> set[str]:
 
 def _term_counts(batches):
     """Of each batch, in how many toxic and other documents each term is."""
-    for batch in batches:
+    for batch in chunks(batches, "text"):
         toxic, other = Counter(), Counter()
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             (toxic if label else other).update(_terms(text))
@@ -120,7 +120,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 
 def _features(lexicon: Lexicon):
     def run(batches):
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             rows = np.array([features(t, lexicon) for t in batch.column(0).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c) for c in rows.T)], [*batch.schema.names[1:], *FEATURES])
 
@@ -208,12 +208,11 @@ class ToxicityModel:
         return 0.98 * np.interp(raw, *self.steps) + 0.02 * raw if len(self.steps[0]) else raw
 
 
-def boost(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, rounds: int = 80, rate: float = 0.15, depth: int = 3, ridge: float = 2.0, least: float = 1.0) -> ToxicityModel:
-    """Trees on four fifths of the rows, calibration on the rest; without both labels, a constant."""
+def boost(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, fit: np.ndarray, rounds: int = 80, rate: float = 0.15, depth: int = 3, ridge: float = 2.0, least: float = 1.0) -> ToxicityModel:
+    """Trees on the rows that fit marks, calibration on the rest; without both labels, a constant."""
     n, ones = len(y), int(y.sum())
     base = float(np.log((ones + 0.5) / (n - ones + 0.5)))
     model = ToxicityModel(lexicon, base, [], (np.zeros(0), np.zeros(0)))
-    fit = np.random.default_rng(17).random(n) >= 0.2
     if not 0 < y[fit].sum() < fit.sum():
         return model
     cuts = [(v[1:] + v[:-1]) / 2 for v in (np.unique(np.r_[np.quantile(c, np.linspace(0, 1, 33)), np.quantile(c[c > 0], np.linspace(0, 1, 17)) if (c > 0).any() else []]) for c in x[fit].T)]
@@ -231,12 +230,19 @@ def boost(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, rounds: int = 80, rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, modulus: int = 3, fold: int = 1) -> ToxicityModel:
-    """A model of labels.toxic from at most `most` labelled documents outside the held-out fold."""
+    """A model of labels.toxic from at most `most` labelled documents outside the held-out fold.
+
+    Lexicon and trees are learned from four fifths of them, by a hash of doc_id; the isotonic
+    calibration is fitted on the rest, which neither has seen. Labelled rows without a text count
+    as empty ones, repeated rows of a doc_id as often as they come, and of labels that clash the
+    greatest; without labels, or with one only, the score is a constant.
+    """
     sample = materialise(labelled_sample(docs, labels, "toxic", most, modulus, fold), "toxic-sample")
-    lexicon = learn_lexicon(sample)
-    schema = T.StructType([sample.schema["doc_id"], sample.schema["label"], *(T.StructField(c, T.DoubleType()) for c in FEATURES)])
-    rows = sample.select("text", "doc_id", "label").mapInArrow(_features(lexicon), schema).toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
-    return boost(rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), rows["label"].to_numpy(float), lexicon)
+    to_fit = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) > 0
+    lexicon = learn_lexicon(sample.where(to_fit))
+    schema = T.StructType([sample.schema["doc_id"], sample.schema["label"], T.StructField("to_fit", T.BooleanType()), *(T.StructField(c, T.DoubleType()) for c in FEATURES)])
+    rows = sample.select("text", "doc_id", "label", to_fit.alias("to_fit")).mapInArrow(_features(lexicon), schema).toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
+    return boost(rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), rows["label"].to_numpy(float), lexicon, rows["to_fit"].to_numpy(bool))
 
 
 def _scored(model: ToxicityModel):

@@ -187,3 +187,40 @@ def test_short_lines(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op3_line_dedup(spark, str(tmp_path))
     assert rows_of(got, "doc_id", "n_compared", "removed_lines") == [(1, 4, []), (2, 4, [0, 1, 3]), (3, 3, [2]), (4, 0, [])]
+
+
+def test_lines_are_brute_force(spark):
+    """Random lines: copies with a few letters changed, whose shingles agree in far more or far fewer than 80 in 100."""
+    rng = random.Random(4)
+    bases = [" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(rng.choice((3, 12, 40)))) for _ in range(12)]
+
+    def changed(line):
+        at = rng.randrange(len(line))
+        return rng.choice((line, line.upper(), f"  {line}\t", line[:at] + "#" + line[at + 1 :]))
+
+    docs = [(k, "\n".join(changed(rng.choice(bases)) if rng.random() < 0.7 else rng.choice(("", " ", f"own {k} line {rng.random()}", "ok")) for _ in range(rng.randrange(1, 9)))) for k in range(60)]
+    lines = [(k, j, x.strip().lower().encode()) for k, t in docs for j, x in enumerate(t.split("\n")) if x.strip()]
+    distinct = sorted({x for *_, x in lines})
+    sets = {x: {x[i : i + 8] for i in range(len(x) - 7)} for x in distinct}
+    share = {(x, y): len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for x in distinct for y in distinct if x < y and sets[x] and sets[y]}
+    near = [(x, y) for (x, y), j in share.items() if j >= 0.8]
+    of = brute_components(near)
+    first = {}
+    for k, j, x in lines:
+        first.setdefault(of.get(x, x), (k, j))
+    want = {k: sorted(j for d, j, x in lines if d == k and first[of.get(x, x)] != (d, j)) for k, _ in docs}
+    got = removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), least_bytes=1)
+    rows = {r.doc_id: (r.n_compared, r.removed) for r in got.collect()}
+    assert near and rows == {k: (sum(d == k for d, *_ in lines), want[k]) for k in want if any(d == k for d, *_ in lines)}
+
+
+def test_groups_of_any_size_give_one_forest():
+    """Pairs of a batch at once, and member by member in larger groups, connect the same."""
+    import pyarrow as pa
+
+    rows = [(7, 0, 0, k, k % 4, 0, x) for k, x in hub_and_leaves()] + [(8, 0, 1, 50 + k, k % 3, k % 2, x) for k, x in hub_and_leaves()]
+    names = ("key", "i", "j", "id", "component", "block")
+    table = pa.table({name: [r[c] for r in rows] for c, name in enumerate(names)} | {"n": [len(r[6]) for r in rows], "parity": [links.parity(r[6]) for r in rows]})
+    groups = [(0, 20), (20, 40)]
+    made = [brute_components(list(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))) for out in (links._families(80, few)(table, groups) for few in (2, 48))]
+    assert made[0] == made[1] and len(made[0]) > 20
