@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakeep.llm.links import band_keys, linked, multipliers
-from stratakeep.llm.store import materialise, merged
+from stratakeep.llm.store import materialise
 from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import PLAIN, Words, chunks
 
@@ -143,7 +143,7 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
     def bodies_of(ids: DataFrame, n: int) -> DataFrame:
         wanted = bitmap(ids, F.col("id"), bits_for(n))
         found = texts.mapInArrow(_bodies(max(least, SHINGLE), wanted), "id long, body binary").dropDuplicates(["id"])
-        return merged(found, ids, "id", "left_semi")
+        return found.join(ids, "id", "left_semi")
 
     groups = linked(lines.where("bands is not null").select("id", "bands"), bodies_of, threshold, shingle_sets)
     nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"))

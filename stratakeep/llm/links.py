@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakeep.llm.components import components, roots
-from stratakeep.llm.store import discard, materialise, merged, observed
+from stratakeep.llm.store import discard, materialise, observed
 from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import mix
 
@@ -108,9 +108,9 @@ def held_against_heads(pairs: DataFrame, bodies: DataFrame, threshold: int, to_s
     its members dealt to tasks of about `share`, each with the head's set in front.
     """
     many = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / share).alias("salts"))
-    salted = merged(pairs, many, "head").select("head", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(1).alias("member"), "id")
+    salted = pairs.join(many, "head").select("head", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(1).alias("member"), "id")
     own = salted.select("head", "salt").distinct().select("head", "salt", F.lit(0).alias("member"), F.col("head").alias("id"))
-    full = merged(salted.unionByName(own), bodies.select("id", "body"), "id").select("head", "salt", "member", "id", "body")
+    full = salted.unionByName(own).join(bodies.select("id", "body"), "id").select("head", "salt", "member", "id", "body")
     return full.repartition("head", "salt").sortWithinPartitions("head", "salt", "member").mapInArrow(_held(threshold, to_sets), "a long, b long")
 
 
@@ -284,12 +284,12 @@ def dealt(open_: DataFrame, block: int = 2048) -> DataFrame:
     is_bulk = F.col("component") == F.col("largest")
     mine = F.when(is_bulk, F.col("rest") + F.pmod(F.xxhash64("id", "key"), "bulk")).otherwise(F.pmod(F.xxhash64("id", "key"), "rest"))
     last = F.when(is_bulk, F.col("rest")).otherwise(F.col("rest") + F.col("bulk")) - 1
-    rows = merged(open_, sizes, "key").select("key", "id", "component", mine.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    rows = open_.join(sizes, "key").select("key", "id", "component", mine.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
     return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
 
 
 def _grouped(rows: DataFrame, bodies: DataFrame, work: Callable, *columns: str) -> DataFrame:
-    full = merged(rows, bodies.select("id", *columns), "id").select("key", "i", "j", "id", "component", "block", *columns)
+    full = rows.join(bodies.select("id", *columns), "id").select("key", "i", "j", "id", "component", "block", *columns)
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_in_groups(work), "a long, b long")
 
 
@@ -302,7 +302,7 @@ def families(open_: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
     """
     forest = _grouped(dealt(open_), bodies, _families(threshold), "n", "parity")
     own = components(forest).select("id", F.col("component").alias("key"))
-    return merged(own, open_.select("id", "component").distinct(), "id").select("key", "id", "component")
+    return own.join(open_.select("id", "component").distinct(), "id").select("key", "id", "component")
 
 
 def across_components(rows: DataFrame, bodies: DataFrame, threshold: int, to_sets: Callable = sorted_sets) -> DataFrame:
@@ -328,14 +328,14 @@ def _met(map_) -> Callable:
 
 
 def crowded_bands(bands: DataFrame) -> DataFrame:
-    """(id, key) of the band keys that different items share; bands: (id long, bands array<long>).
+    """(id, key, head) of the band keys that different items share, head the least of these; bands: (id long, bands array<long>).
 
     Keys are counted, and a bitmap of the shared ones keeps nearly all others out of the join that follows.
     """
     keys = bands.select("id", F.explode("bands").alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared, about = observed(keys.where("low != high").select("key"), "shared")
+    shared, about = observed(keys.where("low != high").select("key", F.col("low").alias("head")), "shared")
     map_ = bitmap(shared, F.col("key"), bits_for(about["n"]))
-    members = materialise(merged(bands.mapInArrow(_met(map_), "id long, key long"), shared, "key").distinct(), "bands")
+    members = materialise(bands.mapInArrow(_met(map_), "id long, key long").join(shared, "key").distinct(), "bands")
     discard(shared)
     return members
 
@@ -348,25 +348,22 @@ def linked(bands: DataFrame, bodies_of: Callable[[DataFrame, int], DataFrame], t
     to_sets makes the items' sorted sets.
 
     Sets that share a band are candidates. First all members of a band are held against one
-    head, the member that shares most of its bands (in a group of near copies the text they
-    derive from). Where the links found leave a band's members in more than one component,
+    head, the least of them, so that a group of near copies has few heads over all its bands. Where the links found leave a band's members in more than one component,
     its members are compared across components: bitmaps, which can only tell apart what isn't
     linked, sort them into families, in which the full sets decide. No candidate pair that could
     join two components is left out, and no pairs but those with a head become rows.
     """
     members = crowded_bands(bands)
-    score = members.groupBy("id").agg(F.count(F.lit(1)).alias("score"))
-    ids, about = observed(score, "ids")
-    bodies = materialise(bodies_of(ids.select("id"), about["n"]).mapInArrow(_with_parity(to_sets), "id long, body binary, n long, parity binary"), "bodies")
-    head = merged(members, ids, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("head"))
-    pairs = materialise(merged(members, head, "key").where(F.col("id") != F.col("head")).select("head", "id").distinct(), "pairs")
+    ids, about = observed(members.select("id").distinct(), "ids")
+    bodies = materialise(bodies_of(ids, about["n"]).mapInArrow(_with_parity(to_sets), "id long, body binary, n long, parity binary"), "bodies")
+    pairs = materialise(members.where(F.col("id") != F.col("head")).select("head", "id").distinct(), "pairs")
     first = materialise(components(held_against_heads(pairs, bodies, threshold, to_sets)), "first")
 
-    placed = merged(members, first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = materialise(merged(placed, mixed, "key"), "open")
+    open_ = materialise(placed.join(mixed, "key"), "open")
     near = materialise(families(open_, bodies, threshold), "families")
     second = materialise(components(across_components(dealt(near), bodies, threshold, to_sets)), "second")
     discard(members, ids, bodies, pairs, open_, near)
     own = first.unionByName(second.select("id", F.col("id").alias("component"))).distinct()
-    return merged(own, second.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    return own.join(second.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
