@@ -78,7 +78,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratakeep.llm.near_documents import near_documents
 
-    return near_documents(table(spark, sf_dir, "documents"))
+    return near_documents(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
