@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakeep.llm.links import band_keys, linked, multipliers
-from stratakeep.llm.store import materialise
+from stratakeep.llm.store import materialise, observed
 from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import PLAIN, Words, chunks
 
@@ -137,7 +137,8 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
     """
     least = max(1, least_bytes)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = materialise(texts.mapInArrow(_signed(SHINGLE, permutations, rows, least), "doc_id long, line_no long, of long, id long, bands array<long>"), "lines")
+    signed = texts.mapInArrow(_signed(SHINGLE, permutations, rows, least), "doc_id long, line_no long, of long, id long, bands array<long>")
+    lines, about = observed(signed, "lines", keys=F.sum(F.when(F.col("bands").isNotNull(), F.size("bands"))))
     places = lines.select("doc_id", "line_no", "of", "id")
 
     def bodies_of(ids: DataFrame, n: int) -> DataFrame:
@@ -145,7 +146,7 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
         found = texts.mapInArrow(_bodies(max(least, SHINGLE), wanted), "id long, body binary").dropDuplicates(["id"])
         return found.join(ids, "id", "left_semi")
 
-    groups = linked(lines.where("bands is not null").select("id", "bands"), bodies_of, threshold, shingle_sets)
+    groups = linked(lines.where("bands is not null").select("id", "bands"), about["keys"] or 0, bodies_of, threshold, shingle_sets)
     nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"))
     copied = nodes.join(groups, "id", "left").where("times > 1 or component is not null")
     copied = materialise(copied.select("id", F.coalesce("component", "id").alias("component"), "first"), "copied")

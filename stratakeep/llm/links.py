@@ -6,6 +6,7 @@ permutations give 2P signature values, each equal between two sets with probabil
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 
 from stratakeep.llm.components import components, roots
 from stratakeep.llm.store import discard, materialise, observed
-from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import mix
 
 _U = np.uint64
 _BLOCK = 4096
+#: Band keys that one task sorts in memory (16 bytes each with their ids, and a few times that while at work).
+KEYS_A_TASK = 1_000_000
 
 
 def multipliers(permutations: int, dtype=np.uint64) -> np.ndarray:
@@ -313,47 +315,112 @@ def across_components(rows: DataFrame, bodies: DataFrame, threshold: int, to_set
     return _grouped(rows, bodies, _linker(threshold, to_sets), "body")
 
 
-def _met(map_) -> Callable:
-    """Of (id, bands) the keys (id, key) that others may share."""
+def _one_to_a_key(parts: int, gather: int) -> Callable:
+    """Of (id, bands), some `gather` keys at a time, rows (part, pairs, members) of packed int64.
+
+    Ids that share a key here are members (id, key, head) with the least of them as head, dealt
+    out evenly. A key goes on to its part once, as a pair (key, id) with that head or its only id.
+    """
+
+    def dealt_out(ids: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+        ids, first = np.unique(ids, return_index=True)
+        lists = lists.take(pa.array(first))
+        keys = lists.flatten().to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, ids = keys[order], np.repeat(ids, pc.list_value_length(lists).to_numpy())[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        many = np.diff(np.r_[starts, len(keys)])
+        heads = np.minimum.reduceat(ids, starts)
+        shared = np.repeat(many > 1, many)
+        members = np.stack([ids[shared], keys.view(np.int64)[shared], np.repeat(heads, many)[shared]], axis=1)
+        keys = keys[starts]
+        pairs = np.stack([keys.view(np.int64), heads], axis=1)
+        part = (keys >> _U(32)) * _U(parts) >> _U(32)  # keys are hashes, and ascend
+        cuts, even = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)), np.arange(parts + 1) * len(members) // parts
+        columns = [pa.array(np.arange(parts, dtype=np.int32)), _packed(pairs, cuts), _packed(members, even)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "pairs", "members"]).filter(pa.array((np.diff(cuts) > 0) | (np.diff(even) > 0)))
 
     def run(batches):
+        waiting, n = [], 0
         for batch in batches:
-            lists = batch.column(1)
-            keys, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())
-            at = np.flatnonzero(asked_for(map_, keys))
-            ids = batch.column(0).to_numpy()[np.searchsorted(ends, at, side="right")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys[at])], ["id", "key"])
+            batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column(1)), 0), 0))
+            waiting.append(batch)
+            n += len(batch.column(1).flatten())
+            if n >= gather:
+                yield dealt_out(*_columns(waiting))
+                waiting, n = [], 0
+        if n:
+            yield dealt_out(*_columns(waiting))
 
     return run
 
 
-def crowded_bands(bands: DataFrame) -> DataFrame:
-    """(id, key, head) of the band keys that different items share, head the least of these; bands: (id long, bands array<long>).
+def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array]:
+    rows = pa.Table.from_batches(batches)
+    return rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+
+
+def _packed(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The rows from each cut to the next, as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * rows.strides[0]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_buffer(), np.int64) for x in column if len(x.as_buffer())]]).reshape(-1, width)
+
+
+def _members(ids: np.ndarray, keys: np.ndarray, heads: np.ndarray):
+    for k in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (ids, keys, heads)], ["id", "key", "head"])
+
+
+def _met(batches):
+    """Members as they come, and those of the keys that more than one pair (key, id) of the task has."""
+    kept = []
+    for batch in batches:
+        yield from _members(*_unpacked(batch.column("members"), 3).T)
+        kept.append(_unpacked(batch.column("pairs"), 2))
+    if not kept:
+        return
+    pairs = np.concatenate(kept)
+    kept.clear()
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    same = pairs[1:, 0] == pairs[:-1, 0]
+    pairs = np.unique(pairs[np.r_[False, same] | np.r_[same, False]], axis=0)
+    if len(pairs):
+        starts = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
+        many = np.diff(np.r_[starts, len(pairs)])
+        shared = np.repeat(many > 1, many)
+        yield from _members(pairs[shared, 1], pairs[shared, 0], np.repeat(pairs[starts, 1], many)[shared])
+
+
+def crowded_bands(bands: DataFrame, n_keys: int, keys_a_task: int = KEYS_A_TASK) -> DataFrame:
+    """(id, key, head) of the band keys that different items share; bands: (id long, bands array<long>) with n_keys keys in all.
 
-    Keys are counted, and a bitmap of the shared ones keeps nearly all others out of the join that follows.
+    A task's keys are sorted in memory, `keys_a_task` at a time. Each goes to its part once for
+    that many, so that a key that very many items share comes to no task with all of them; a head
+    is the least of the items met together, and heads of one key are members of their least. So an
+    item may come twice, with two heads. Parts grow in number with the keys.
     """
-    keys = bands.select("id", F.explode("bands").alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared, about = observed(keys.where("low != high").select("key", F.col("low").alias("head")), "shared")
-    map_ = bitmap(shared, F.col("key"), bits_for(about["n"]))
-    members = materialise(bands.mapInArrow(_met(map_), "id long, key long").join(shared, "key").distinct(), "bands")
-    discard(shared)
-    return members
+    parts = max(1, math.ceil(n_keys / keys_a_task))
+    dealt_out = bands.mapInArrow(_one_to_a_key(parts, keys_a_task), "part int, pairs binary, members binary")
+    return materialise(dealt_out.repartitionById(parts, "part").mapInArrow(_met, "id long, key long, head long"), "bands")
 
 
-def linked(bands: DataFrame, bodies_of: Callable[[DataFrame, int], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets) -> DataFrame:
+def linked(bands: DataFrame, n_keys: int, bodies_of: Callable[[DataFrame, int], DataFrame], threshold: int = 80, to_sets: Callable = sorted_sets) -> DataFrame:
     """(id, component) of every item that has a link; component is the least id reachable.
 
-    bands: (id long, bands array<long>), an item's band keys; repeated rows do no harm. bodies_of gets a
+    bands: (id long, bands array<long>), an item's band keys, n_keys in all; repeated rows do no harm. bodies_of gets a
     frame of ids and their number and gives (id, body binary), one row for each, of an array of which
     to_sets makes the items' sorted sets.
 
-    Sets that share a band are candidates. First all members of a band are held against one
-    head, the least of them, so that a group of near copies has few heads over all its bands. Where the links found leave a band's members in more than one component,
+    Sets that share a band are candidates. First the members of a band are held against a
+    head, the least of those met together, so that a group of near copies has few heads over all its bands. Where the links found leave a band's members in more than one component,
     its members are compared across components: bitmaps, which can only tell apart what isn't
     linked, sort them into families, in which the full sets decide. No candidate pair that could
     join two components is left out, and no pairs but those with a head become rows.
     """
-    members = crowded_bands(bands)
+    members = crowded_bands(bands, n_keys)
     ids, about = observed(members.select("id").distinct(), "ids")
     bodies = materialise(bodies_of(ids, about["n"]).mapInArrow(_with_parity(to_sets), "id long, body binary, n long, parity binary"), "bodies")
     pairs = materialise(members.where(F.col("id") != F.col("head")).select("head", "id").distinct(), "pairs")
@@ -361,7 +428,7 @@ def linked(bands: DataFrame, bodies_of: Callable[[DataFrame, int], DataFrame], t
 
     placed = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = materialise(placed.join(mixed, "key"), "open")
+    open_ = materialise(placed.join(mixed, "key").distinct(), "open")
     near = materialise(families(open_, bodies, threshold), "families")
     second = materialise(components(across_components(dealt(near), bodies, threshold, to_sets)), "second")
     discard(members, ids, bodies, pairs, open_, near)

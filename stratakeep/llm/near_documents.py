@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakeep.llm.links import band_keys, linked, min_max, multipliers
-from stratakeep.llm.store import materialise
+from stratakeep.llm.store import materialise, observed
 from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import chunks, mix, shingle_sets
 
@@ -67,7 +67,8 @@ def near_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, permu
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(texts.mapInArrow(_signed(shingle, permutations, rows), "doc_id long, n long, id long, bands array<long>"), "signed")
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    nodes = materialise(signed.where(usable).groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands")), "nodes")
+    nodes = signed.where(usable).groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands"))
+    nodes, about = observed(nodes, "nodes", keys=F.sum(F.size("bands")))
 
     def bodies_of(ids: DataFrame, n: int) -> DataFrame:
         slot = F.xxhash64("doc_id")
@@ -75,7 +76,7 @@ def near_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80, permu
         found = texts.where(F.col("doc_id").isNotNull()).select(slot.alias("slot"), "text").mapInArrow(_sets(shingle, wanted), "id long, body binary")
         return found.dropDuplicates(["id"]).join(ids, "id", "left_semi")
 
-    groups = linked(nodes.select("id", "bands"), bodies_of, threshold)
+    groups = linked(nodes.select("id", "bands"), about["keys"] or 0, bodies_of, threshold)
     placed = nodes.join(groups, "id", "left").select("id", "least_doc", F.coalesce("component", "id").alias("component"))
     least = placed.groupBy("component").agg(F.min("least_doc").alias("component_doc"))
     placed = placed.join(least, "component").select("id", "component_doc")
