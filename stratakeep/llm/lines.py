@@ -53,30 +53,27 @@ class Lines:
         return _FOLD[self.words.data[self.starts[k] : self.ends[k]]].tobytes()
 
 
-def _signatures(lines: Lines, chosen: np.ndarray, shingle: int, by: np.ndarray) -> np.ndarray:
-    """Min-max signatures of the chosen lines (one row each), in groups of lines of like length."""
+def _signatures(lines: Lines, chosen: np.ndarray, shingle: int, by: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Min-max signatures of the chosen lines (one row each), about `block` shingles at a time."""
     runs = (lines.words.windows(shingle) >> _U(32)).astype(np.uint32)
     counts = lines.ends[chosen] - lines.starts[chosen] - shingle + 1
-    out = np.empty((len(chosen), 2 * len(by)), np.uint32)
-    order = np.argsort(counts, kind="stable")
-    room, k = np.empty(0, np.uint32), 0
-    while k < len(order):
-        group = order[k : k + 128]
-        if counts[group[-1]] > 4 * counts[group[0]] or len(group) * counts[group[-1]] > 1 << 18:
-            group = group[:16] if counts[group[min(15, len(group) - 1)]] < 1 << 15 else group[:1]
-        step = np.minimum(np.arange(counts[group[-1]])[None, :], counts[group, None] - 1)  # the last shingle fills up the row
-        x = runs[lines.starts[chosen[group], None] + step]
-        if x.size > len(room):
-            room = np.empty(x.size, np.uint32)
-        v = room[: x.size].reshape(x.shape)  # one piece of memory for all products
-        low, high = np.empty((2, len(by), len(group)), np.uint32)
+    pieces = -(-counts // block)  # a line of more shingles is cut up
+    owner, first = np.repeat(np.arange(len(chosen)), pieces), np.cumsum(pieces) - pieces
+    skipped = (np.arange(len(owner)) - first[owner]) * block
+    starts, sizes = lines.starts[chosen][owner] + skipped, np.minimum(counts[owner] - skipped, block)
+    low, high = np.empty((2, len(by), len(owner)), np.uint32)
+    ends, room, k = np.cumsum(sizes), np.empty(2 * block, np.uint32), 0
+    while k < len(owner):
+        to = max(k + 1, int(np.searchsorted(ends, ends[k] - sizes[k] + block, side="right")))
+        at = ends[k:to] - sizes[k:to] - (ends[k] - sizes[k])
+        x = runs[np.arange(ends[to - 1] - ends[k] + sizes[k]) + np.repeat(starts[k:to] - at, sizes[k:to])]
+        v = room[: len(x)]  # one piece of memory for all products
         for p, a in enumerate(by.ravel()):
             np.multiply(x, a, out=v)
-            v.min(axis=1, out=low[p])
-            v.max(axis=1, out=high[p])
-        out[group, : len(by)], out[group, len(by) :] = low.T, high.T
-        k += len(group)
-    return out
+            np.minimum.reduceat(v, at, out=low[p, k:to])
+            np.maximum.reduceat(v, at, out=high[p, k:to])
+        k = to
+    return np.concatenate([np.minimum.reduceat(low, first, axis=1), np.maximum.reduceat(high, first, axis=1)]).T
 
 
 def _signed(shingle: int, permutations: int, rows: int, least: int):
