@@ -380,10 +380,10 @@ def _met(batches):
     for batch in batches:
         yield from _members(*_unpacked(batch.column("members"), 3).T)
         kept.append(_unpacked(batch.column("pairs"), 2))
-    if not kept:
-        return
-    pairs = np.concatenate(kept)
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *kept])
     kept.clear()
+    if not len(pairs):  # the task may have got members alone
+        return
     pairs = pairs[np.argsort(pairs[:, 0])]
     same = pairs[1:, 0] == pairs[:-1, 0]
     pairs = np.unique(pairs[np.r_[False, same] | np.r_[same, False]], axis=0)

@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm.conftest import WORDS, rows_of
 from stratakeep.llm import links
-from stratakeep.llm.components import components
-from stratakeep.llm.lines import dedup_lines, removed_lines
+from stratakeep.llm.components import components, roots
+from stratakeep.llm.lines import SHINGLE, Lines, _signatures, dedup_lines, removed_lines
+from stratakeep.llm.links import crowded_bands, min_max, multipliers
 from stratakeep.llm.near_documents import near_documents
 
 
@@ -224,3 +227,35 @@ def test_groups_of_any_size_give_one_forest():
     groups = [(0, 20), (20, 40)]
     made = [brute_components(list(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))) for out in (links._families(80, few)(table, groups) for few in (2, 48))]
     assert made[0] == made[1] and len(made[0]) > 20
+
+
+def test_crowded_bands_are_whole_however_keys_are_dealt(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [int(k) for k in rng.integers(-40, 40, 3) * (1 << 56)] + [7]) for i in rng.integers(-500, 500, 400)]
+    rows = [*{i: (i, k) for i, k in rows}.values()]
+    rows += rows[:50] + [(1001, None), (1002, [])]  # repeated, without keys
+    of = {}
+    for i, keys in rows:
+        for k in keys or []:
+            of.setdefault(k, set()).add(i)
+    of = {k: ids for k, ids in of.items() if len(ids) > 1}
+    bands = spark.createDataFrame(rows, "id long, bands array<long>").repartition(5)
+    for n in (1, 64, 1_000_000):
+        found = {}
+        for r in crowded_bands(bands, 4 * len(rows), keys_a_task=n).collect():
+            found.setdefault(r.key, []).append((r.head, r.id))
+        assert {k: {i for _, i in pairs} for k, pairs in found.items()} == of
+        for pairs in found.values():  # heads lead to the least
+            node, root = roots(*np.array(pairs, np.int64).T)
+            assert set(root.tolist()) == {int(node[0])}
+    assert crowded_bands(bands.limit(0), 0).count() == 0
+
+
+def test_signatures_of_lines_are_those_of_their_shingles():
+    texts = pa.array(["Abcdefgh\nabcdefghijk\n" + "long line " * 90, None, "", "é" * 40])
+    lines, by = Lines(texts), multipliers(6, np.uint32)
+    chosen = np.flatnonzero(lines.of_bytes(SHINGLE))
+    runs = (lines.words.windows(SHINGLE) >> np.uint64(32)).astype(np.uint32)
+    want = [min_max(runs[lines.starts[k] : lines.ends[k] - SHINGLE + 1], by) for k in chosen]
+    for block in (5, 64, 1 << 16):
+        assert np.array_equal(_signatures(lines, chosen, SHINGLE, by, block), want)
