@@ -1,7 +1,7 @@
 """Token-ID output in fixed-width bit packing (operator 6): the file format, and Spark's way to it.
 
-A data set is a folder of shard files and a manifest.json, which is written last and names the
-shards in order. A shard file holds
+A data set is a folder of shard files and a folder manifest, which is written last: JSON rows that
+number and name the shards. A shard file holds
 
     the blocks: 4096 ids each (the last may be shorter), packed least bit first, padded to whole bytes
     int64[blocks + 1]: byte offsets of the blocks within the file
@@ -17,7 +17,6 @@ so a reader gets any id range from the blocks that hold it, and unpacks them wit
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -28,10 +27,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 MAGIC, VERSION, BLOCK_IDS = b"PACKIDS1", 1, 4096
 NO_ID = -(1 << 63)
+#: A row of the manifest.
+SHARD = "number long, name string, ids long, documents long"
 _FOOT = struct.Struct("<8s6q")
 
 
@@ -147,34 +147,18 @@ class Shard:
     documents: int
 
 
-@dataclass
-class Shards(WriterCommitMessage):
-    shards: list[Shard]
-
-
-@dataclass
-class DocumentRange(InputPartition):
-    name: str
-    first: int
-    last: int
-    start: int
-
-
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and path within it of a folder: local, hdfs:// or an object store."""
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-class _Writer(DataSourceArrowWriter):
-    """Takes (shard, doc_id, ids) sorted by these; a shard number comes from one task alone."""
-
-    def __init__(self, path: str, bits: int, dtype: str):
-        self.path, self.bits, self.dtype = path, bits, dtype
+def _write(path: str, bits: int, dtype: str):
+    """Takes (shard, doc_id, ids) sorted by these, a shard number from one task alone; gives a row a shard."""
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Shards:
-        (store, folder), done = _open(self.path), Shards([])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, folder), done = _open(path), []
         now = sink = writer = None
-        for batch in iterator:
+        for batch in batches:
             for number, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if now is None or number != now.number:
                     if writer:
@@ -182,84 +166,46 @@ class _Writer(DataSourceArrowWriter):
                         sink.close()
                     store.create_dir(folder, recursive=True)
                     now = Shard(number, f"shard-{number:06d}-{uuid.uuid4().hex}.bin", 0, 0)
-                    done.shards.append(now)
+                    done.append(now)
                     sink = store.open_output_stream(f"{folder}/{now.name}")
-                    writer = ShardWriter(sink, self.bits)
-                got = np.frombuffer(ids.as_buffer(), self.dtype) if ids.is_valid else np.zeros(0, self.dtype)
+                    writer = ShardWriter(sink, bits)
+                got = np.frombuffer(ids.as_buffer(), dtype) if ids.is_valid else np.zeros(0, dtype)
                 writer.add(doc_id, got)
                 now.ids += len(got)
                 now.documents += 1
         if writer:
             writer.close()
             sink.close()
-        return done
-
-    def commit(self, messages: list[Shards]) -> None:
-        store, folder = _open(self.path)
-        store.create_dir(folder, recursive=True)
-        shards = sorted((s for m in messages if m for s in m.shards), key=lambda s: s.number)
-        with store.open_output_stream(f"{folder}/manifest.json") as f:
-            f.write(json.dumps({"bits": self.bits, "shards": [{"name": s.name, "ids": s.ids, "documents": s.documents} for s in shards]}).encode())
-
-    def abort(self, messages: list[Shards]) -> None:
-        store, folder = _open(self.path)
-        for s in (s for m in messages if m for s in m.shards):
-            store.delete_file(f"{folder}/{s.name}")
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, ids_per_task: int):
-        self.path, self.ids_per_task = path, ids_per_task
-
-    def partitions(self) -> list[DocumentRange]:
-        store, folder = _open(self.path)
-        shards = json.loads(store.open_input_stream(f"{folder}/manifest.json").readall())["shards"]
-        out, start = [], 0
-        for s in shards:
-            pieces = min(s["documents"], s["ids"] // self.ids_per_task + 1)
-            cuts = [s["documents"] * k // pieces for k in range(pieces + 1)]
-            out += [DocumentRange(s["name"], a, b, start) for a, b in zip(cuts[:-1], cuts[1:])]
-            start += s["ids"]
-        return out or [DocumentRange("", 0, 0, 0)]
-
-    def read(self, part: DocumentRange) -> Iterator[pa.RecordBatch]:
-        if not part.name:
-            return
-        store, folder = _open(self.path)
-        with store.open_input_file(f"{folder}/{part.name}") as source:
-            shard, k = ShardReader(source), part.first
-            while k < part.last:
-                to = int(np.searchsorted(shard.starts, shard.starts[k] + (1 << 20), "right"))
-                to = min(max(to - 1, k + 1), part.last)
-                starts = shard.starts[k : to + 1]
-                body = shard.ids(int(starts[0]), int(starts[-1])).astype("<u4")
-                ids = pa.array([body[a - starts[0] : b - starts[0]].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], pa.binary())
-                doc_ids = pa.array([None if d == NO_ID else d for d in shard.doc_ids[k:to].tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts[:-1] + part.start), ids], ["doc_id", "start", "ids"])
-                k = to
-
-
-class PackedTokens(DataSource):
-    """Spark's format "packed_tokens": columns doc_id, start (ids before the document), ids (uint32 as binary).
-
-    Writing takes (shard, doc_id, ids) sorted inside each task, and the options bits and idType (of
-    ids as they come, <u4 by default); shards are in order of their number. Only the
-    manifest, written after all tasks succeeded, makes shards part of the data set, so a task that
-    runs twice leaves an unnamed file at most.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "packed_tokens"
-
-    def schema(self) -> str:
-        return "doc_id long, start long, ids binary"
-
-    def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], int(self.options["bits"]), self.options.get("idtype", "<u4"))
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], int(self.options.get("idsPerTask", 4_000_000)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s.number for s in done], pa.int64()), pa.array([s.name for s in done]), pa.array([s.ids for s in done], pa.int64()), pa.array([s.documents for s in done], pa.int64())],
+                ["number", "name", "ids", "documents"],
+            )
+
+    return run
+
+
+def _read(path: str, shards: list[Shard], pieces: list[int]):
+    """Takes numbers of pieces, counted through all shards; gives the documents of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _open(path)
+        before, starts_at = np.cumsum([0, *pieces]), np.cumsum([0, *[s.ids for s in shards]])
+        for number in (n for batch in batches for n in batch.column(0).to_pylist()):
+            at = int(np.searchsorted(before, number, "right")) - 1
+            k, to_end = (shards[at].documents * int(n - before[at]) // pieces[at] for n in (number, number + 1))
+            with store.open_input_file(f"{folder}/{shards[at].name}") as source:
+                shard = ShardReader(source)
+                while k < to_end:
+                    to = int(np.searchsorted(shard.starts, shard.starts[k] + (1 << 20), "right"))
+                    to = min(max(to - 1, k + 1), to_end)
+                    starts = shard.starts[k : to + 1]
+                    body = shard.ids(int(starts[0]), int(starts[-1])).astype("<u4")
+                    ids = pa.array([body[a - starts[0] : b - starts[0]].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], pa.binary())
+                    doc_ids = pa.array([None if d == NO_ID else d for d in shard.doc_ids[k:to].tolist()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts[:-1] + int(starts_at[at])), ids], ["doc_id", "start", "ids"])
+                    k = to
+
+    return run
 
 
 def write_tokens(tokens: DataFrame, keys: DataFrame, path: str, vocabulary: int, dtype: str = "<u4", order: str = "doc_id") -> None:
@@ -267,19 +213,25 @@ def write_tokens(tokens: DataFrame, keys: DataFrame, path: str, vocabulary: int,
 
     Shards are ranges of it between quantiles of keys (the same values, without the work that
     tokens take), so that tokens are computed once; a range goes to one task, which may get several.
+    Only the manifest, which Spark commits after all tasks succeeded, makes shards part of the data
+    set, so a task that runs twice leaves an unnamed file at most.
     """
     spark = tokens.sparkSession
-    spark.dataSource.register(PackedTokens)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     row = keys.agg(F.percentile_approx(order, [k / shards for k in range(1, shards)], 10_000).alias("q")).first()
     bounds = sorted(set(row.q or ()))
     number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
     dealt = tokens.withColumn("shard", F.when(F.col(order).isNull(), 0).otherwise(number)).repartition("shard")
     ordered = dealt.sortWithinPartitions("shard", F.asc_nulls_first(order), "ids").select("shard", "doc_id", "ids")
-    ordered.write.format("packed_tokens").option("bits", bits_for(vocabulary)).option("idType", dtype).mode("append").save(path)
+    ordered.mapInArrow(_write(path, bits_for(vocabulary), dtype), SHARD).write.json(f"{path}/manifest")
+
 
+def read_tokens(spark: SparkSession, path: str, ids_per_task: int = 4_000_000) -> DataFrame:
+    """(doc_id, start: ids before the document, ids: uint32 as binary) of all documents in a data set.
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids) of all documents in a data set."""
-    spark.dataSource.register(PackedTokens)
-    return spark.read.format("packed_tokens").load(path)
+    The driver gets a row a shard; a task reads about ids_per_task ids of one shard.
+    """
+    shards = [Shard(*r) for r in spark.read.schema(SHARD).json(f"{path}/manifest").orderBy("number").collect()]
+    pieces = [min(s.documents, s.ids // ids_per_task + 1) for s in shards]
+    tasks = sum(pieces)
+    return spark.range(0, tasks, 1, max(tasks, 1)).mapInArrow(_read(path, shards, pieces), "doc_id long, start long, ids binary")
