@@ -57,15 +57,19 @@ def matched(current: DataFrame, stored: DataFrame) -> DataFrame:
     current: (database, table, part, checksum). Of several stored parts the one with the greatest
     supplier name stays; ties go to the same part name, then the least. The name is looked at
     afterwards: a top entry whose name differs in more than the mutation hides all others.
+    Many parts may share a checksum (empty files do), so the stored ones are brought down to one a
+    checksum before the join, and those of the same name are looked up by name: no pairs are built.
     """
-    s = stored.select(
-        F.col("database"), F.col("table"), F.col("checksum"), F.col("part").alias("stored_part"), "supplier", "verified",
-        F.col("link_part_name").alias("stored_link_part_name"), F.col("bytes").alias("stored_bytes"),
-    )
-    pairs = current.select("database", "table", F.col("part").alias("current_part"), "checksum").join(s, ["database", "table", "checksum"])
-    best = Window.partitionBy("database", "table", "current_part").orderBy(F.desc("supplier"), (F.col("stored_part") != F.col("current_part")), "stored_part")
-    top = pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-    same = (F.col("stored_part") == F.col("current_part")) | F.coalesce(same_but_mutation(F.col("stored_part"), F.col("current_part")), F.lit(False))
+    key = ["database", "table", "checksum"]
+    rest = F.struct("verified", F.col("link_part_name").alias("stored_link_part_name"), F.col("bytes").alias("stored_bytes"))
+    named = stored.groupBy(*key, "supplier", F.col("part").alias("stored_part")).agg(F.min(rest).alias("rest"))
+    least = named.groupBy(*key, "supplier").agg(F.min(F.struct("stored_part", "rest")).alias("entry"))
+    lead = least.groupBy(*key).agg(F.max(F.struct("supplier", "entry")).alias("lead")).select(*key, "lead.supplier", "lead.entry")
+    of_name = named.select(*key, "supplier", F.col("stored_part").alias("current_part"), F.struct("stored_part", "rest").alias("_of_name"))
+    pairs = current.select("database", "table", F.col("part").alias("current_part"), "checksum").join(lead, key)
+    pairs = pairs.join(of_name, [*key, "supplier", "current_part"], "left").withColumn("entry", F.coalesce("_of_name", "entry"))
+    top = pairs.select(*key, "current_part", "supplier", "entry.stored_part", "entry.rest.*")
+    same =(F.col("stored_part") == F.col("current_part")) | F.coalesce(same_but_mutation(F.col("stored_part"), F.col("current_part")), F.lit(False))
     return top.where(same).withColumn("link_part_name", effective_link_name(F.col("stored_link_part_name"), F.col("stored_part"), F.col("current_part")))
 
 

@@ -80,12 +80,22 @@ def table_actions(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def first_of_uuid(tables: DataFrame, order: list[str]) -> DataFrame:
-    """tables (database, table, uuid, ...) with verdict: keep, duplicate (same name as the first) or conflict."""
-    first = Window.partitionBy("uuid").orderBy(*order)
-    name = F.struct("database", "table")
-    lead, n = F.first(name).over(first), F.row_number().over(first)
-    verdict = F.when(F.col("uuid").isNull() | (F.col("uuid") == ""), "keep").when(n == 1, "keep").when(lead == name, "duplicate").otherwise("conflict")
-    return tables.withColumn("verdict", verdict)
+    """tables (database, table, uuid, ...) with verdict: keep, duplicate (same name as the first) or conflict.
+
+    Of rows that tie in `order` the least name is the first. Tables without a uuid are kept and not
+    shuffled; the first of a uuid comes from an aggregate, so a uuid that very many share is no
+    window of its own: only rows alike in order and name meet in one.
+    """
+    blank = F.col("uuid").isNull() | (F.col("uuid").cast("string") == "")
+    place = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.col("database").alias("d"), F.col("table").alias("t"))
+    named = tables.where(~blank)
+    first = named.groupBy("uuid").agg(F.min(place).alias("_first"))
+    alike = Window.partitionBy("uuid", *dict.fromkeys([*order, "database", "table"])).orderBy(F.lit(1))
+    once = F.row_number().over(alike) == 1
+    out = named.join(first, "uuid")
+    same_name = F.col("database").eqNullSafe(F.col("_first.d")) & F.col("table").eqNullSafe(F.col("_first.t"))
+    verdict = F.when(place.eqNullSafe(F.col("_first")) & once, "keep").when(same_name, "duplicate").otherwise("conflict")
+    return tables.where(blank).withColumn("verdict", F.lit("keep")).unionByName(out.withColumn("verdict", verdict).select(*[F.col(f"`{c}`") for c in tables.columns], "verdict"))
 
 
 def workload_actions(stored: DataFrame, live: DataFrame) -> DataFrame:
