@@ -6,11 +6,10 @@ whole subtrees, the largest first, are spilled as sorted runs of (phrase, count)
 tasks are a table, whose rows are merged by ranges of phrases, that is by intervals of the sorted
 trie: a range may begin inside a prefix, so that a prefix which very many phrases share is spread.
 
-Phrases are counted in three passes over the texts: words, pairs, then three and four words. A
-phrase that occurs `least` times has only words and pairs that do, so a later pass skips what an
-earlier one has found too rare. What is frequent goes to the tasks as a bitmap of bounded size;
-what it lets through by chance is counted exactly and then dropped, so nothing depends on it but
-time.
+The texts are read twice. A phrase that occurs `least` times has only words and pairs that do, so a
+first pass adds up 64-bit hashes of words and pairs, and the second counts phrases that have no word
+or pair whose hash is too rare. What is frequent goes to the tasks as a bitmap of bounded size; what
+it lets through by chance is counted exactly and then dropped, so nothing depends on it but time.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakeep.llm.store import discard, materialise
+from stratakeep.llm.store import discard, materialise, observed
 from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import _FOLD, Words, chunks, mix
 
@@ -38,8 +37,8 @@ _BITS = 20  # of a word's number within a task; 0 is no word
 _MASK = (1 << _BITS) - 1
 #: Entries of one container, of a task's trie, and bytes of text taken at once.
 BURST, MOST_ENTRIES, _BATCH = 4096, 600_000, 1 << 21
-#: Bytes of words that a task numbers before it starts anew.
-_WORD_BYTES = 1 << 25
+#: Bytes of words that a task numbers before it starts anew, and hashes that it adds up at once.
+_WORD_BYTES, _HASHES = 1 << 25, 1 << 21
 _U = np.uint64
 
 
@@ -121,12 +120,13 @@ class _Text:
         if len(w.starts) > 1:
             self.next[:-1] = (ended[w.starts[1:]] == ended[w.ends[:-1]]) & (self.rows[1:] == self.rows[:-1])
 
-    def spelt(self) -> pa.DictionaryArray:
-        """The words as bytes, A-Z in lower case."""
+    def spelt(self, wanted: np.ndarray) -> pa.DictionaryArray:
+        """The wanted words as bytes, A-Z in lower case."""
         w = self.words
         offsets = np.r_[0, np.cumsum(w.ends - w.starts)].astype(np.int64)
         data = _FOLD[w.data[_IS_WORD[w.data]]]
-        return pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        words = pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return words.filter(pa.array(wanted)).dictionary_encode()
 
     def marks(self, n: int) -> np.ndarray:
         """A 64-bit hash of the n words (one or two) from each word on, and of their language."""
@@ -137,38 +137,53 @@ class _Text:
         return h.view(np.int64)
 
 
-def _reach(text: _Text, words: int, frequent: Broadcast | None) -> np.ndarray:
-    """How many words a phrase that begins at each word may have: up to 1 or 2, or 4 where pairs are known; parts known to be rare aren't crossed."""
-    follows = text.next
-    if frequent is not None:
-        known = asked_for(frequent, text.marks(words - 1))
-        follows = follows & known
-        if words == 2:
-            follows = follows & np.r_[known[1:], np.zeros(min(1, len(known)), bool)]
-    reach, going = np.ones(len(follows), np.int64), np.ones(len(follows), bool)
-    for k in range({1: 0, 2: 1, 3: 3}[words]):
-        going = going & np.r_[follows[k:], np.zeros(min(k, len(follows)), bool)]
+def _reach(text: _Text, frequent: Broadcast) -> np.ndarray:
+    """How many words, 4 at most, the longest phrase to count from each word on has: no word or pair known to be rare is in it."""
+    known, follows = asked_for(frequent, text.marks(1)), text.next & asked_for(frequent, text.marks(2))
+    reach, going = known.astype(np.int64), known
+    for k in range(3):
+        ahead = lambda x, k: np.r_[x[k:], np.zeros(min(k, len(x)), bool)]
+        going = going & ahead(follows, k) & ahead(known, k + 1)
         reach += going
     return reach
 
 
+def _rough(batches):
+    """(id, n): hashes of words and pairs, added up over as many as are held at once."""
+    held, size = [], 0
+    for batch in chunks(batches, "text", _BATCH):
+        text = _Text(batch.column(0), batch.column(1))
+        held += [text.marks(1), text.marks(2)[text.next]]
+        size += len(held[-2]) + len(held[-1])
+        if size > _HASHES:
+            yield _added(held)
+            held, size = [], 0
+    if size:
+        yield _added(held)
+
+
+def _added(held: list[np.ndarray]) -> pa.RecordBatch:
+    ids, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
+
+
 _RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
 
-def _run(spilled: tuple[np.ndarray, np.ndarray, np.ndarray], words: int, known: list[bytes], langs: list[str]):
-    """A spilled subtree's phrases of `words` words (of 3 also 4), in their order: a sorted run, in pieces."""
+def _run(spilled: tuple[np.ndarray, np.ndarray, np.ndarray], known: list[bytes], langs: list[str]):
+    """Spilled subtrees' phrases of one to four words, in their order: a sorted run, in pieces."""
     first, rest, n = spilled
-    if words == 3:
-        # every phrase of four words is also one of three
-        three = distinct(first, rest >> _BITS << _BITS, n)
-        four = rest & _MASK > 0
-        first, rest, n = (np.r_[x, y[four]] for x, y in zip(three, (first, rest, n)))
     if not len(first):
         return
+    # a sequence of four words is also one of its first three, and so on
+    levels = [distinct(first, np.zeros_like(rest), n)]
+    for k in (2, 1, 0):
+        longer = (rest >> k * _BITS & _MASK) > 0
+        levels.append(distinct(first[longer], rest[longer] >> k * _BITS << k * _BITS, n[longer]))
+    first, rest, n = (np.concatenate(x) for x in zip(*levels))
     ids = [first & _MASK, rest >> 2 * _BITS, rest >> _BITS & _MASK, rest & _MASK]
     spelt = pa.array(known, pa.large_binary()).cast(pa.large_string())
-    columns = [spelt.take(pa.array(i - 1, mask=i == 0)) for i in ids if i.any()]
-    phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()), null_handling="skip")
+    phrase = pc.binary_join_element_wise(*[spelt.take(pa.array(i - 1, mask=i == 0)) for i in ids], pa.scalar(" ", pa.large_string()), null_handling="skip")
     lang = pa.array(langs, pa.large_string()).take(pa.array(first >> _BITS))
     table = pa.table({"lang": lang, "phrase": phrase, "words": sum((i > 0).astype(np.int32) for i in ids), "n": n})
     table = table.take(pc.sort_indices(table, sort_keys=[("lang", "ascending"), ("phrase", "ascending")]))
@@ -176,68 +191,56 @@ def _run(spilled: tuple[np.ndarray, np.ndarray, np.ndarray], words: int, known:
         yield batch.cast(_RUN)
 
 
-def _count(words: int, frequent: Broadcast | None, most: int):
+def _count(frequent: Broadcast, most: int):
     def run(batches):
-        trie, known, langs, size = HatTrie(), {}, {}, 0
+        trie, known, langs, size, total = HatTrie(), {}, {}, 0, {}
         for batch in chunks(batches, "text", _BATCH):
             text = _Text(batch.column(0), batch.column(1))
-            spelt = text.spelt()
+            for lang, n in zip(text.langs, np.bincount(text.lang_of_word, minlength=len(text.langs)).tolist()):
+                total[lang] = total.get(lang, 0) + n
+            reach = _reach(text, frequent)
+            spelt = text.spelt(reach > 0)
             new = spelt.dictionary.to_pylist()
             if len(known) + len(new) > _MASK - 1 or size > _WORD_BYTES:
-                yield from _run(trie.spill(), words, list(known), list(langs))
+                yield from _run(trie.spill(), list(known), list(langs))
                 known, langs, size = {}, {}, 0
             before = len(known)
             number = np.array([known.setdefault(w, len(known) + 1) for w in new] or [0], np.int64)
             size += sum(map(len, new)) if len(known) > before else 0
             lang = np.array([langs.setdefault(x, len(langs)) for x in text.langs] or [0], np.int64)
-            ids = number[np.asarray(spelt.indices)] if len(spelt) else np.zeros(0, np.int64)
-            reach = _reach(text, words, frequent)
-            at = np.flatnonzero(reach >= words)
-            ids = np.r_[ids, np.zeros(4, np.int64)]
+            at = np.flatnonzero(reach)
+            ids = np.zeros(len(reach) + 4, np.int64)
+            ids[at] = number[np.asarray(spelt.indices)] if len(at) else 0
+            first = lang[text.lang_of_word[at]] << _BITS | ids[at]
+            lone = reach[at] == 1
+            trie.add(*distinct(first[lone], np.zeros(lone.sum(), np.int64)))
+            at, first = at[~lone], first[~lone]
             rest = sum(np.where(reach[at] > k, ids[at + k], 0) << (3 - k) * _BITS for k in (1, 2, 3))
-            trie.add(*distinct(lang[text.lang_of_word[at]] << _BITS | ids[at], rest))
+            trie.add(*distinct(first, rest))
             if trie.size > most:
-                yield from _run(trie.spill(most // 2), words, list(known), list(langs))
-        yield from _run(trie.spill(), words, list(known), list(langs))
-
-    return run
-
-
-def _merged(texts: DataFrame, words: int, least: int, frequent: Broadcast | None, most: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words, a) of what occurs `least` times, as a stored table; and the runs that it was merged from."""
-    runs = materialise(texts.mapInArrow(_count(words, frequent, most), "lang string, phrase string, words int, n long"), "phrase-runs")
-    total = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("a"))
-    return materialise(total.where(F.col("a") >= least), "phrases"), runs
-
-
-def _marks_of(words: int):
-    def run(batches):
-        for batch in batches:
-            text = _Text(batch.column(0), batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(text.marks(words)[text.words.first[:-1]])], ["id"])
+                yield from _run(trie.spill(most // 2), list(known), list(langs))
+        yield from _run(trie.spill(), list(known), list(langs))
+        if total:
+            yield pa.RecordBatch.from_pylist([{"lang": k, "phrase": "", "words": 0, "n": n} for k, n in total.items()], _RUN)
 
     return run
 
 
-def _bitmap(found: DataFrame, words: int) -> Broadcast:
-    ids = found.select("phrase", "lang").mapInArrow(_marks_of(words), "id long")
-    return bitmap(ids, F.col("id"), bits_for(found.count()))
-
-
 def phrase_counts(docs: DataFrame, least: int = 30, most_entries: int = MOST_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, a) of phrases of 1 to 4 words that occur at least `least` times, (lang, n) of all words).
 
-    Both are stored tables. most_entries bounds what a task's trie holds before it spills.
+    Both are of a stored table. most_entries bounds what a task's trie holds before it spills.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    ones, runs = _merged(texts, 1, least, None, most_entries)
-    totals = materialise(runs.groupBy("lang").agg(F.sum("n").alias("n")), "words-of-langs")
-    discard(runs)
-    twos, runs = _merged(texts, 2, least, _bitmap(ones, 1), most_entries)
-    discard(runs)
-    more, runs = _merged(texts, 3, least, _bitmap(twos, 2), most_entries)
+    rough = texts.mapInArrow(_rough, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    ids, seen = observed(rough.select("id"), "frequent-hashes")
+    frequent = bitmap(ids, F.col("id"), bits_for(seen["n"]))
+    discard(ids)
+    runs = materialise(texts.mapInArrow(_count(frequent, most_entries), "lang string, phrase string, words int, n long"), "phrase-runs")
+    merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("a"))
+    found = materialise(merged.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")
     discard(runs)
-    return ones.unionByName(twos).unionByName(more), totals
+    return found.where("words > 0"), found.where("words = 0").select("lang", F.col("a").alias("n"))
 
 
 #: Exact for any counts: decimals as wide as needed.

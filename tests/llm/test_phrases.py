@@ -74,19 +74,29 @@ def test_odd_tables(spark, odd):
     assert collocations(odd.where("false")).count() == 0
 
 
-def test_long_words_of_a_task(spark, monkeypatch):
+class Everything:
+    """A bitmap that lets all through."""
+
+    value = np.full(32, 255, np.uint8)
+
+
+def test_long_words_of_a_task(monkeypatch):
     """More bytes of words than a task numbers: it starts anew and the counts stay whole."""
     monkeypatch.setattr(phrases, "_WORD_BYTES", 100)
-    run = phrases._count(3, None, 1000)
     import pyarrow as pa
 
-    docs = ["one two three four five", "one two three four", "six seven eight"] * 3
+    docs = ["one two three four five", "one two three four", "six seven eight", ""] * 3
     batches = [pa.RecordBatch.from_arrays([pa.array([t]), pa.array(["en"])], ["text", "lang"]) for t in docs * 20]
     got = Counter()
-    for b in run(iter(batches)):
+    for b in phrases._count(Everything, 1000)(iter(batches)):
         for r in b.to_pylist():
             got[r["phrase"]] += r["n"]
-    assert got == Counter({"one two three": 120, "two three four": 120, "one two three four": 120, "three four five": 60, "two three four five": 60, "six seven eight": 60})
+            assert r["words"] == len(r["phrase"].split())
+    want = Counter({"": 720})
+    for t in docs * 20:
+        w = t.split()
+        want.update(" ".join(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert got == want
 
 
 def test_trie_bursts_and_spills():
