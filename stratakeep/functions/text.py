@@ -32,14 +32,30 @@ def format_time(at: Column) -> Column:
 
 def replace_macros(text: Column, macros: Mapping[str, str]) -> Column:
     """{name} becomes the macro's value; unknown names stay. One pass: values aren't looked into."""
-    known = F.create_map(*[F.lit(x) for kv in macros.items() for x in kv]) if macros else None
-    if known is None:
+    if not macros:
         return text
+    return replace_from(text, F.create_map(*[F.lit(x) for kv in macros.items() for x in kv]))
+
+
+def replace_from(text: Column, macros: Column) -> Column:
+    """replace_macros by a row's own map; without one the text stays."""
     # text between macros and macros, in turn
     pieces = F.regexp_extract_all(text, F.lit(r"(\{[^{}]+\}|[^{]+|\{)"))
     name = lambda p: F.substring(p, F.lit(2), F.length(p) - 2)
-    one = lambda p: F.when(p.rlike(r"\A\{[^{}]+\}\z"), F.coalesce(F.try_element_at(known, name(p)), p)).otherwise(p)
-    return F.array_join(F.transform(pieces, one), "")
+    one = lambda p: F.when(p.rlike(r"\A\{[^{}]+\}\z"), F.coalesce(F.try_element_at(macros, name(p)), p)).otherwise(p)
+    return F.when(macros.isNull(), text).otherwise(F.array_join(F.transform(pieces, one), ""))
+
+
+def macro_names(text: Column) -> Column:
+    """Names in braces that a text holds."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{([^{}]+)\}"), F.lit(1)))
+
+
+def absolute_path(path: Column) -> Column:
+    """A path with one slash before each name, without `.`, and with `..` taking the name before it away; from the root on."""
+    names = F.filter(F.split(path, "/", -1), lambda x: ~x.isin("", "."))
+    fold = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(names, F.array().cast("array<string>"), fold), "/"))
 
 
 def version_at_least(version: Column, least: str) -> Column:

@@ -6,6 +6,10 @@ bucket's total is added to those after it; only one row a bucket is summed in se
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,50 @@ def running_total(df: DataFrame, key: str, ties: list[str], value: Column, out:
     return joined.withColumn(out, F.col("_ahead") + F.col("_inside")).drop("_bucket", "_value", "_inside", "_ahead")
 
 
+def ranges(df: DataFrame, key: str, out: str = "_bucket", buckets: int | None = None) -> DataFrame:
+    """df with the number of its range of the long `key`; null keys are a range before all others."""
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _bounds(df, key, buckets)
+    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    return df.withColumn(out, F.when(F.col(key).isNull(), -1).otherwise(bucket))
+
+
+def running(df: DataFrame, by: list[str], key: str, ties: list[str], buckets: int | None = None, **values: tuple[Callable, Column, bool]) -> DataFrame:
+    """df with running aggregates over the rows of a group (columns `by`), ascending in the long `key`, then `ties`.
+
+    values: out=(aggregate, value, inclusive), with an aggregate such as F.sum, F.max or F.min that
+    can be taken of its own results; it covers the rows in front, and the row itself if inclusive.
+    A group of any size is spread over the ranges of the key: windows run inside a group's range,
+    and what they add up to, one row for each, is what runs over the group. So a maximum of
+    struct(key, ties, value) gives the value of the row in front.
+    """
+    dealt = ranges(df, key, buckets=buckets)
+    names = {out: f"_value_{k}" for k, out in enumerate(values)}
+    dealt = dealt.select("*", *[value.alias(names[out]) for out, (_, value, _) in values.items()])
+    totals = dealt.groupBy(*by, "_bucket").agg(*[fn(names[out]).alias(f"_total_{names[out]}") for out, (fn, _, _) in values.items()])
+    ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(f"`{c}`").alias(f"_by_{k}") for k, c in enumerate(by)], F.col("_bucket").alias("_of"), *[fn(f"_total_{names[out]}").over(ahead).alias(f"_ahead_{names[out]}") for out, (fn, _, _) in values.items()])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(key, *ties)
+    own = {out: fn(names[out]).over(inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)) for out, (fn, _, inclusive) in values.items()}
+    dealt = dealt.select("*", *[c.alias(f"_inside_{names[out]}") for out, c in own.items()])
+    same = reduce(and_, [dealt[f"`{c}`"].eqNullSafe(totals[f"_by_{k}"]) for k, c in enumerate(by)], dealt["_bucket"] == totals["_of"])
+    joined = dealt.join(totals, same)
+    both = {out: fn for out, (fn, _, _) in values.items()}
+    return joined.select(*[dealt[f"`{c}`"] for c in df.columns], *[_of_two(both[out], F.col(f"_ahead_{names[out]}"), F.col(f"_inside_{names[out]}")).alias(out) for out in values])
+
+
+def _of_two(aggregate: Callable, a: Column, b: Column) -> Column:
+    """An aggregate's results for two runs of rows as one."""
+    if aggregate is F.sum:
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    return (F.greatest if aggregate is F.max else F.least)(a, b)
+
+
+def text_key(text: Column) -> Column:
+    """A long that ascends as texts do by their bytes: the first seven of them. Texts alike so far have one key."""
+    return F.conv(F.rpad(F.left(F.hex(F.encode(text, "UTF-8")), F.lit(14)), 14, "0"), 16, 10).cast("long")
+
+
 def position(df: DataFrame, key: str, ties: list[str], out: str = "position") -> DataFrame:
     """df with each row's place, from 0."""
     return running_total(df, key, ties, F.lit(1), out)

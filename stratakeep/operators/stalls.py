@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratakeep.operators.prefix import running
+
 
 def stalled(polls: DataFrame, by: list[str], order: list[str], pointer: str) -> DataFrame:
     """polls with stall_count: consecutive polls up to this one at which the pointer was what it was before.
 
-    The first poll of a series counts as one already: what came before it is itself.
+    The first poll of a series counts as one already: what came before it is itself. The first
+    column of `order` is a time or a number; a series is spread over its ranges, however long it is.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    still = F.col(pointer) == F.coalesce(F.lag(pointer).over(w), F.col(pointer))
-    marked = polls.withColumn("_still", still).withColumn("_run", F.sum(F.when(F.col("_still"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*by, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("stall_count", F.sum(F.col("_still").cast("long")).over(inside)).drop("_still", "_run")
+    key = F.unix_micros(F.col(order[0]).cast("timestamp")) if dict(polls.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("long")
+    keyed, ties = polls.withColumn("_key", key), order[1:]
+    place = [F.col(c) for c in ("_key", *ties)]
+    # the greatest of the rows in front is the one before; the greatest of those that moved is where the run begins
+    seen = running(keyed, by, "_key", ties, _before=(F.max, F.struct(*place, F.col(pointer).alias("_pointer")), False), _number=(F.sum, F.lit(1), True))
+    moved = F.col("_before").isNotNull() & ~F.col("_before._pointer").eqNullSafe(F.col(pointer))
+    runs = running(seen.withColumn("_moved", F.when(moved, F.col("_number"))), by, "_key", ties, _begin=(F.max, F.col("_moved"), True))
+    return runs.select(*[F.col(f"`{c}`") for c in polls.columns], (F.col("_number") - F.coalesce("_begin", F.lit(0))).alias("stall_count"))

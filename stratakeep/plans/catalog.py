@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratakeep.functions import names, sizes
 from stratakeep.operators import dedup, reconcile, retention, totals
 from stratakeep.operators.prefix import batches
+from stratakeep.sources.files import orphans
 
 VERSION = "0.1.0"
 #: Objects that one bulk deletion takes.
@@ -71,11 +72,18 @@ class Catalog:
         mark = modes.where("mode = 'parts'").select("backup", F.lit("set_state").alias("action"), *[F.lit(None).cast("string").alias(c) for c in ("database", "table", "part")], "next_state")
         return whole.unionByName(some).unionByName(mark)
 
-    def plan_purge(self, count: int | None = None, since: datetime | str | None = None) -> DataFrame:
-        """Actions that leave what the retention policy keeps; without a policy there are none."""
+    def plan_purge(self, count: int | None = None, since: datetime | str | None = None, names: DataFrame | None = None) -> DataFrame:
+        """Actions that leave what the retention policy keeps; without a policy there are none.
+
+        names: (backup) of what has files; those without metadata go too, whatever their age.
+        """
         if count is None and since is None:
             return self._deletions(self.backups.withColumn("retained", F.lit(True)), "NOT retained")
-        return self._deletions(retention.retention(self.backups, count, since), "NOT retained")
+        plan = self._deletions(retention.retention(self.backups, count, since), "NOT retained")
+        if names is None:
+            return plan
+        lost = orphans(names.where("backup is not null").distinct(), self.backups).withColumn("action", F.lit("delete_backup"))
+        return plan.unionByName(lost, allowMissingColumns=True)
 
     def plan_delete(self, name: str, purge_partial: bool = False) -> DataFrame:
         name = self.resolve(name)

@@ -23,9 +23,9 @@ class Registry(dict):
 
 
 def all_queries() -> Registry:
-    from stratakeep.queries import catalogue, names, reconciling, sizes
+    from stratakeep.queries import catalogue, names, reconciling, restoring, sizes, transferring
 
     out = Registry()
-    for module in (catalogue, names, reconciling, sizes):
+    for module in (catalogue, names, reconciling, restoring, sizes, transferring):
         out.update(module.registry)
     return out

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratakeep import fixtures as fx
 from stratakeep.functions.names import effective_link_name, part_name, physical_name, same_but_mutation
 from stratakeep.functions.text import format_time, label, merged, parse_time
 from stratakeep.operators import dedup, retention, totals
-from stratakeep.operators.prefix import batches
+from stratakeep.operators.prefix import batches, running, text_key
 from stratakeep.operators.stalls import stalled
 from stratakeep.queries import Registry
 from stratakeep.sources import metadata
@@ -44,7 +43,8 @@ def part_name_parse(spark, d):
 @registry.add("part_sort", _INV + f', s AS (SELECT "table", part, {_SPLIT} FROM parts) SELECT "table", part, row_number() OVER (PARTITION BY "table" ORDER BY partition_id, min_block, max_block, level) AS place FROM s')
 def part_sort(spark, d):
     p = fx.parts(spark, d).withColumn("p", part_name(F.col("part")))
-    return p.select("table", "part", F.row_number().over(Window.partitionBy("table").orderBy("p")).cast("long").alias("place"))
+    placed = running(p.withColumn("key", text_key(F.col("p.partition_id"))), ["table"], "key", ["p"], place=(F.sum, F.lit(1).cast("long"), True))
+    return placed.select("table", "part", "place")
 
 
 @registry.add("mutation_rename", _INV + """, n AS (SELECT part, part || '_4' AS renamed, CASE WHEN b = 1 THEN replace(part, '_0', '_1') ELSE part || '_9' END AS other, b FROM parts)
@@ -55,7 +55,7 @@ def mutation_rename(spark, d):
     return n.select("part", "renamed", "other", same_but_mutation(F.col("renamed"), F.col("other")).alias("same"), link.alias("link_name"))
 
 
-_LINK_PLAN = _SNAP + """, current AS (
+LINK_PLAN = _SNAP + """, current AS (
   SELECT database, "table", CASE WHEN b = 1 THEN part || '_5' WHEN b = 2 AND y % 2 = 0 THEN replace(part, '_3_3_', '_3_4_') ELSE part END AS part,
          CASE WHEN ym LIKE '%12' THEN md5(checksum) ELSE checksum END AS checksum
   FROM parts
@@ -81,7 +81,7 @@ SELECT database, "table", part, CASE WHEN supplier IS NULL THEN 'upload' ELSE 'l
 FROM current LEFT JOIN good USING (database, "table", part)"""
 
 
-@registry.add("dedup_link_plan", _LINK_PLAN)
+@registry.add("dedup_link_plan", LINK_PLAN)
 def dedup_link_plan(spark, d):
     """The flagship: which current parts are linked to a stored one, and which must be uploaded."""
     name = F.when(F.col("b") == 1, F.concat("part", F.lit("_5"))).when((F.col("b") == 2) & (F.col("y") % 2 == 0), F.replace("part", F.lit("_3_3_"), F.lit("_3_4_"))).otherwise(F.col("part"))
@@ -91,7 +91,7 @@ def dedup_link_plan(spark, d):
     return dedup.link_plan(current, dedup.candidates(fx.snap(spark, d), databases, used, "host1"))
 
 
-@registry.add("dedup_candidates", _LINK_PLAN.split("top AS (")[0].rstrip().removesuffix(",") + ' SELECT database, "table", part, supplier, verified, link_part_name, bytes FROM stored')
+@registry.add("dedup_candidates", LINK_PLAN.split("top AS (")[0].rstrip().removesuffix(",") + ' SELECT database, "table", part, supplier, verified, link_part_name, bytes FROM stored')
 def dedup_candidates(spark, d):
     used = dedup.considered(fx.catalog(spark, d), "1997-01-01")
     databases = used.select("backup", F.lit("sales").alias("database"), "hostname", "state", "start_time")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratakeep.functions.crypto import CHUNK, open_or_plain
 from stratakeep.functions.text import parse_time
+from stratakeep.sources.shared import path_of
 
 _PART = "struct<checksum:string,bytes:bigint,files:array<string>,tarball:boolean,link:string,link_part_name:string,disk_name:string,encrypted:boolean>"
 _TABLE = f"struct<engine:string,uuid:string,parts:map<string,{_PART}>>"
@@ -20,10 +27,34 @@ DEFAULT_TIME_FORMAT = "%Y-%m-%d %H:%M:%S.%f %z"
 
 
 def read_documents(spark: SparkSession, root: str, light: bool = False) -> DataFrame:
-    """(backup, document) of every backup below root."""
-    name = "backup_light_struct.json" if light else "backup_struct.json"
-    texts = spark.read.text(f"{root.rstrip('/')}/*/{name}", wholetext=True)
-    return texts.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("backup"), F.col("value").alias("document"))
+    """(backup, document) of every backup below root: of its own folder's document, or as write_documents leaves it."""
+    root, name = root.rstrip("/"), "backup_light_struct.json" if light else "backup_struct.json"
+    found = [df for df in (_texts(spark, root, f"*/{name}"), None if light else _texts(spark, root, "backup=*")) if df is not None]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "backup string, document string")
+
+
+def read_sealed_documents(spark: SparkSession, root: str, key: bytes, chunk: int = CHUNK) -> DataFrame:
+    """(backup, document) like read_documents, of documents that are sealed by the backup's name or plain, each as it is.
+
+    A sealed document that was changed, cut, or moved to another backup is an error when it is read.
+    """
+    files, path = path_of(spark, f"{root.rstrip('/')}/*/backup_struct.json")
+    if not files.globStatus(path):
+        return spark.createDataFrame([], "backup string, document string")
+    read = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/backup_struct.json")
+    named = read.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("backup"), "content")
+    return named.select("backup", open_or_plain(F.col("content"), F.lit(key), chunk, F.col("backup")).cast("string").alias("document"))
+
+
+def _texts(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """(backup, document) of the files root/<backup>/name, or root/backup=<backup>/...; None if there are none."""
+    files, path = path_of(spark, f"{root}/{name}")
+    if not files.globStatus(path):
+        return None
+    if "=" in name:  # folders that Spark has named
+        return spark.read.option("basePath", root).schema("value string, backup string").text(f"{root}/{name}").select("backup", F.col("value").alias("document"))
+    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    return spark.read.text(f"{root}/{name}", wholetext=True).select(folder.alias("backup"), F.col("value").alias("document"))
 
 
 def parse(documents: DataFrame) -> DataFrame:
@@ -84,17 +115,132 @@ def show(parsed: DataFrame, name: str, database: str | None = None, table: str |
     return out if table is None else out.where(F.col("table") == table)
 
 
-def to_documents(stored: DataFrame, backups: DataFrame) -> DataFrame:
-    """(document): JSON of each backup, from flat parts and (backup, hostname, state, start_time)."""
-    part = F.struct("checksum", "bytes", "link", "link_part_name")
-    t = stored.groupBy("backup", "database", "table").agg(F.first("engine").alias("engine"), F.map_from_entries(F.collect_list(F.struct("part", part))).alias("parts"))
-    d = t.groupBy("backup", "database").agg(F.map_from_entries(F.collect_list(F.struct("table", F.struct("engine", "parts")))).alias("tables"))
-    b = d.groupBy("backup").agg(F.map_from_entries(F.collect_list(F.struct("database", F.struct("tables")))).alias("databases"))
-    start = F.concat(F.date_format("start_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" +0000"))
-    meta = F.struct(F.col("backup").alias("name"), "hostname", "state", start.alias("start_time"), F.lit(DEFAULT_TIME_FORMAT).alias("time_format"), "schema_only")
-    return backups.join(b, "backup", "left").select(F.to_json(F.struct(meta.alias("meta"), "databases")).alias("document"))
+_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+#: Fields of a document's parts, with the columns they come from.
+_META_COLUMNS = {
+    "name": "name", "path": "path", "version": "version", "ch_version": "ch_version", "hostname": "hostname", "labels": "labels", "bytes": "bytes", "real_bytes": "real_bytes",
+    "state": "state", "exception": "exception", "schema_only": "schema_only", "encrypted": "encrypted",
+}
+_LISTS = {"access_control": "access_control", "user_defined_functions": "functions", "named_collections": "named_collections", "workload_entities": "workload_entities"}
+_DATABASE_COLUMNS = ("engine", "metadata_path", "uuid", "engine_full")
+_TABLE_COLUMNS = ("engine", "uuid")
+_PART_COLUMNS = ("checksum", "bytes", "files", "tarball", "link", "link_part_name", "disk_name", "encrypted")
+#: Parts that one piece of a document holds at most, about.
+PIECE = 20_000
+
+
+def _fields(df: DataFrame, names: tuple[str, ...]) -> Column:
+    """struct of those of the columns that df has."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in names if c in df.columns])
+
+
+def _meta(backups: DataFrame) -> Column:
+    """The meta field of (name or backup, hostname, state, start_time, ...); times are written as UTC instants."""
+    def at(c: str) -> Column:
+        local = F.col(c).cast("timestamp_ntz")
+        instant = local if dict(backups.dtypes)[c] == "timestamp_ntz" else F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+        return F.concat(F.date_format(instant, _TIME), F.lit(" +0000"))
+
+    times = [at(c).alias(c) for c in ("start_time", "end_time") if c in backups.columns]
+    named = [F.col("backup").alias("name")] if "name" not in backups.columns else []
+    more = [F.col(f"`{column}`").alias(field) for field, column in _META_COLUMNS.items() if column in backups.columns]
+    return F.struct(*named, *more, *times, F.lit(DEFAULT_TIME_FORMAT).alias("time_format")).alias("meta")
+
+
+def _lists(backups: DataFrame) -> list[Column]:
+    return [F.col(f"`{column}`").alias(field) for field, column in _LISTS.items() if column in backups.columns]
+
+
+def to_documents(stored: DataFrame, backups: DataFrame, databases: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """(document): one JSON text a backup, for a catalogue whose backups fit a row each; `write_catalogue` has no such bound.
+
+    stored: flat parts; backups: (backup or name, hostname, state, start_time, ...); databases and
+    tables, as the functions of these names give them, also keep what has no parts. All columns
+    that a document has a field for are written.
+    """
+    key = ["backup", "database", "table"]
+    held = stored.groupBy(*key).agg(F.first("engine").alias("engine"), F.map_from_entries(F.collect_list(F.struct("part", _fields(stored, _PART_COLUMNS)))).alias("parts"))
+    if tables is not None:
+        named = tables.select(*key, *[c for c in _TABLE_COLUMNS if c in tables.columns])
+        held = named.join(held.withColumnRenamed("engine", "_engine"), key, "full").withColumn("engine", F.coalesce("engine", "_engine")).drop("_engine")
+    t = held.groupBy("backup", "database").agg(F.map_from_entries(F.collect_list(F.struct("table", _fields(held, (*_TABLE_COLUMNS, "parts"))))).alias("tables"))
+    if databases is not None:
+        t = databases.select("backup", "database", *[c for c in _DATABASE_COLUMNS if c in databases.columns]).join(t, ["backup", "database"], "full")
+    d = t.groupBy("backup").agg(F.map_from_entries(F.collect_list(F.struct("database", _fields(t, (*_DATABASE_COLUMNS, "tables"))))).alias("databases"))
+    name = "backup" if "backup" in backups.columns else "name"
+    return backups.join(d.withColumnRenamed("backup", name), name, "left").select(F.to_json(F.struct(_meta(backups), F.col("databases"), *_lists(backups))).alias("document"))
 
 
 def write_documents(documents: DataFrame, root: str) -> None:
     """(backup, document) as text files in one folder a backup, below root; existing backups are replaced."""
     documents.select("backup", F.col("document").alias("value")).write.partitionBy("backup").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(root)
+
+
+@dataclass
+class Catalogue:
+    """A stored catalogue's tables: backups as `parse` gives them without databases, then databases, tables, parts."""
+
+    backups: DataFrame
+    databases: DataFrame
+    tables: DataFrame
+    parts: DataFrame
+
+
+def _pieces(c: Catalogue, size: int) -> DataFrame:
+    """(kind, backup, document): documents of one database, one table, or some of one table's parts."""
+    meta = F.struct(F.col("backup").alias("name"), F.lit("created").alias("state")).alias("meta")
+    document = lambda databases: F.to_json(F.struct(meta, databases.alias("databases"))).alias("document")
+    of_table = lambda entry: F.create_map("database", F.struct(F.create_map("table", entry).alias("tables")))
+    d = c.databases.where("backup is not null and database is not null")
+    t = c.tables.where("backup is not null and database is not null and `table` is not null")
+    p = c.parts.where("backup is not null and database is not null and `table` is not null and part is not null")
+    key = ["backup", "database", "table"]
+    n = p.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+    dealt = p.join(n, key).withColumn("_piece", F.pmod(F.xxhash64("part"), F.col("_n")))
+    held = dealt.groupBy(*key, "_piece").agg(F.first("engine").alias("engine"), F.map_from_entries(F.collect_list(F.struct("part", _fields(p, _PART_COLUMNS)))).alias("parts"))
+    kinds = [
+        ("database", d.select("backup", document(F.create_map("database", _fields(d, _DATABASE_COLUMNS))))),
+        ("table", t.select("backup", document(of_table(_fields(t, _TABLE_COLUMNS))))),
+        ("part", held.select("backup", document(of_table(_fields(held, ("engine", "parts")))))),
+    ]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "*") for kind, df in kinds])
+
+
+def write_catalogue(c: Catalogue, root: str, piece: int = PIECE) -> str:
+    """Write backups' full and light documents below root; gives the name of this writing.
+
+    A full document is written in pieces, so that no row holds a backup, in folders that are this
+    writing's own: root/full/write=<name>/kind=<kind>/backup=<backup>. Light documents come last.
+    A backup's light document of the latest writing says which full pieces count, so one is
+    replaced at once, and a writing that breaks off changes nothing. Writing the same twice
+    leaves the later one. Backups without a name are left out; repeated ones count once.
+    """
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    pieces = _pieces(c, piece).withColumnRenamed("document", "value")
+    pieces.repartition("kind", "backup", F.pmod(F.xxhash64("value"), F.lit(8))).write.partitionBy("kind", "backup").text(f"{root.rstrip('/')}/full/write={name}")
+    b = c.backups.where("name is not null").dropDuplicates(["name"])
+    b.select(F.to_json(F.struct(_meta(b), *_lists(b))).alias("value")).write.text(f"{root.rstrip('/')}/light/write={name}")
+    return name
+
+
+def _current(spark: SparkSession, root: str) -> DataFrame:
+    """(backup, write, document): the light document of each backup's latest writing."""
+    lines = spark.read.schema("value string, write string").text(f"{root.rstrip('/')}/light")
+    named = lines.select(F.get_json_object("value", "$.meta.name").alias("backup"), "write", F.col("value").alias("document"))
+    return named.groupBy("backup").agg(F.max(F.struct("write", "document")).alias("m")).select("backup", "m.write", "m.document")
+
+
+def read_light(spark: SparkSession, root: str) -> DataFrame:
+    """The backups that write_catalogue has written, as `parse` gives light documents."""
+    return light(parse(_current(spark, root)))
+
+
+def read_catalogue(spark: SparkSession, root: str, names: list[str] | None = None) -> Catalogue:
+    """What write_catalogue has written, of all backups or of those named (whose folders alone are read)."""
+    current = _current(spark, root)
+    full = spark.read.schema("value string, write string, kind string, backup string").text(f"{root.rstrip('/')}/full")
+    if names is not None:
+        current, full = (df.where(F.col("backup").isin(*names) if names else F.lit(False)) for df in (current, full))
+    full = full.join(current.select("backup", "write"), ["backup", "write"], "left_semi").withColumnRenamed("value", "document")
+    of = lambda kind: parse(full.where(F.col("kind") == kind))
+    return Catalogue(light(parse(current)), databases(of("database")), tables(of("table")), parts(of("part")))
