@@ -36,9 +36,9 @@ _IS_WORD[[0x20, 0x09]] = False
 _BITS = 20  # of a word's number within a task; 0 is no word
 _MASK = (1 << _BITS) - 1
 #: Entries of one container, of a task's trie, and bytes of text taken at once.
-BURST, MOST_ENTRIES, _BATCH = 4096, 600_000, 1 << 21
+BURST, MOST_ENTRIES, _BATCH = 4096, 250_000, 1 << 20
 #: Bytes of words that a task numbers before it starts anew, and hashes that it adds up at once.
-_WORD_BYTES, _HASHES = 1 << 25, 1 << 21
+_WORD_BYTES, _HASHES = 1 << 24, 1 << 20
 _U = np.uint64
 
 
