@@ -6,9 +6,9 @@ whole subtrees, the largest first, are spilled as sorted runs of (phrase, count)
 tasks are a table, whose rows are merged by ranges of phrases, that is by intervals of the sorted
 trie: a range may begin inside a prefix, so that a prefix which very many phrases share is spread.
 
-The texts are read twice. A phrase that occurs `least` times has only words and pairs that do, so a
-first pass adds up 64-bit hashes of words and pairs, and the second counts phrases that have no word
-or pair whose hash is too rare. What is frequent goes to the tasks as a bitmap of bounded size; what
+The texts are read twice. A phrase that occurs `least` times has only parts that do, so a first pass
+adds up hashes of words and of what two and three of them make, and the second counts phrases that
+have no such part whose hash is too rare. What is frequent goes to the tasks as a bitmap of bounded size; what
 it lets through by chance is counted exactly and then dropped, so nothing depends on it but time.
 """
 
@@ -36,7 +36,7 @@ _IS_WORD[[0x20, 0x09]] = False
 _BITS = 20  # of a word's number within a task; 0 is no word
 _MASK = (1 << _BITS) - 1
 #: Entries of one container, of a task's trie, and bytes of text taken at once.
-BURST, MOST_ENTRIES, _BATCH = 4096, 250_000, 1 << 20
+BURST, MOST_ENTRIES, _BATCH = 4096, 400_000, 1 << 20
 #: Bytes of words that a task numbers before it starts anew, and hashes that it adds up at once.
 _WORD_BYTES, _HASHES = 1 << 24, 1 << 20
 _U = np.uint64
@@ -129,32 +129,42 @@ class _Text:
         return words.filter(pa.array(wanted)).dictionary_encode()
 
     def marks(self, n: int) -> np.ndarray:
-        """A 64-bit hash of the n words (one or two) from each word on, and of their language."""
+        """A hash below 2 ** 48 of the n words from each word on, and of their language."""
         lang = np.array([zlib.crc32(x.encode()) for x in self.langs] or [0], np.uint64)[self.lang_of_word]
-        h = self.words.hashes() ^ mix(lang + _U(1))
-        if n == 2 and len(h):
-            h = mix(h * _U(0x9E3779B97F4A7C15) + np.r_[h[1:], h[:1]])
-        return h.view(np.int64)
+        one = h = self.words.hashes() ^ mix(lang + _U(1))
+        for k in range(1, n):
+            h = mix(h * _U(0x9E3779B97F4A7C15) + np.roll(one, -k))
+        return (h >> _U(16)).view(np.int64)
+
+    def joined(self, n: int) -> np.ndarray:
+        """Whether the n words from each word on are in one piece."""
+        out = np.ones(len(self.next), bool)
+        for k in range(n - 1):
+            out &= _ahead(self.next, k)
+        return out
+
+
+def _ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """What is k places further on."""
+    return np.r_[x[k:], np.zeros(min(k, len(x)), bool)]
 
 
 def _reach(text: _Text, frequent: Broadcast) -> np.ndarray:
-    """How many words, 4 at most, the longest phrase to count from each word on has: no word or pair known to be rare is in it."""
-    known, follows = asked_for(frequent, text.marks(1)), text.next & asked_for(frequent, text.marks(2))
-    reach, going = known.astype(np.int64), known
-    for k in range(3):
-        ahead = lambda x, k: np.r_[x[k:], np.zeros(min(k, len(x)), bool)]
-        going = going & ahead(follows, k) & ahead(known, k + 1)
-        reach += going
-    return reach
+    """How many words, 4 at most, the longest phrase to count from each word on has: no part of up to three words that is known to be rare is in it."""
+    word, pair, three = (text.joined(n) & asked_for(frequent, text.marks(n)) for n in (1, 2, 3))
+    two = word & pair & _ahead(word, 1)
+    third = two & _ahead(two, 1) & three
+    return word.astype(np.int64) + two + third + (third & _ahead(third, 1))
 
 
 def _rough(batches):
-    """(id, n): hashes of words and pairs, added up over as many as are held at once."""
+    """(id, n): hashes of one to three words, added up over as many as are held at once."""
     held, size = [], 0
     for batch in chunks(batches, "text", _BATCH):
         text = _Text(batch.column(0), batch.column(1))
-        held += [text.marks(1), text.marks(2)[text.next]]
-        size += len(held[-2]) + len(held[-1])
+        for n in (1, 2, 3):
+            held.append(text.marks(n)[text.joined(n)])
+            size += len(held[-1])
         if size > _HASHES:
             yield _added(held)
             held, size = [], 0
