@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratakeep.llm.store import materialise
 from stratakeep.llm.words import ALNUM, Words, chunks
 
-#: Words of test items in one automaton; larger benchmarks take one more pass for each such shard.
+#: Words of test items in one automaton; larger benchmarks take one more job for each such shard.
 SHARD_WORDS = 200_000
 
 
@@ -146,63 +151,89 @@ def _index(shard, window: int) -> Index:
     return _built[name, window]
 
 
-def _shards(benchmark: DataFrame) -> list:
-    """The items as broadcasts of at most about SHARD_WORDS words (an item over that is one alone)."""
+def _shards(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The items as broadcasts of at most about SHARD_WORDS words (an item over that is one alone), each made when it is asked for."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
     # a word takes two bytes at least with its end, so this counts no fewer words than there are
     size = items.agg(F.coalesce(F.sum((F.octet_length("text") + 1) / 2), F.lit(0.0)).alias("words")).first().words
     n = int(size // SHARD_WORDS) + 1
-    out = []
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
-        rows = [(r.item, r.text) for r in part.collect()]
-        if rows:
-            out.append(benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows)))
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.text) for r in part.collect()]))
+
 
+def _scan(shard: Broadcast, window: int, every: bool):
+    """Batches (row or doc_id, text, ...) with spans and items behind them; every: also of rows without a match."""
 
-def _scan(shard, window: int):
     def run(batches):
         index = _index(shard, window)
         for batch in chunks(batches, "text"):
-            words = Words(batch.column(1), ALNUM)
-            if index.least == 0:
-                yield batch
+            got = list(index.rows(Words(batch.column(1), ALNUM))) if index.least else [None] * batch.num_rows
+            at = list(range(len(got))) if every else [k for k, g in enumerate(got) if g is not None]
+            if not at:
                 continue
-            names, spans, items = batch.schema.names, [], []
-            old_spans, old_items = (batch.column(names.index(c)).to_pylist() for c in ("spans", "items"))
-            for k, got in enumerate(index.rows(words)):
-                if got is None:
-                    spans.append(old_spans[k])
-                    items.append(old_items[k])
-                    continue
-                hit, found = got
-                for s, e in old_spans[k]:
-                    hit[s:e] = True
-                edges = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
-                spans.append(edges.reshape(-1, 2).tolist())
-                items.append(sorted(found.union(old_items[k])))
-            columns = {c: batch.column(j) for j, c in enumerate(names)}
-            columns |= {"spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+            spans = [np.flatnonzero(np.diff(np.r_[0, got[k][0].view(np.int8), 0])).reshape(-1, 2).tolist() if got[k] else [] for k in at]
+            items = [sorted(got[k][1]) if got[k] else [] for k in at]
+            kept = batch if every else batch.select([batch.schema.names[0]]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(spans, _SPANS), pa.array(items, _ITEMS)], [*kept.schema.names, "spans", "items"])
 
     return run
 
 
+_SPANS, _ITEMS = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
+_FOUND = "spans array<array<bigint>>, items array<string>"
+
+
+def _union(parts: list[list[list[int]]]) -> list[list[int]]:
+    """Spans of several lists as one list of spans that don't touch."""
+    out: list[list[int]] = []
+    for a, b in sorted(x for part in parts for x in part):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _merged(batches):
+    """Rows (spans and items of each shard, the rest) with those of all shards together, behind the rest."""
+    for batch in batches:
+        spans = [_union(x or []) for x in batch.column(0).to_pylist()]
+        items = [sorted({i for part in x or [] for i in part}) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(spans, _SPANS), pa.array(items, _ITEMS)], [*batch.schema.names[2:], "spans", "items"])
+
+
+def _with_matches(docs: DataFrame, benchmark: DataFrame, window: int, then: Callable, schema: str | T.StructType) -> DataFrame:
+    """docs (doc_id, text, ...) through `then`, which takes batches of them with spans and items behind.
+
+    One shard of items is one narrow pass. More of them are jobs one after the other, each of which
+    writes the rows it found something in, so that a worker holds one shard's index whatever the
+    number of shards; these rows, few of them, are then joined to the documents.
+    """
+    shards = _shards(benchmark)
+    first = next(shards)
+    second = next(shards, None)
+    if second is None:
+        return docs.mapInArrow(_chained([_scan(first, window, True), then]), schema)
+    base, hits = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "documents"), []
+    for shard in chain((first, second), shards):
+        hits.append(materialise(base.select("_row", "text").mapInArrow(_scan(shard, window, False), f"_row long, {_FOUND}"), "matches"))
+        shard.destroy()
+    found = reduce(DataFrame.unionByName, hits).groupBy("_row").agg(F.collect_list("spans").alias("_spans"), F.collect_list("items").alias("_items"))
+    joined = base.join(found, "_row", "left").select("_spans", "_items", *docs.columns)
+    return joined.mapInArrow(_chained([_merged, then]), schema)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs (doc_id, text) with spans (word numbers [from, to) of the hit words) and items (their ids, sorted).
 
     A window is `window` consecutive words of an item, or all of an item of fewer; words are runs
     of letters, digits and non-ASCII characters with A-Z in lower case. Null texts, and items of
-    no words, have no windows. Narrow: the documents aren't shuffled; each shard of items, of
-    bounded size, is one more pass within the same stage.
+    no words, have no windows. Repeated rows are matched each, empty tables give empty ones.
     """
-    found = _unmatched(docs.select("doc_id", "text"))
-    return found.mapInArrow(_chained([_scan(shard, window) for shard in _shards(benchmark)]), found.schema)
-
-
-def _unmatched(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"text": F.col("text").cast("string"), "spans": F.array().cast("array<array<bigint>>"), "items": F.array().cast("array<string>")})
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*texts.schema, T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
+    return _with_matches(texts, benchmark, window, iter, schema)
 
 
 def _chained(steps: list):
@@ -219,17 +250,17 @@ def _chained(steps: list):
 def _digest(batches):
     for batch in chunks(batches, "text"):
         words = Words(batch.column(1), ALNUM)
-        spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        spans, items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         hit = [sum(e - s for s, e in x) for x in spans]
         sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(words.first), pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([n > 0 for n in hit])], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; nulls and empty texts have none of these."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    steps = [*(_scan(shard, window) for shard in _shards(benchmark)), _digest]
-    return _unmatched(docs.select("doc_id", "text")).mapInArrow(_chained(steps), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _with_matches(texts, benchmark, window, _digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _cleaned(max_coverage: float):
@@ -237,7 +268,7 @@ def _cleaned(max_coverage: float):
         for batch in chunks(batches, "text"):
             words = Words(batch.column(1), ALNUM)
             texts, verdicts = [], []
-            for k, spans in enumerate(batch.column(2).to_pylist()):
+            for k, spans in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
                 a, b = int(words.first[k]), int(words.first[k + 1])
                 if not spans:
                     texts.append(batch.column(1)[k].as_py())
@@ -250,7 +281,7 @@ def _cleaned(max_coverage: float):
                 pieces.append(words.data[at:end].tobytes())
                 texts.append(b"\n".join(p for p in (x.strip() for x in pieces) if p).decode())
                 verdicts.append(sum(e - s for s, e in spans) > max_coverage * (b - a))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(verdicts), *batch.columns[4:]], ["text", "drop", *batch.schema.names[4:]])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(verdicts), *batch.columns[2:-2]], ["text", "drop", *batch.schema.names[2:-2]])
 
     return run
 
@@ -260,14 +291,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
     A match of `window` words or more is over the length limit and is cut; a document of which
     more than max_coverage of the words matched is over the coverage limit and is removed whole.
-    Documents without a match come back as they were, in all columns.
+    Documents without a match come back as they were, in all columns; null texts have none.
+    Repeated rows are cleaned each, empty tables give empty ones.
     """
     rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.col("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    found = _unmatched(packed).select("doc_id", "text", "spans", "items", "row")
-    schema = T.StructType().add("text", "string").add("drop", "boolean").add("row", found.schema["row"].dataType)
-    steps = [*(_scan(shard, window) for shard in _shards(benchmark)), _cleaned(max_coverage)]
-    kept = found.mapInArrow(_chained(steps), schema).where(~F.col("drop"))
+    packed = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    schema = T.StructType().add("text", "string").add("drop", "boolean").add("row", packed.schema["row"].dataType)
+    kept = _with_matches(packed, benchmark, window, _cleaned(max_coverage), schema).where(~F.col("drop"))
     columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     out = kept.select(*columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -48,6 +48,17 @@ def test_cleaning(spark):
     assert rows_of(got, "doc_id", "text", "spans", "n_chars") == [(1, "Keep this;\n! and this text too, all of it", "x", 41), (3, " as it was ", None, 11), (4, None, "z", None)]
 
 
+def test_shards_clean_like_one(spark, monkeypatch, odd):
+    items = spark.createDataFrame([(k, " ".join(WORDS[k : k + 6])) for k in range(18)], "item_id long, text string")
+    docs = odd.unionByName(odd.limit(1).withColumn("doc_id", F.lit(500).cast("long")).withColumn("text", F.lit("Before. " + " ".join(WORDS) + " after that " + "x " * 200)))
+    whole = rows_of(dc.decontaminate(docs, items, window=5), "doc_id", "text", "n_chars")
+    spans = rows_of(dc.matches(docs, items, window=5), "doc_id", "spans", "items")
+    monkeypatch.setattr(dc, "SHARD_WORDS", 40)
+    assert rows_of(dc.decontaminate(docs, items, window=5), "doc_id", "text", "n_chars") == whole
+    assert rows_of(dc.matches(docs, items, window=5), "doc_id", "spans", "items") == spans and any(s for _, s, _ in spans)
+    assert dc.contamination(docs.limit(0), items).count() == 0
+
+
 def test_odd_input(spark, odd):
     items = spark.createDataFrame([(None, "one"), (2, ""), (None, None)], "item_id long, text string")
     got = dc.contamination(odd, items)
