@@ -6,8 +6,9 @@ floor(i * Q / w) on and must have one before ceil((i + 1) * Q / w); earliest dea
 the slots. Then no source is ever a whole block ahead of its share or behind it. Targets that are
 thousandths are taken as they are (Q = 1000), others in parts of 10 ** 9, so that among n slots a
 source is n / 10 ** 9 blocks off its target at most. The schedule repeats after Q slots; it is
-worked out on the driver for Q slots, or for those of the whole mix if these are fewer (one for
-each block_chars characters), and joined as a table of blocks.
+worked out on the driver for Q slots, or for those of the whole mix if these are fewer, and joined
+as a table of blocks. A block has 50,000 characters, or more where the documents would make over
+MOST_BLOCKS of them, so that this work doesn't grow with the data: a block is then that share of it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from stratakeep.llm.store import materialise
 
 MOST_SOURCES = 20_000
+#: Blocks of documents that a mix has at most, about, and characters of one at least, unless block_chars says otherwise.
+MOST_BLOCKS, LEAST_BLOCK = 200_000, 50_000
 COARSE, FINE = 1000, 10**9
 
 
@@ -90,11 +93,11 @@ def _size():
     return F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
 
 
-def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int = 50_000, temperature: float = 0.7) -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int | None = None, temperature: float = 0.7) -> DataFrame:
     """The mix's place of each document: one row for each distinct (doc_id, source) of docs.
 
     Columns: doc_id, source, weight (of the period's slots), period, before (characters of the
-    source in front of it), block, release, deadline, slot (of its first pass), blocks (of its
+    source in front of it), block (of block_chars characters), release, deadline, slot (of its first pass), blocks (of its
     source), passes. weights: targets by source; by default the sources' sizes to the power
     `temperature`, which lifts small sources. Sources without a weight get none and are an error.
     Those of weight 0 get no slot: release, deadline and slot are null, passes is 0.
@@ -107,7 +110,7 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     return _schedule(docs, weights, block_chars, temperature)[0]
 
 
-def _schedule(docs: DataFrame, weights: Mapping[str | None, float] | None, block_chars: int, temperature: float) -> tuple[DataFrame, DataFrame]:
+def _schedule(docs: DataFrame, weights: Mapping[str | None, float] | None, block_chars: int | None, temperature: float) -> tuple[DataFrame, DataFrame]:
     """The places, and the table of slots (slot_source, number, slot): those of the period, or of the mix."""
     sizes = source_sizes(docs)
     if weights is None:
@@ -115,6 +118,7 @@ def _schedule(docs: DataFrame, weights: Mapping[str | None, float] | None, block
     if missing := set(sizes) - set(weights):
         raise ValueError(f"sources without a weight: {sorted(map(str, missing))[:5]}")
     whole = target_weights({s: weights[s] for s in sizes}) if sizes else {}
+    block_chars = block_chars or max(LEAST_BLOCK, -(-sum(sizes.values()) // MOST_BLOCKS))
     blocks, period = {s: -(-n // block_chars) for s, n in sizes.items()}, sum(whole.values())
     slots = pattern(whole, max((-(-blocks[s] * period // w) for s, w in whole.items() if w), default=0))
     # the mix ends when every source has been gone through once
@@ -156,7 +160,7 @@ def _with_slot(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
     return rows.join(named, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("number") == F.col("slot_number")), how)
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int = 50_000, temperature: float = 0.7) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int | None = None, temperature: float = 0.7) -> DataFrame:
     """docs in the order of the mix, each row as often as the mix goes through it; the same columns.
 
     The rows are range-partitioned and sorted by slot, so files written from it follow the mix.

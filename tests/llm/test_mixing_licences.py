@@ -28,29 +28,52 @@ def test_weights():
 
 
 def brute_places(docs, weights, block):
-    """The mix by a simulation over slots: earliest deadline first, then source order."""
-    streams = {}
+    """The mix by a simulation over slots: among blocks whose release has come the earliest deadline goes first, then the source's name."""
+    period, streams = sum(weights.values()), {}
     for d, s, size in sorted(docs):
         streams.setdefault(s, []).append((d, size))
-    return {(d, s): (sum(z for _, z in rows[:k]) // block) for s, rows in streams.items() for k, (d, _) in enumerate(rows)}
-
-
-def test_schedule(spark):
+    before = {(d, s): sum(z for _, z in rows[:k]) for s, rows in streams.items() for k, (d, _) in enumerate(rows)}
+    blocks = {s: -(-sum(z for _, z in rows) // block) for s, rows in streams.items()}
+    given, first, t = dict.fromkeys(streams, 0), {}, 0
+    while any(given[s] < blocks[s] for s in streams):
+        ready = [(-(-(given[s] + 1) * period // weights[s]), s) for s in streams if given[s] * period // weights[s] <= t]
+        s = min(ready)[1]
+        first.setdefault((s, given[s]), t)
+        given[s] += 1
+        t += 1
+    return {(d, s): (at // block, at // block * period // weights[s], -(-(at // block + 1) * period // weights[s]), first[s, at // block], -(-(given[s] - at // block) // blocks[s])) for (d, s), at in before.items()}
+
+
+@pytest.mark.parametrize("targets", [{"a": 3.0, "b": 1.0, "unused": 9.0}, {"a": 1.0, "b": 2.0}])
+def test_schedule(spark, targets):
     rng = random.Random(2)
     docs = [(k, "x" * rng.randrange(1, 400), rng.choice("aab")) for k in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    got = mixing.schedule(df, {"a": 3.0, "b": 1.0, "unused": 9.0}, block_chars=1000).collect()
-    want = brute_places([(d, s, len(t) + 1) for d, t, s in docs], None, 1000)
-    assert {(r.doc_id, r.source): r.block for r in got} == want
-    assert all(r.release <= r.slot < r.deadline and r.passes >= 1 for r in got)
+    got = mixing.schedule(df, targets, block_chars=1000).collect()
     weight = {r.source: r.weight for r in got}
-    assert weight["a"] + weight["b"] == 1000 and abs(weight["a"] - 750) <= 1
+    want = brute_places([(d, s, len(t) + 1) for d, t, s in docs], weight, 1000)
+    assert {(r.doc_id, r.source): (r.block, r.release, r.deadline, r.slot, r.passes) for r in got} == want
+    assert all(r.release <= r.slot < r.deadline and r.passes >= 1 for r in got)
+    share = targets["a"] / (targets["a"] + targets["b"])
+    assert abs(weight["a"] / sum(weight.values()) - share) < 1e-3
     once = {r.source for r in got if r.passes == 1}
     assert once  # the source that sets the length of the mix is gone through once
     with pytest.raises(ValueError):
         mixing.schedule(df, {"a": 1.0})
 
 
+def test_blocks_grow_with_the_data(spark, monkeypatch):
+    """The driver works out a bounded number of slots, however much there is."""
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 10)
+    df = spark.createDataFrame([(k, "z" * 99, "s" if k % 3 else "t") for k in range(900)], "doc_id long, text string, source string")
+    asked, real = [], mixing.pattern
+    monkeypatch.setattr(mixing, "pattern", lambda weights, length=None: asked.append(length) or real(weights, length))
+    rows = mixing.schedule(df).collect()
+    assert max(r.block for r in rows) <= 50 and max(asked) <= 200
+    assert mixing.schedule(df.limit(0)).count() == 0
+
+
 def test_mix_follows_targets(spark):
     docs = [(k, "y" * 99, "big" if k % 4 else "small") for k in range(4000)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
