@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC, VERSION, BLOCK_IDS = b"PACKIDS1", 1, 4096
@@ -33,6 +34,8 @@ NO_ID = -(1 << 63)
 #: A row of the manifest.
 SHARD = "number long, name string, ids long, documents long"
 _FOOT = struct.Struct("<8s6q")
+#: Documents of one shard at most, about: its index is in a task's memory as it is written.
+SHARD_DOCUMENTS = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -76,7 +79,7 @@ class ShardWriter:
     def __init__(self, sink, bits: int, block: int = BLOCK_IDS):
         self.sink, self.bits, self.block = sink, bits, block
         self.rest, self.waiting = [], 0
-        self.doc_ids, self.starts, self.offsets, self.n = [], [0], [], 0
+        self.doc_ids, self.starts, self.offsets, self.n = array("q"), array("q", [0]), array("q"), 0
         self.at = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -148,8 +151,31 @@ class Shard:
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path within it of a folder: local, hdfs:// or an object store."""
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """The file system and path within it of a whole URI: local, hdfs:// or an object store."""
+    return fs.FileSystem.from_uri(path)
+
+
+def uri_of(spark: SparkSession, path: str) -> str:
+    """A folder's whole URI as Spark resolves it: a path without a scheme is on Spark's default file system.
+
+    The names that Hadoop has for S3 are those that Arrow has for it.
+    """
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    scheme, rest = whole.split(":", 1)
+    return f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }:{rest if rest.startswith('//') else '//' + rest}"
+
+
+def _range_of(column: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are below the column; of many, only one stretch is looked at closely."""
+    below = lambda values: F.size(F.filter(values, lambda b: b < column))
+    array_ = lambda values: F.array(*[F.lit(b).cast("long") for b in values])
+    if len(bounds) <= 64:
+        return below(array_(bounds)) if bounds else F.lit(0)
+    step = int(len(bounds) ** 0.5) + 1
+    pieces = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    piece = F.greatest(below(array_([p[0] for p in pieces])) - 1, F.lit(0))
+    return piece * step + below(F.get(F.array(*[array_(p) for p in pieces]), piece))
 
 
 def _write(path: str, bits: int, dtype: str):
@@ -213,17 +239,17 @@ def write_tokens(tokens: DataFrame, keys: DataFrame, path: str, vocabulary: int,
 
     Shards are ranges of it between quantiles of keys (the same values, without the work that
     tokens take), so that tokens are computed once; a range goes to one task, which may get several.
+    There are as many as keep each to about SHARD_DOCUMENTS documents. Rows of one value share a shard.
     Only the manifest, which Spark commits after all tasks succeeded, makes shards part of the data
     set, so a task that runs twice leaves an unnamed file at most.
     """
     spark = tokens.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    row = keys.agg(F.percentile_approx(order, [k / shards for k in range(1, shards)], 10_000).alias("q")).first()
-    bounds = sorted(set(row.q or ()))
-    number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-keys.count() // SHARD_DOCUMENTS))
+    row = keys.agg(F.percentile_approx(order, [k / shards for k in range(1, shards)], max(10_000, 4 * shards)).alias("q")).first()
+    number = _range_of(F.col(order), sorted(set(row.q or ())))
     dealt = tokens.withColumn("shard", F.when(F.col(order).isNull(), 0).otherwise(number)).repartition("shard")
     ordered = dealt.sortWithinPartitions("shard", F.asc_nulls_first(order), "ids").select("shard", "doc_id", "ids")
-    ordered.mapInArrow(_write(path, bits_for(vocabulary), dtype), SHARD).write.json(f"{path}/manifest")
+    ordered.mapInArrow(_write(uri_of(spark, path), bits_for(vocabulary), dtype), SHARD).write.json(f"{path}/manifest")
 
 
 def read_tokens(spark: SparkSession, path: str, ids_per_task: int = 4_000_000) -> DataFrame:
@@ -234,4 +260,4 @@ def read_tokens(spark: SparkSession, path: str, ids_per_task: int = 4_000_000) -
     shards = [Shard(*r) for r in spark.read.schema(SHARD).json(f"{path}/manifest").orderBy("number").collect()]
     pieces = [min(s.documents, s.ids // ids_per_task + 1) for s in shards]
     tasks = sum(pieces)
-    return spark.range(0, tasks, 1, max(tasks, 1)).mapInArrow(_read(path, shards, pieces), "doc_id long, start long, ids binary")
+    return spark.range(0, tasks, 1, max(tasks, 1)).mapInArrow(_read(uri_of(spark, path), shards, pieces), "doc_id long, start long, ids binary")

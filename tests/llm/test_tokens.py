@@ -61,3 +61,27 @@ def test_files(spark, odd):
     assert order == sorted(order)
     assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
     assert tokenise_to_files(odd.limit(0), PATH, 49_408).count() == 0
+
+
+def test_folders_are_what_spark_takes_them_for(spark):
+    """A path without a scheme is on Spark's default file system, for Arrow too."""
+    from stratakeep.llm.token_files import uri_of
+
+    conf = spark._jsc.hadoopConfiguration()
+    assert uri_of(spark, "/tmp/x") == "file:///tmp/x" == uri_of(spark, "file:/tmp/x") == uri_of(spark, "file:///tmp/x")
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://c/")
+        conf.set("fs.viewfs.mounttable.c.link./d", "file:///tmp")
+        assert uri_of(spark, "/d/x") == "viewfs://c/d/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_ranges_of_many_bounds(spark):
+    from stratakeep.llm.token_files import _range_of
+
+    for n in (0, 1, 64, 65, 1000):
+        bounds = sorted({k * k % 7919 for k in range(n)})
+        got = spark.range(-5, 8000, 13).select("id", _range_of(F.col("id"), bounds).alias("r")).collect()
+        assert all(r.r == sum(b < r.id for b in bounds) for r in got)
