@@ -14,7 +14,7 @@ from stratakeep.llm.store import materialise, observed
 from stratakeep.llm.wanted import asked_for, bitmap, bits_for
 from stratakeep.llm.words import PLAIN, Words, chunks
 
-SHINGLE, PERMUTATIONS, BAND_ROWS, LEAST_BYTES = 8, 35, 5, 24
+SHINGLE, PERMUTATIONS, BAND_ROWS, LEAST_BYTES = 8, 35, 5, 1
 _U = np.uint64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -121,8 +121,7 @@ def line_components(docs: DataFrame, threshold: int = 80, permutations: int = PE
     """Every compared line (doc_id, line_no, of, id), and (id, first_doc, first_line) of each one that has copies.
 
     Lines are trimmed of ASCII white space and compared without the case of A-Z; those of fewer
-    than least_bytes are never copies (1: every line that isn't blank is compared, as the
-    registered query does). Those shorter than a shingle are one shingle, so only equal ones are
+    than least_bytes are never copies (1: every line that isn't blank is compared). Those shorter than a shingle are one shingle, so only equal ones are
     alike, and they need no bands. Lines alike to the letter are one node; nodes are linked when
     the Jaccard index of their sets of 8-byte shingles is 0.8 or more. first_doc and first_line
     are the first place of the component, by doc_id and line_no; of is how many lines of the
