@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratakeep.sources.shared import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +42,11 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parts, worked out once and kept for all that a query makes of them: lineitem is scanned once."""
+    return stored(parts(spark, sf_dir), "parts")
+
+
 SNAP = INV + """, years AS (SELECT DISTINCT y FROM parts),
 catalog AS (
   SELECT 'b' || y AS backup, 'host' || (y % 2) AS hostname, CASE WHEN y % 3 = 0 THEN 'failed' ELSE 'created' END AS state,
@@ -53,18 +60,19 @@ catalog AS (
 )"""
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One backup a year."""
+def catalog(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """One backup a year; known: parts that are at hand."""
     y = F.col("y")
-    return parts(spark, sf_dir).select("y").distinct().select(
+    return (parts(spark, sf_dir) if known is None else known).select("y").distinct().select(
         F.concat(F.lit("b"), y).alias("backup"), F.concat(F.lit("host"), y % 2).alias("hostname"), F.when(y % 3 == 0, "failed").otherwise("created").alias("state"),
         F.make_timestamp_ntz(y + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("start_time"), F.lit(False).alias("schema_only"), "y",
     )
 
 
-def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored parts: each backup holds all parts up to its year, older ones as links."""
-    p, years = parts(spark, sf_dir), parts(spark, sf_dir).select(F.col("y").alias("backup_year")).distinct()
+def snap(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """Stored parts: each backup holds all parts up to its year, older ones as links; known: parts that are at hand."""
+    p = parts_once(spark, sf_dir) if known is None else known
+    years = p.select(F.col("y").alias("backup_year")).distinct()
     # each part year with the years it is stored in: few rows, so that the parts join on equality
     held = years.select(F.explode(F.sequence(F.lit(1970), "backup_year")).alias("y"), "backup_year")
     old = F.col("y") < F.col("backup_year")

@@ -143,3 +143,13 @@ def longest_prefix(paths: DataFrame, disks: DataFrame, path: str, key: list[str]
 
 def missing(required: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     return required.join(existing.select(*key).distinct(), key, "left_anti")
+
+
+def with_statements(tables: DataFrame, statements: DataFrame, key: list[str]) -> DataFrame:
+    """tables with their statement, null where it is missing; of several for one key the least counts."""
+    return tables.join(statements.groupBy(*key).agg(F.min("statement").alias("statement")), key, "left")
+
+
+def still_readonly(readonly: DataFrame, restored: DataFrame, fixed: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of restored tables whose replica is read-only and hasn't been fixed, each once."""
+    return readonly.select(*key).distinct().join(restored.select(*key), key, "left_semi").join(fixed.select(*key), key, "left_anti")

@@ -44,3 +44,20 @@ def skip_summary(tables: DataFrame, reason: str) -> DataFrame:
 def names_by_table(columns: DataFrame) -> DataFrame:
     """(table, columns): each table's column names as a sorted array."""
     return columns.groupBy("table").agg(F.array_sort(F.collect_list("column")).alias("columns"))
+
+
+def object_counts(backups: DataFrame) -> DataFrame:
+    """(name, acl_count, udf_count) of backups with lists access_control and functions; no list counts 0."""
+    size = lambda c: F.coalesce(F.size(F.coalesce(c, F.array().cast("array<string>"))), F.lit(0)).cast("long")
+    return backups.select("name", size(F.col("access_control").cast("array<string>")).alias("acl_count"), size(F.col("functions").cast("array<string>")).alias("udf_count"))
+
+
+def holds(wanted: DataFrame, rows: DataFrame, key: list[str], out: str = "there", count: str = "n") -> DataFrame:
+    """wanted with whether any rows have its key, and how many; rows are counted before they are joined."""
+    n = rows.groupBy(*key).agg(F.count(F.lit(1)).alias(count))
+    return wanted.join(n, key, "left").withColumn(out, F.col(count).isNotNull()).withColumn(count, F.coalesce(count, F.lit(0)))
+
+
+def partitions(parts: DataFrame, table: list[str], partition: str) -> DataFrame:
+    """The distinct partitions of tables that have an active part (column active)."""
+    return parts.where("active = 1").select(*table, partition).distinct()

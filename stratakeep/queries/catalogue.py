@@ -24,7 +24,7 @@ def part_inventory(spark, d):
 
 @registry.add("active_partitions", _INV + ' SELECT DISTINCT "table", ym FROM parts')
 def active_partitions(spark, d):
-    return fx.parts(spark, d).select("table", "ym").distinct()
+    return totals.partitions(fx.parts(spark, d).withColumn("active", F.lit(1)), ["table"], "ym")
 
 
 _SPLIT = """split_part(part, '_', 1) AS partition_id, CAST(split_part(part, '_', 2) AS BIGINT) AS min_block,
@@ -85,17 +85,19 @@ FROM current LEFT JOIN good USING (database, "table", part)"""
 def dedup_link_plan(spark, d):
     """The flagship: which current parts are linked to a stored one, and which must be uploaded."""
     name = F.when(F.col("b") == 1, F.concat("part", F.lit("_5"))).when((F.col("b") == 2) & (F.col("y") % 2 == 0), F.replace("part", F.lit("_3_3_"), F.lit("_3_4_"))).otherwise(F.col("part"))
-    current = fx.parts(spark, d).select("database", "table", name.alias("part"), F.when(F.col("ym").like("%12"), F.md5("checksum")).otherwise(F.col("checksum")).alias("checksum"))
-    used = dedup.considered(fx.catalog(spark, d), "1997-01-01")
+    parts = fx.parts_once(spark, d)
+    current = parts.select("database", "table", name.alias("part"), F.when(F.col("ym").like("%12"), F.md5("checksum")).otherwise(F.col("checksum")).alias("checksum"))
+    used = dedup.considered(fx.catalog(spark, d, parts), "1997-01-01")
     databases = used.select("backup", F.lit("sales").alias("database"), "hostname", "state", "start_time")
-    return dedup.link_plan(current, dedup.candidates(fx.snap(spark, d), databases, used, "host1"))
+    return dedup.link_plan(current, dedup.candidates(fx.snap(spark, d, parts), databases, used, "host1"))
 
 
 @registry.add("dedup_candidates", LINK_PLAN.split("top AS (")[0].rstrip().removesuffix(",") + ' SELECT database, "table", part, supplier, verified, link_part_name, bytes FROM stored')
 def dedup_candidates(spark, d):
-    used = dedup.considered(fx.catalog(spark, d), "1997-01-01")
+    parts = fx.parts_once(spark, d)
+    used = dedup.considered(fx.catalog(spark, d, parts), "1997-01-01")
     databases = used.select("backup", F.lit("sales").alias("database"), "hostname", "state", "start_time")
-    return dedup.candidates(fx.snap(spark, d), databases, used, "host1").select("database", "table", "part", "supplier", "verified", "link_part_name", "bytes")
+    return dedup.candidates(fx.snap(spark, d, parts), databases, used, "host1").select("database", "table", "part", "supplier", "verified", "link_part_name", "bytes")
 
 
 @registry.add("dedup_checksum_docs", """SELECT doc_id, first_id, doc_id <> first_id AS is_copy FROM (
@@ -153,8 +155,9 @@ refs AS (
 
 
 def _split(spark, d):
-    c = fx.catalog(spark, d)
-    return fx.snap(spark, d), c.where("y % 2 = 1").select("backup"), c.where("y % 2 = 0").select("backup")
+    parts = fx.parts_once(spark, d)
+    c = fx.catalog(spark, d, parts)
+    return fx.snap(spark, d, parts), c.where("y % 2 = 1").select("backup"), c.where("y % 2 = 0").select("backup")
 
 
 @registry.add("delete_refs", _SPLIT_BACKUPS + ' SELECT backup, database, "table", part FROM refs')
@@ -183,29 +186,33 @@ def partial_delete_sizes(spark, d):
     return totals.sizes(retention.without_parts(parts, removed))
 
 
+def _documents(spark, d):
+    parts = fx.parts_once(spark, d)
+    return metadata.to_documents(fx.snap(spark, d, parts), fx.catalog(spark, d, parts))
+
+
 @registry.add("flatten_parts", _SNAP + ' SELECT backup, database, "table", part, bytes, link FROM snap')
 def flatten_parts(spark, d):
-    docs = metadata.to_documents(fx.snap(spark, d), fx.catalog(spark, d))
-    return metadata.parts(metadata.parse(docs)).select("backup", "database", "table", "part", "bytes", "link")
+    return metadata.parts(metadata.parse(_documents(spark, d))).select("backup", "database", "table", "part", "bytes", "link")
 
 
 @registry.add("decode_catalog", _SNAP + " SELECT backup AS name, hostname, state, start_time, n AS parts FROM catalog JOIN (SELECT backup, count(*) AS n FROM snap GROUP BY backup) USING (backup)")
 def decode_catalog(spark, d):
-    full = metadata.parse(metadata.to_documents(fx.snap(spark, d), fx.catalog(spark, d)))
+    full = metadata.parse(_documents(spark, d))
     n = metadata.parts(full).groupBy(F.col("backup").alias("name")).agg(F.count(F.lit(1)).alias("parts"))
     return metadata.light(full).join(n, "name").select("name", "hostname", "state", F.to_timestamp_ntz(F.date_format("start_time", "yyyy-MM-dd HH:mm:ss")).alias("start_time"), "parts")
 
 
 @registry.add("show_filtered", _SNAP + """ SELECT part, bytes, checksum FROM snap WHERE backup = 'b1997' AND database = 'sales' AND "table" = 'lineitem'""")
 def show_filtered(spark, d):
-    full = metadata.parse(metadata.to_documents(fx.snap(spark, d), fx.catalog(spark, d)))
+    full = metadata.parse(_documents(spark, d))
     return metadata.show(full, "b1997", "sales", "lineitem").select("part", "bytes", "checksum")
 
 
 @registry.add("empty_backups", _SNAP + ", s AS (SELECT c.backup, sum(CASE WHEN s.ym LIKE '%01' THEN s.bytes ELSE 0 END) AS size FROM catalog c LEFT JOIN snap s USING (backup) GROUP BY 1) SELECT backup, size = 0 AS empty FROM s")
 def empty_backups(spark, d):
-    january = fx.snap(spark, d).where("ym LIKE '%01'")
-    return totals.emptiness(fx.catalog(spark, d), january)
+    parts = fx.parts_once(spark, d)
+    return totals.emptiness(fx.catalog(spark, d, parts), fx.snap(spark, d, parts).where("ym LIKE '%01'"))
 
 
 @registry.add("physical_name", _SNAP + " SELECT backup, part, coalesce(nullif(link_part_name, ''), part) AS stored_as FROM snap")
@@ -248,12 +255,15 @@ def label_merge(spark, d):
 
 @registry.add("acl_counts", "SELECT user_id, count(DISTINCT event_type) AS acl_count, count(*) AS udf_count FROM events GROUP BY user_id")
 def acl_counts(spark, d):
-    return fx.table(spark, d, "events").groupBy("user_id").agg(F.size(F.collect_set("event_type")).cast("long").alias("acl_count"), F.count(F.lit(1)).alias("udf_count"))
+    e = fx.table(spark, d, "events").groupBy(F.col("user_id").alias("name")).agg(F.collect_set("event_type").alias("access_control"), F.count(F.lit(1)).alias("udf_count"))
+    counted = totals.object_counts(e.withColumn("functions", F.lit(None).cast("array<string>"))).drop("udf_count")
+    return counted.join(e.select("name", "udf_count"), "name").withColumnRenamed("name", "user_id")
 
 
 @registry.add("any_failed", _BACKUPS + " SELECT hostname, bool_or(state = 'failed') AS any_failed FROM backups GROUP BY hostname")
 def any_failed(spark, d):
-    return fx.backups(spark, d).groupBy("hostname").agg(F.bool_or(F.col("state") == "failed").alias("any_failed"))
+    b = fx.backups(spark, d)
+    return totals.holds(b.select("hostname").distinct(), b.where("state = 'failed'"), ["hostname"], "any_failed").select("hostname", "any_failed")
 
 
 @registry.add("time_roundtrip", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '.000000 +0000' AS text, o_orderdate - INTERVAL 3 HOUR AS at_moscow, o_orderdate AS naive FROM orders")

@@ -8,6 +8,7 @@ from stratakeep.fixtures import table
 from stratakeep.operators import reconcile as rc
 from stratakeep.operators import selection, totals, workloads
 from stratakeep.queries import Registry
+from stratakeep.sources import scans
 
 registry = Registry()
 
@@ -156,9 +157,8 @@ def live_databases(spark, d):
 
 @registry.add("catalog_points", """SELECT n_name, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) AS there, coalesce((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey), 0) AS n FROM nation""")
 def catalog_points(spark, d):
-    n = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
-    out = table(spark, d, "nation").join(n, "n_nationkey", "left")
-    return out.select("n_name", F.col("n").isNotNull().alias("there"), F.coalesce("n", F.lit(0)).alias("n"))
+    found = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    return totals.holds(table(spark, d, "nation"), found, ["n_nationkey"]).select("n_name", "there", "n")
 
 
 @registry.add("detached_tables", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = 1)")
@@ -173,11 +173,9 @@ def exclude_databases(spark, d):
     return selection.without_databases(_live(spark, d), ["AFRICA", "system"]).select("database", "table")
 
 
-@registry.add("select_tables", f"SELECT r_name AS database, n_name AS \"table\" FROM {_LIVE} WHERE (r_name, n_name) IN (SELECT r_name, min(n_name) FROM {_LIVE} GROUP BY r_name)")
+@registry.add("select_tables", f"SELECT r_name AS database, n_name AS \"table\" FROM {_LIVE} WHERE r_name || '.' || n_name IN ('AFRICA.NATION_0', 'ASIA.NATION_2', 'ASIA.NATION_0', 'EUROPE.x.y', 'AMERICA.NATION_1')")
 def select_tables(spark, d):
-    live = _live(spark, d)
-    first = live.groupBy("database").agg(F.min("table").alias("table"))
-    return live.join(first, ["database", "table"], "left_semi").select("database", "table")
+    return selection.chosen_tables(_live(spark, d), ["AFRICA.NATION_0", "ASIA.NATION_2", "ASIA.NATION_0", "EUROPE.x.y", "AMERICA.NATION_1"]).select("database", "table")
 
 
 @registry.add("empty_means_all", "SELECT n_name AS \"table\", 'all' AS filter FROM nation UNION ALL SELECT n_name, 'some' FROM nation WHERE n_name IN ('NATION_1', 'NATION_3', 'FRANCE')")
@@ -197,14 +195,17 @@ def unchanged_tables(spark, d):
 
 @registry.add("ddl_queue_errors", "SELECT event_id, event_type FROM events WHERE event_type = 'error' ORDER BY event_id")
 def ddl_queue_errors(spark, d):
-    queue = table(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_type") == "error", "49").otherwise("0").alias("code"))
-    return queue.where(F.col("code").try_cast("int") != 0).orderBy("event_id").select("event_id", "event_type")
+    kind = F.col("event_type")
+    code, status = F.when(kind == "error", "49").when(kind == "view", F.lit(None)).otherwise("0"), F.when(kind == "click", "Finished").otherwise("Active")
+    queue = table(spark, d, "events").select(F.col("event_id").cast("string").alias("entry"), kind.alias("query"), status.alias("status"), code.alias("exception_code"), F.lit("").alias("exception_text"), F.lit("c").alias("cluster"))
+    errors = scans.ddl_errors({"distributed_ddl_queue": queue}, "24.3", "c")
+    return errors.select(F.col("entry").cast("long").alias("event_id"), F.col("query").alias("event_type"))
 
 
 @registry.add("missing_ddl", "SELECT c_custkey, o IS NULL AS missing FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def missing_ddl(spark, d):
-    ddl = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("statement"))
-    return table(spark, d, "customer").join(ddl, "c_custkey", "left").select("c_custkey", F.col("statement").isNull().alias("missing"))
+    ddl = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").cast("string").alias("statement"))
+    return rc.with_statements(table(spark, d, "customer"), ddl, ["c_custkey"]).select("c_custkey", F.col("statement").isNull().alias("missing"))
 
 
 @registry.add("missing_required", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -229,7 +230,8 @@ def workload_reconcile(spark, d):
 def readonly_fix(spark, d):
     s = table(spark, d, "supplier")
     wanted = table(spark, d, "nation").where("n_regionkey > 0").select(F.col("n_nationkey").alias("s_nationkey"))
-    return s.where("s_acctbal < 5000").join(wanted, "s_nationkey", "left_semi").select("s_suppkey").join(s.where("s_suppkey % 4 = 0").select("s_suppkey"), "s_suppkey", "left_anti")
+    restored = s.join(wanted, "s_nationkey", "left_semi")
+    return rc.still_readonly(s.where("s_acctbal < 5000"), restored, s.where("s_suppkey % 4 = 0"), ["s_suppkey"])
 
 
 @registry.add("admin_duplicates", """WITH m AS (SELECT s_nationkey, min(s_suppkey) AS main FROM supplier GROUP BY 1)

@@ -105,8 +105,9 @@ def scan_replicas_disks(spark, d):
 
 
 def _catalog(spark, d) -> Catalog:
-    backups = fx.catalog(spark, d).withColumnRenamed("backup", "name").withColumn("end_time", F.col("start_time") + F.expr("INTERVAL 1 HOUR"))
-    parts = stored(fx.snap(spark, d), "snap")
+    known = fx.parts_once(spark, d)
+    backups = fx.catalog(spark, d, known).withColumnRenamed("backup", "name").withColumn("end_time", F.col("start_time") + F.expr("INTERVAL 1 HOUR"))
+    parts = stored(fx.snap(spark, d, known), "snap")
     return Catalog(backups, parts.select("backup", "database").distinct(), parts)
 
 
