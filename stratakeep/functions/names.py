@@ -28,6 +28,11 @@ def quote_path(name: Column) -> Column:
     return _percent(name, [*_WORD, _TILDE])
 
 
+def unquoted(name: Column) -> Column:
+    """What escape_file_name or quote_path made of a name, back; null where the bytes aren't UTF-8."""
+    return F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def backtick_escape(name: Column) -> Column:
     """For use between backticks: each backtick gets a backslash."""
     return F.replace(name, F.lit("`"), F.lit("\\`"))

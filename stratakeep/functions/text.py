@@ -18,16 +18,18 @@ TIME_FORMATS = {
 
 
 def parse_time(text: Column, time_format: Column) -> Column:
-    """An instant, by the row's own format; without a zone it is UTC (the session's zone must be). Null if unreadable."""
+    """An instant, by the row's own format; without a zone it is UTC, whatever the session's zone. Null if unreadable."""
     out = F.lit(None).cast("timestamp")
     for known, spark_format in TIME_FORMATS.items():
-        out = F.when(time_format == known, F.try_to_timestamp(text, F.lit(spark_format))).otherwise(out)
+        zoned = "Z" in spark_format.split("'")[-1]
+        at = F.try_to_timestamp(text if zoned else F.concat(text, F.lit(" +0000")), F.lit(spark_format if zoned else f"{spark_format} Z"))
+        out = F.when(time_format == known, at).otherwise(out)
     return out
 
 
 def format_time(at: Column) -> Column:
-    """In the default format, as UTC."""
-    return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" +0000"))
+    """An instant in the default format, as UTC, whatever the session's zone."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" +0000"))
 
 
 def replace_macros(text: Column, macros: Mapping[str, str]) -> Column:

@@ -39,6 +39,8 @@ def statement(action: Column) -> Column:
         "drop_database_replica": F.concat(F.lit("SYSTEM DROP DATABASE REPLICA '"), F.col("name"), F.lit("' FROM ZKPATH "), path),
         "rename_table": F.concat(F.lit("RENAME TABLE "), _table(), F.lit(" TO "), database, F.lit("."), name),
         "reload_config": F.lit("SYSTEM RELOAD CONFIG"),
+        "show_create_database": F.concat(F.lit("SHOW CREATE DATABASE "), database),
+        "kill_freeze": F.concat(F.lit("KILL QUERY WHERE query_kind='Alter' AND user='"), F.replace(F.replace("name", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("' AND query ILIKE '%ALTER TABLE%FREEZE%'")),
     }
     out = F.lit(None).cast("string")
     for kind, sql in text.items():
@@ -48,3 +50,20 @@ def statement(action: Column) -> Column:
 
 def with_statements(actions: DataFrame) -> DataFrame:
     return actions.withColumn("statement", statement(F.col("action")))
+
+
+def freezes(tables: DataFrame, parts: DataFrame, name: str, by_partition: bool = False) -> DataFrame:
+    """(action, database, table, part, name): what freezes tables (database, table) under a backup's name, and unfreezes it at last.
+
+    A table is frozen as a whole, or by_partition each of its partitions that has an active part
+    (parts: database, table, partition_id, active); a table without one is then left out. Repeated
+    tables count once.
+    """
+    once, key = tables.select("database", "table").where("database is not null and `table` is not null").distinct(), ["database", "table"]
+    if by_partition:
+        held = parts.where("active = 1").select(*key, F.col("partition_id").alias("part")).distinct()
+        rows = once.join(held, key).select(F.lit("freeze_partition").alias("action"), *key, "part")
+    else:
+        rows = once.select(F.lit("freeze_table").alias("action"), *key, F.lit(None).cast("string").alias("part"))
+    last = rows.sparkSession.createDataFrame([("unfreeze",)], "action string")
+    return rows.unionByName(last, allowMissingColumns=True).withColumn("name", F.lit(name))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratakeep.functions import names, sizes
 from stratakeep.operators import dedup, reconcile, retention, totals
+from stratakeep.operators.listing import first_of
 from stratakeep.operators.prefix import batches
 from stratakeep.sources.files import orphans
 
@@ -109,12 +110,21 @@ class Catalog:
         fetch = mine.groupBy("database", "table").agg(F.array_sort(F.collect_list(F.struct("part", "action", "stored_in", "stored_as"))).alias("parts"))
         return tables.join(fetch, ["database", "table"], "left").orderBy("rank", *order)
 
-    def cloud_metadata_paths(self, name: str, root: str, disks: list[str], compressed: bool = False) -> DataFrame:
-        """(disk, path) of the archives that hold a backup's object-storage metadata, one for each table."""
+    def cloud_metadata_paths(self, name: str, root: str, disks: list[str], compressed: bool = False, existing: DataFrame | None = None) -> DataFrame:
+        """(disk, path) of the archives that hold a backup's object-storage metadata, one for each table.
+
+        existing: (path) of what is stored; then only archives that are, and of a disk whose one old
+        archive for all tables is stored, that one alone.
+        """
         b = self.resolve(name)
         t = self.parts.where(F.col("backup") == b).select("database", "table").distinct()
         t = t.withColumn("disk", F.explode(F.array(*map(F.lit, disks)))) if disks else t.withColumn("disk", F.lit(None).cast("string")).limit(0)
-        return t.select("disk", names.disk_table_path(root, F.lit(b), F.col("disk"), F.col("database"), F.col("table"), compressed).alias("path"))
+        paths = t.select("disk", names.disk_table_path(root, F.lit(b), F.col("disk"), F.col("database"), F.col("table"), compressed).alias("path"))
+        if existing is None:
+            return paths
+        old = t.select("disk").distinct().withColumn("path", names.legacy_disk_path(root, F.lit(b), F.col("disk"), compressed))
+        there = lambda df: df.join(existing.select("path").distinct(), "path", "left_semi").select("disk", "path")
+        return first_of(there(old), there(paths), ["disk"])
 
 
 def bulk_deletes(paths: DataFrame, size: int = DELETE_BATCH) -> DataFrame:

@@ -76,7 +76,7 @@ def legacy_link(spark, d):
     return table(spark, d, "pages").select("page_id", names.legacy_link(F.col("url"), link).alias("link"))
 
 
-@registry.add("macro_replace", "SELECT p_partkey, '{' || p_brand || '} } ' || p_name || ' {shard}/1 { r-1' AS out FROM part")
+@registry.add("macro_replace", r"""SELECT p_partkey, replace(replace('{' || p_brand || '} } ' || p_name || ' {shard}/{n} { {replica}', '{n}', '1'), '{replica}', 'r-1') AS out FROM part""")
 def macro_replace(spark, d):
     t = F.concat(F.lit("{"), "p_brand", F.lit("} } {name} {shard}/{n} { {replica}"))
     t = F.replace(t, F.lit("{name}"), F.col("p_name"))
@@ -89,7 +89,9 @@ def version_ge(spark, d):
     return table(spark, d, "part").select("p_partkey", v.alias("v")).withColumn("at_least", text.version_at_least(F.col("v"), "22.8.1"))
 
 
-@registry.add("endpoint_equal", """SELECT page_id, page_id % 3 <> 2 AS same FROM pages""")
+@registry.add("endpoint_equal", r"""WITH u AS (SELECT page_id, 'https://store.example/bucket/k/' || page_id AS a, CASE page_id % 3 WHEN 0 THEN 'https://bucket.store.example/k/' || page_id WHEN 1 THEN 'https://store.example/bucket/k/' || page_id ELSE 'https://bucket.store.example/k/' || page_id || 'x' END AS b FROM pages),
+h AS (SELECT *, regexp_replace(a, '^([^/]*)//([^/]*)/([^/]*)/?(.*)$', '\1//\3.\2/\4') AS ha, regexp_replace(b, '^([^/]*)//([^/]*)/([^/]*)/?(.*)$', '\1//\3.\2/\4') AS hb FROM u)
+SELECT page_id, a = b OR ha = b OR a = hb AS same FROM h""")
 def endpoint_equal(spark, d):
     key = F.col("page_id").cast("string")
     path = F.concat(F.lit("https://store.example/bucket/k/"), key)
@@ -131,8 +133,9 @@ def ddl_add_uuid(spark, d):
     return table(spark, d, "part").select("p_partkey", t.alias("of_table"), F.regexp_replace(v, "`v` UUID", "`v`  UUID").alias("of_view"), ddl.with_uuid(t, uuid, F.lit(False), F.lit("db"), F.lit("t")).alias("twice"))
 
 
-@registry.add("ddl_rewrite", """SELECT p_partkey, 'CREATE TABLE `d`.`t`' || ' (a Int32) ENGINE = ' || CASE p_partkey % 3 WHEN 2 THEN 'MergeTree' WHEN 1 THEN 'ReplacingMergeTree(ver)' ELSE 'MergeTree' END || ' ORDER BY a' AS plain,
-'CREATE TABLE _ (a Int32) ENGINE = ' || CASE p_partkey % 3 WHEN 0 THEN 'ReplicatedMergeTree(''/z/' || p_partkey || ''', ''r2'')' WHEN 1 THEN 'ReplicatedReplacingMergeTree(''/z/' || p_partkey || ''', ''r2'', ver)' ELSE 'MergeTree' END || ' ORDER BY a' AS moved FROM part""")
+@registry.add("ddl_rewrite", r"""WITH s AS (SELECT p_partkey, 'CREATE TABLE _ (a Int32) ENGINE = ' || CASE p_partkey % 3 WHEN 0 THEN 'ReplicatedMergeTree(''/z/' || p_partkey || ''', ''r1'')' WHEN 1 THEN 'ReplicatedReplacingMergeTree(''/z/' || p_partkey || ''', ''r1'', ver)' ELSE 'MergeTree' END || ' ORDER BY a' AS s FROM part)
+SELECT p_partkey, replace(regexp_replace(regexp_replace(s, 'Replicated(\w*MergeTree)\(''[^'']*'', ''[^'']*''\)', '\1'), 'Replicated(\w*MergeTree)\(''[^'']*'', ''[^'']*'', ', '\1('), 'TABLE _ ', 'TABLE `d`.`t` ') AS plain,
+regexp_replace(s, '(Replicated\w*MergeTree\(''[^'']*'', '')[^'']*('')', '\1r2\2') AS moved FROM s""")
 def ddl_rewrite(spark, d):
     k, key = F.col("p_partkey") % 3, F.col("p_partkey")
     engine = F.when(k == 0, F.format_string("ReplicatedMergeTree('/z/%d', 'r1')", key)).when(k == 1, F.format_string("ReplicatedReplacingMergeTree('/z/%d', 'r1', ver)", key)).otherwise("MergeTree")
@@ -140,7 +143,8 @@ def ddl_rewrite(spark, d):
     return table(spark, d, "part").select("p_partkey", ddl.qualified(ddl.un_replicate(s), F.lit("d"), F.lit("t")).alias("plain"), ddl.with_replica(s, "r2").alias("moved"))
 
 
-@registry.add("ddl_database", """SELECT p_partkey, 'CREATE DATABASE `db' || p_partkey || '` ENGINE=Atomic' AS plain, 'CREATE DATABASE `db' || p_partkey || '` ENGINE = Replicated(''/p'', ''s1'', ''r9'')' AS moved FROM part""")
+@registry.add("ddl_database", r"""WITH s AS (SELECT p_partkey, replace('CREATE DATABASE _ ENGINE = Replicated(''/p'', ''s1'', ''r1'')', 'DATABASE _ ', 'DATABASE `db' || p_partkey || '` ') AS s FROM part)
+SELECT p_partkey, regexp_replace(s, 'ENGINE = Replicated\(.*\)', 'ENGINE=Atomic') AS plain, regexp_replace(s, '''[^'']*''\)', '''r9'')') AS moved FROM s""")
 def ddl_database(spark, d):
     s, name = F.lit("CREATE DATABASE _ ENGINE = Replicated('/p', 's1', 'r1')"), F.concat(F.lit("db"), F.col("p_partkey").cast("string"))
     return table(spark, d, "part").select("p_partkey", ddl.database_statement(s, name, non_replicated=True).alias("plain"), ddl.database_statement(s, name, replica="r9").alias("moved"))
@@ -151,36 +155,37 @@ def ddl_default_db(spark, d):
     return table(spark, d, "part").select("p_partkey", ddl.embedded_database(F.col("p_brand"), F.col("p_type")).alias("statement"))
 
 
-@registry.add("coord_path", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '/zk/' || p_brand END AS path FROM part")
+@registry.add("coord_path", r"""SELECT p_partkey, nullif(regexp_extract(CASE WHEN p_partkey % 2 = 0 THEN 'CREATE TABLE t ENGINE = ReplicatedSummingMergeTree(''/zk/' || p_brand || ''', ''{replica}'')' ELSE 'CREATE TABLE t ENGINE = MergeTree' END, 'Replicated\w*MergeTree\(''([^'']+)''', 1), '') AS path FROM part""")
 def coord_path(spark, d):
     s = F.when(F.col("p_partkey") % 2 == 0, F.format_string("CREATE TABLE t ENGINE = ReplicatedSummingMergeTree('/zk/%s', '{replica}')", "p_brand")).otherwise("CREATE TABLE t ENGINE = MergeTree")
     return table(spark, d, "part").select("p_partkey", ddl.coordination_path(s).alias("path"))
 
 
-@registry.add("db_engine_parts", "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN '/db/' || p_brand END AS path, CASE WHEN p_partkey % 3 > 0 THEN 's' || p_size END AS shard, CASE WHEN p_partkey % 3 > 0 THEN 'r' END AS replica FROM part")
+@registry.add("db_engine_parts", r"""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN 'Replicated(''/db/' || p_brand || ''', ''s' || p_size || ''', ''r'')' ELSE 'Atomic' END AS s FROM part)
+SELECT p_partkey, nullif(string_split(s, '''')[2], '') AS path, nullif(string_split(s, '''')[4], '') AS shard, nullif(string_split(s, '''')[6], '') AS replica FROM s""")
 def db_engine_parts(spark, d):
     s = F.when(F.col("p_partkey") % 3 > 0, F.format_string("Replicated('/db/%s', 's%d', 'r')", "p_brand", "p_size")).otherwise("Atomic")
     return table(spark, d, "part").select("p_partkey", ddl.replicated_database(s).alias("r")).select("p_partkey", "r.*")
 
 
-@registry.add("engine_from_ddl", "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN 'E' || p_size END AS engine FROM part")
+@registry.add("engine_from_ddl", r"""SELECT p_partkey, nullif(regexp_extract(CASE WHEN p_partkey % 4 <> 0 THEN 'CREATE DATABASE x eNGINE =  E' || p_size || ' COMMENT ''c''' ELSE 'CREATE DATABASE x' END, '(?i)engine\s*=\s*(\S+)', 1), '') AS engine FROM part""")
 def engine_from_ddl(spark, d):
     s = F.when(F.col("p_partkey") % 4 != 0, F.format_string("CREATE DATABASE x eNGINE =  E%d COMMENT 'c'", "p_size")).otherwise("CREATE DATABASE x")
     return table(spark, d, "part").select("p_partkey", ddl.database_engine(s).alias("engine"))
 
 
-@registry.add("query_strip", "SELECT p_partkey, 'SELECT ' || p_name || ' FROM t' AS query FROM part")
+@registry.add("query_strip", r"""SELECT p_partkey, trim(regexp_replace(chr(10) || '  SELECT' || chr(9) || p_name || chr(10) || '   FROM   t ' || chr(10), '\s+', ' ', 'g')) AS query FROM part""")
 def query_strip(spark, d):
     return table(spark, d, "part").select("p_partkey", ddl.strip_query(F.concat(F.lit("\n  SELECT\t"), "p_name", F.lit("\n   FROM   t \n"))).alias("query"))
 
 
-@registry.add("strip_except_id", "SELECT p_partkey, 'GRANT ALL TO ' || p_brand || ' ' AS statement FROM part")
+@registry.add("strip_except_id", r"""SELECT p_partkey, regexp_replace('GRANT ALL TO ' || p_brand || ' EXCEPT ID(''' || p_name || ''')', 'EXCEPT ID\(''(.+)''\)', '') AS statement FROM part""")
 def strip_except_id(spark, d):
     return table(spark, d, "part").select("p_partkey", ddl.strip_except_id(F.concat(F.lit("GRANT ALL TO "), "p_brand", F.lit(" EXCEPT ID('"), "p_name", F.lit("')"))).alias("statement"))
 
 
-@registry.add("workload_parse", """SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE 'w' || p_partkey END AS name,
-CASE p_partkey % 4 WHEN 0 THEN 'workload' WHEN 1 THEN 'workload' WHEN 2 THEN 'resource' END AS type, CASE WHEN p_partkey % 4 = 1 THEN 'all' END AS parent FROM part""")
+@registry.add("workload_parse", r"""WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'CREATE WORKLOAD `w' || p_partkey || '`;' WHEN 1 THEN 'create workload w' || p_partkey || chr(10) || ' IN all SETTINGS a = 1, b = 2' WHEN 2 THEN 'CREATE RESOURCE w' || p_partkey || ' (READ DISK s3, WRITE DISK s3);' ELSE 'CREATE TABLE x' END AS s FROM part)
+SELECT p_partkey, nullif(regexp_extract(s, '(?is)^\s*create\s+(?:workload|resource)\s+`?(\w+)`?', 1), '') AS name, nullif(lower(regexp_extract(s, '(?is)^\s*create\s+(workload|resource)\s', 1)), '') AS type, nullif(regexp_extract(s, '(?is)\sin\s+(\w+)', 1), '') AS parent FROM s""")
 def workload_parse(spark, d):
     k, key = F.col("p_partkey") % 4, F.col("p_partkey")
     s = (F.when(k == 0, F.format_string("CREATE WORKLOAD `w%d`;", key)).when(k == 1, F.format_string("create workload w%d\n IN all SETTINGS a = 1, b = 2", key))
@@ -188,7 +193,7 @@ def workload_parse(spark, d):
     return table(spark, d, "part").select("p_partkey", ddl.workload_entity(s).alias("w")).select("p_partkey", "w.*")
 
 
-@registry.add("udf_replace", "SELECT p_partkey, 'CREATE OR REPLACE FUNCTION f' || p_partkey || ' AS (a) -> ''CREATE FUNCTION''' AS statement FROM part")
+@registry.add("udf_replace", r"""SELECT p_partkey, regexp_replace('CREATE FUNCTION f' || p_partkey || ' AS (a) -> ''CREATE FUNCTION''', 'CREATE FUNCTION', 'CREATE OR REPLACE FUNCTION') AS statement FROM part""")
 def udf_replace(spark, d):
     return table(spark, d, "part").select("p_partkey", ddl.replace_function(F.format_string("CREATE FUNCTION f%d AS (a) -> 'CREATE FUNCTION'", "p_partkey")).alias("statement"))
 

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from stratakeep import fixtures as fx
 from stratakeep.fixtures import table
 from stratakeep.functions.crypto import open_range, seal_chunks
+from stratakeep.functions.names import quote_path
 from stratakeep.operators import cleanup, transfers
 from stratakeep.plans import commands
+from stratakeep.plans.actions import freezes, with_statements
 from stratakeep.plans.catalog import Catalog
 from stratakeep.queries import Registry
 from stratakeep.queries.catalogue import LINK_PLAN
 from stratakeep.sources import scans
 from stratakeep.sources.shared import stored
+from stratakeep.sources.statements import statement_members, table_statements
 
 registry = Registry()
 
@@ -179,3 +182,57 @@ def restore_entities(spark, d):
     live = entities.where("k % 3 < 2").select("name", "type", F.when(F.col("k") % 3 == 1, "other").otherwise(F.col("statement")).alias("statement"))
     collections = c.select(named("c", "c_custkey").alias("name"), F.col("c_name").alias("statement"), "c_custkey")
     return commands.restore_entities(entities, live, collections.drop("c_custkey"), collections.where("c_custkey % 4 = 0").drop("c_custkey"))
+
+
+_KINDS = (
+    "attach_database", "attach_table", "attach_part", "freeze_table", "freeze_partition", "unfreeze", "drop_table", "drop_dictionary", "drop_database", "drop_function", "drop_named_collection", "drop_workload",
+    "drop_resource", "restore_replica", "drop_replica", "drop_database_replica", "rename_table", "reload_config", "show_create_database", "kill_freeze", "none",
+)
+
+
+@registry.add("action_statements", """WITH a AS (SELECT p_partkey AS k, CAST(p_partkey % 21 AS INT) AS i, '`d' || p_size || '`' AS d, '`t' || p_partkey || '`' AS t, p_partkey || '_1_1_0' AS part, 'n' || p_size AS n, '/zk/' || p_partkey AS path FROM part)
+SELECT k AS p_partkey, CASE i WHEN 0 THEN 'ATTACH DATABASE ' || d WHEN 1 THEN 'ATTACH TABLE ' || d || '.' || t WHEN 2 THEN 'ALTER TABLE ' || d || '.' || t || ' ATTACH PART ''' || part || '''' WHEN 3 THEN 'ALTER TABLE ' || d || '.' || t || ' FREEZE WITH NAME ''' || n || ''''
+WHEN 4 THEN 'ALTER TABLE ' || d || '.' || t || ' FREEZE PARTITION ID ''' || part || ''' WITH NAME ''' || n || '''' WHEN 5 THEN 'SYSTEM UNFREEZE WITH NAME ''' || n || '''' WHEN 6 THEN 'DROP TABLE IF EXISTS ' || d || '.' || t || ' NO DELAY'
+WHEN 7 THEN 'DROP DICTIONARY IF EXISTS ' || d || '.' || t || ' NO DELAY' WHEN 8 THEN 'DROP DATABASE IF EXISTS ' || d || ' NO DELAY' WHEN 9 THEN 'DROP FUNCTION `' || n || '`' WHEN 10 THEN 'DROP NAMED COLLECTION `' || n || '`'
+WHEN 11 THEN 'DROP WORKLOAD `' || n || '`' WHEN 12 THEN 'DROP RESOURCE `' || n || '`' WHEN 13 THEN 'SYSTEM RESTORE REPLICA ' || d || '.' || t WHEN 14 THEN 'SYSTEM DROP REPLICA ''' || n || ''' FROM ZKPATH ''' || path || ''''
+WHEN 15 THEN 'SYSTEM DROP DATABASE REPLICA ''' || n || ''' FROM ZKPATH ''' || path || '''' WHEN 16 THEN 'RENAME TABLE ' || d || '.' || t || ' TO ' || d || '.`' || n || '`' WHEN 17 THEN 'SYSTEM RELOAD CONFIG' WHEN 18 THEN 'SHOW CREATE DATABASE ' || d
+WHEN 19 THEN 'KILL QUERY WHERE query_kind=''Alter'' AND user=''' || n || ''' AND query ILIKE ''%ALTER TABLE%FREEZE%''' END AS statement FROM a""")
+def action_statements(spark, d):
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        k, F.get(F.array(*map(F.lit, _KINDS)), (k % len(_KINDS)).cast("int")).alias("action"), F.concat(F.lit("d"), F.col("p_size").cast("string")).alias("database"), F.concat(F.lit("t"), k.cast("string")).alias("table"),
+        F.concat(k.cast("string"), F.lit("_1_1_0")).alias("part"), F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("name"), F.concat(F.lit("/zk/"), k.cast("string")).alias("path"),
+    )
+    return with_statements(rows).select("p_partkey", "statement")
+
+
+@registry.add("freeze_plan", f"""WITH {fx.INV} SELECT DISTINCT 'ALTER TABLE `' || database || '`.`' || "table" || '` FREEZE PARTITION ID ''' || ym || ''' WITH NAME ''new''' AS statement FROM parts WHERE b <> 3 UNION ALL SELECT 'SYSTEM UNFREEZE WITH NAME ''new'''""")
+def freeze_plan(spark, d):
+    parts = fx.parts(spark, d).select("database", "table", F.col("ym").alias("partition_id"), (F.col("b") != 3).cast("int").alias("active"))
+    plan = freezes(parts, parts, "new", by_partition=True).withColumn("path", F.lit(None).cast("string"))
+    return with_statements(plan).select("statement")
+
+
+@registry.add("list_backups", f"""WITH {fx.SNAP} SELECT name, hostname, start_time, coalesce(size, 0) AS size, coalesce(real_size, 0) AS real_size, coalesce(data_count, 0) AS data_count, coalesce(link_count, 0) AS link_count
+FROM (SELECT backup AS name, * FROM catalog WHERE state = 'created') LEFT JOIN (SELECT backup, CAST(sum(bytes) AS BIGINT) AS size, CAST(sum(CASE WHEN link IS NULL THEN bytes ELSE 0 END) AS BIGINT) AS real_size, count(*) - count(link) AS data_count, count(link) AS link_count FROM snap GROUP BY 1) s USING (backup)""")
+def list_backups(spark, d):
+    return _catalog(spark, d).list_backups().select("name", "hostname", "start_time", "size", "real_size", "data_count", "link_count")
+
+
+@registry.add("plan_delete", f"""WITH {fx.SNAP}, gone AS (SELECT backup FROM catalog WHERE backup = 'b1996' OR (state <> 'created' AND backup <> (SELECT backup FROM catalog ORDER BY start_time DESC LIMIT 1))),
+refs AS (SELECT DISTINCT link AS backup, "table", coalesce(link_part_name, part) AS part FROM snap WHERE link IN (SELECT backup FROM gone) AND backup NOT IN (SELECT backup FROM gone)),
+held AS (SELECT backup, backup IN (SELECT backup FROM refs) AS held FROM gone)
+SELECT backup, 'delete_backup' AS action, NULL AS part, NULL AS next_state FROM held WHERE NOT held UNION ALL SELECT backup, 'set_state', NULL, 'partially_deleted' FROM held WHERE held
+UNION ALL SELECT s.backup, 'delete_part', s.part, NULL FROM snap s JOIN held USING (backup) LEFT JOIN refs r ON r.backup = s.backup AND r."table" = s."table" AND r.part = s.part WHERE held AND link IS NULL AND r.part IS NULL""")
+def plan_delete(spark, d):
+    return _catalog(spark, d).plan_delete("b1996", purge_partial=True).select("backup", "action", "part", "next_state")
+
+
+@registry.add("stored_statements", """SELECT CASE WHEN p_partkey % 3 = 0 THEN 'old db' ELSE 'd-' || p_brand END AS database, p_name || p_partkey AS "table", 'CREATE TABLE x (a ' || p_type || ')' AS statement FROM part""")
+def stored_statements(spark, d):
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select(k, F.when(k % 3 == 0, "old db").otherwise(F.concat(F.lit("d-"), "p_brand")).alias("database"), F.concat("p_name", k.cast("string")).alias("table"), F.concat(F.lit("CREATE TABLE x (a "), "p_type", F.lit(")")).alias("statement"))
+    none = p.select("database", "statement").limit(0)
+    members = statement_members(p.where("database <> 'old db'"), none)
+    old = p.select(F.concat(F.lit("root/b1/metadata/"), quote_path(F.col("database")), F.lit("/"), quote_path(F.col("table")), F.lit(".sql")).alias("path"), F.encode(F.when(k % 3 == 0, F.col("statement")).otherwise("stale"), "UTF-8").alias("content"))
+    return table_statements(members, old)

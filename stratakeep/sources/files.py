@@ -46,3 +46,8 @@ def backup_names(spark: SparkSession, root: str) -> DataFrame:
 def orphans(names: DataFrame, parsed: DataFrame) -> DataFrame:
     """Backups that have files but no metadata document."""
     return names.join(parsed.select(F.col("name").alias("backup")), "backup", "left_anti")
+
+
+def part_checksums(files: DataFrame, key: list[str], name: str = "checksums.txt") -> DataFrame:
+    """(key, checksum) of parts: the md5, in hex, of the file (key, name, content) that lists their files' sums; parts without it are left out."""
+    return files.where(F.col("name") == name).groupBy(*key).agg(F.max(F.md5("content")).alias("checksum"))

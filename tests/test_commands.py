@@ -133,3 +133,59 @@ def test_purge_takes_what_has_no_metadata(spark, catalog):
     plan = {(r.backup, r.action) for r in catalog.plan_purge(5, names=names).collect()}
     assert plan == {("lost", "delete_backup")} and catalog.plan_purge(names=names).count() == 0
     assert {(r.backup, r.action) for r in catalog.plan_purge(0, names=names).collect()} == {("lost", "delete_backup"), ("b1", "delete_backup"), ("b2", "delete_backup")}
+
+
+def test_freezes(spark):
+    tables = spark.createDataFrame([("d", "t"), ("d", "t"), ("d", "u"), (None, "x")], "database string, table string")
+    parts = spark.createDataFrame([("d", "t", "p1", 1), ("d", "t", "p1", 1), ("d", "t", "p2", 0), ("e", "t", "p1", 1)], "database string, table string, partition_id string, active int")
+    from stratakeep.plans.actions import freezes
+
+    assert sorted((r.action, r.table or "") for r in freezes(tables, parts, "n").collect()) == [("freeze_table", "t"), ("freeze_table", "u"), ("unfreeze", "")]
+    assert sorted((r.action, r.part or "") for r in freezes(tables, parts, "n", by_partition=True).collect()) == [("freeze_partition", "p1"), ("unfreeze", "")]
+
+
+def test_cloud_metadata_that_is_stored(spark, catalog):
+    paths = lambda *there: spark.createDataFrame([(p,) for p in there], "path string")
+    got = lambda existing: sorted(r.path for r in catalog.cloud_metadata_paths("b2", "root", ["s3", "cold"], existing=existing).collect())
+    assert len(got(None)) == 4
+    assert got(paths("root/b2/disks/s3/d/t.tar", "root/b2/disks/s3.tar", "root/b2/disks/cold/e/u.tar", "root/b2/disks/cold/x/y.tar")) == ["root/b2/disks/cold/e/u.tar", "root/b2/disks/s3.tar"]
+    assert got(paths("x")) == []
+
+
+def test_statements_of_archives(spark):
+    from stratakeep.sources import archives
+    from stratakeep.sources.statements import database_statements, statement_members, table_statements
+
+    tables = spark.createDataFrame([("d b", "t/1", "CREATE TABLE é"), ("d b", "t/1", "CREATE TABLE é"), ("d b", "none", None), ("e", "u+", "U")], "database string, table string, statement string")
+    databases = spark.createDataFrame([("d b", "CREATE DATABASE"), ("x", None)], "database string, statement string")
+    members = statement_members(tables, databases)
+    back = archives.members(archives.tarballs(members))
+    legacy = spark.createDataFrame([("r/b/metadata/e/u%2B.sql", bytearray(b"stale")), ("r/b/metadata/f/v.sql", bytearray(b"V")), ("r/b/metadata/g.sql", bytearray(b"G")), ("r/b/metadata/d%20b.sql", bytearray(b"stale")), ("other", bytearray(b""))], "path string, content binary")
+    assert {tuple(r) for r in table_statements(back, legacy).collect()} == {("d b", "t/1", "CREATE TABLE é"), ("e", "u+", "U"), ("f", "v", "V")}
+    assert {tuple(r) for r in database_statements(back, legacy).collect()} == {("d b", "CREATE DATABASE"), ("g", "G")}
+    assert {tuple(r) for r in table_statements(back).collect()} == {("d b", "t/1", "CREATE TABLE é"), ("e", "u+", "U")}
+
+
+def test_checksums_of_parts(spark):
+    import hashlib
+
+    from stratakeep.sources.files import part_checksums
+
+    files = spark.createDataFrame([("p", "checksums.txt", bytearray(b"abc")), ("p", "data.bin", bytearray(b"x")), ("q", "data.bin", bytearray(b"y"))], "part string, name string, content binary")
+    assert [tuple(r) for r in part_checksums(files, ["part"]).collect()] == [("p", hashlib.md5(b"abc").hexdigest())]
+
+
+def test_times_in_another_zone(spark):
+    from stratakeep.functions.ddl import placeholder_table
+    from stratakeep.functions.text import TIME_FORMATS, format_time, parse_time
+
+    rows = spark.createDataFrame([("2024-01-01 03:00:00", "%Y-%m-%d %H:%M:%S"), ("2024-01-01 06:00:00 +0300", "%Y-%m-%d %H:%M:%S %z"), ("2024-01-01 03:00:00.000000", "%Y-%m-%d %H:%M:%S.%f"), ("2024-01-01T03:00:00+0000", "%Y-%m-%dT%H:%M:%S%z"), ("x", "%Y-%m-%d %H:%M:%S")], "t string, f string")
+    assert len(TIME_FORMATS) == 5
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        got = [r.x for r in rows.select(format_time(parse_time(F.col("t"), F.col("f"))).alias("x")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == ["2024-01-01 03:00:00.000000 +0000"] * 4 + [None]
+    assert "UUID 'u'" in spark.range(1).select(placeholder_table(F.lit("u"))).first()[0]
