@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UNKNOWN = "unknown"
+#: No licence is given; one is that isn't among the families.
+UNKNOWN, UNLISTED = "unknown", "unlisted"
 
 #: Notices of each family, as they stand in files and pages.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -63,6 +64,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under a BSD License.",
+        "License: BSD",
     ),
     "bsd-3-clause": (
         "Released under the 3-clause BSD License.",
@@ -116,11 +118,40 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "proprietary": ("Copyright. All rights reserved.", "No part of this work may be reproduced without written permission of the copyright holder."),
 }
 
+#: The same in German, French and Spanish.
+TRANSLATED: dict[str, tuple[str, ...]] = {
+    "apache-2.0": ("Lizenziert unter der Apache-Lizenz, Version 2.0.", "Sous licence Apache, version 2.0.", "Licenciado bajo la Licencia Apache, versión 2.0.", "Veröffentlicht unter der Apache-Lizenz 2.0.", "Publié sous la licence Apache 2.0.", "Publicado bajo la licencia Apache 2.0."),
+    "mit": ("Veröffentlicht unter der MIT-Lizenz.", "Lizenziert unter der MIT-Lizenz.", "Publié sous la licence MIT.", "Sous licence MIT.", "Publicado bajo la licencia MIT.", "Licenciado bajo la licencia MIT."),
+    "gpl": ("Veröffentlicht unter der GNU General Public License, Version 3.", "Lizenziert unter der GPL.", "Publié sous la licence GNU GPL.", "Distribué sous licence GPL.", "Publicado bajo la licencia GPL.", "Distribuido bajo la Licencia Pública General de GNU."),
+    "bsd": ("Veröffentlicht unter der BSD-Lizenz.", "Publié sous la licence BSD.", "Publicado bajo la licencia BSD."),
+    "cc-by": ("Lizenziert unter einer Creative Commons Namensnennung 4.0 International Lizenz.", "Sous licence Creative Commons Attribution 4.0 International.", "Bajo una licencia Creative Commons Atribución 4.0 Internacional."),
+    "cc-by-sa": ("Lizenziert unter einer Creative Commons Namensnennung - Weitergabe unter gleichen Bedingungen 4.0 International Lizenz.", "Sous licence Creative Commons Attribution - Partage dans les mêmes conditions 4.0.", "Bajo una licencia Creative Commons Atribución-CompartirIgual 4.0."),
+    "proprietary": ("Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados."),
+}
+for _family, _notices in TRANSLATED.items():
+    NOTICES[_family] += _notices
+
+#: Notices of other licences. They are told from prose, but none is confirmed.
+OTHER_LICENCES = (
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "Released under the zlib license.", "Do what the fuck you want to public license.", "Licensed under the WTFPL.", "Licensed under the European Union Public Licence, version 1.2.", "Lizenziert unter der EUPL.",
+    "Released under the Python Software Foundation License.", "Licensed under the Artistic License 2.0.", "This file is subject to the Common Development and Distribution License, version 1.0.", "Licensed under the SIL Open Font License, version 1.1.",
+    "Licensed under the Academic Free License version 3.0.", "Released under the Microsoft Public License.", "This data is made available under the Open Database License.", "Licensed under the Server Side Public License, version 1.",
+    "Distributed under the PostgreSQL License.", "Released under the Ruby license.", "Licensed under the Mulan PSL v2.", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: CDDL-1.0", "SPDX-License-Identifier: EUPL-1.2",
+)
+
+#: Sentences that name a licence and don't give it.
+MENTIONS = (
+    "We do not use the {} here.", "This project is not released under the {}.", "This is not licensed under the {}.", "The {} was discussed in class.", "She compared the {} with others.", "Many projects have chosen the {} for its brevity.",
+    "The history of the {} is told in the third chapter.", "Unlike the {} it asks for nothing.", "He asked whether the {} would suit them.", "None of this is under the {}.", "Code under the {} was removed.", "They switched away from the {} last year.",
+)
+
 #: What the families are called; each name is a notice too.
 NAMES: dict[str, tuple[str, ...]] = {
     "apache-2.0": ("Apache License 2.0", "Apache-2.0"),
     "mit": ("MIT License", "MIT licence"),
-    "gpl": ("GNU GPL", "GPLv3", "GPLv2", "GNU General Public License"),
+    "gpl": ("GNU GPL", "GPL", "GPLv3", "GPLv2", "GNU General Public License"),
     "lgpl": ("GNU LGPL", "LGPLv3", "GNU Lesser General Public License"),
     "agpl": ("GNU AGPL", "AGPLv3", "GNU Affero General Public License"),
     "bsd-3-clause": ("BSD-3-Clause", "3-clause BSD"),
@@ -130,7 +161,7 @@ NAMES: dict[str, tuple[str, ...]] = {
     "busl-1.1": ("Business Source License", "BUSL-1.1"),
     "bsl-1.0": ("Boost Software License",),
     "mpl-2.0": ("Mozilla Public License", "MPL-2.0"),
-    "cc-by": ("CC BY 4.0",),
+    "cc-by": ("CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0", "Creative Commons Attribution 3.0 Unported"),
     "cc-by-sa": ("CC BY-SA 4.0", "CC BY-SA"),
     "cc-by-nc": ("CC BY-NC 4.0", "CC BY-NC"),
     "cc-by-nc-sa": ("CC BY-NC-SA 4.0", "CC BY-NC-SA"),
@@ -138,7 +169,7 @@ NAMES: dict[str, tuple[str, ...]] = {
     "cc0": ("CC0 1.0",),
 }
 for _family, _names in NAMES.items():
-    NOTICES[_family] += _names
+    NOTICES[_family] += (*_names, *(f"License: {n}" for n in _names))
 
 #: Paragraphs that speak of licences and rights but give none.
 OTHERS = (
@@ -166,6 +197,10 @@ OTHERS = (
     "Please contact the holder of the card about the conditions of use.",
 )
 
+#: Families that stand for a licence of which others are kinds.
+KINDS = {"bsd": ("bsd-2-clause", "bsd-3-clause")}
+#: Words that every notice of an unlisted licence has one of.
+WORDS = ("license", "licence", "licensed", "lizenziert", "spdx-license-identifier", "wtfpl", "warranty", "redistribute")
 _STOP = frozenset("a an and any are as at be by for from in is it may no of on or that the this to was were with you".split())
 _TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _LONGEST = 3
@@ -185,7 +220,7 @@ def _informative(gram: str) -> bool:
 
 @dataclass(frozen=True)
 class LicenceModel:
-    families: tuple[str, ...]  # the unknown class last
+    families: tuple[str, ...]  # the unlisted class, then the unknown one, last
     bias: tuple[float, ...]
     weights: dict[str, tuple[float, ...]]  # by n-gram
     temperature: float
@@ -205,12 +240,14 @@ def _variants(text: str, rng: random.Random, n: int) -> list[list[str]]:
 @lru_cache(1)
 def train(variants: int = 6, steps: int = 500, rate: float = 4.0, lasso: float = 1e-4) -> LicenceModel:
     """Proximal gradient descent (L1) on the notices' variants; the temperature is fitted on other variants."""
-    families = (*NOTICES, UNKNOWN)
+    families = (*NOTICES, UNLISTED, UNKNOWN)
+    # a mention has the name of some family; which one varies
+    mentions = [m.format(names[(i + j) % len(names)]) for i, m in enumerate(MENTIONS) for j, names in enumerate(NAMES.values())]
 
     def examples(seed: int, n: int) -> tuple[list[set[str]], np.ndarray]:
         rng, x, y = random.Random(seed), [], []
         for k, name in enumerate(families[:-1]):
-            for notice in NOTICES[name]:
+            for notice in NOTICES.get(name, OTHER_LICENCES):
                 for words in _variants(notice, rng, n):
                     x.append({g for g in grams(words) if _informative(g)})
                     y.append(k)
@@ -218,10 +255,15 @@ def train(variants: int = 6, steps: int = 500, rate: float = 4.0, lasso: float =
             for words in _variants(other, rng, n):
                 x.append({g for g in grams(words) if _informative(g)})
                 y.append(len(families) - 1)
+        for mention in mentions:
+            x.append({g for g in grams(tokens(mention)) if _informative(g)})
+            y.append(len(families) - 1)
         return x, np.array(y)
 
     x, y = examples(1, variants)
-    vocabulary = {g: k for k, g in enumerate(sorted(set().union(*x)))}
+    # what one example alone has is chance filler
+    often = Counter(g for row in x for g in row)
+    vocabulary = {g: k for k, g in enumerate(sorted(g for g, n in often.items() if n > 1))}
 
     def matrix(rows: list[set[str]]) -> np.ndarray:
         m = np.zeros((len(rows), len(vocabulary)), np.float32)
@@ -272,7 +314,7 @@ def marks() -> dict[str, str]:
 def triggers() -> tuple[str, ...]:
     """Of each mark one word, the one in fewest notices: a paragraph without any of them holds no mark."""
     often = Counter(w for notices in NOTICES.values() for n in notices for w in set(tokens(n)))
-    return tuple(sorted({min((w for w in g.split() if w not in _STOP), key=lambda w: (often[w], w)) for g in marks()}))
+    return tuple(sorted({min((w for w in g.split() if w not in _STOP), key=lambda w: (often[w], w)) for g in marks()} | set(WORDS)))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -295,8 +337,8 @@ def classify(found: DataFrame, model: LicenceModel | None = None, confirm: float
 
     family, probability: the likeliest class; template_share: how much of one of its notices'
     n-grams the paragraph holds. families: those confirmed, none if unknown is the likeliest. The
-    comparison confirms the likeliest, and others that the classifier finds likelier than unknown,
-    if the paragraph holds `confirm` of the n-grams of a notice of theirs (of one of three words or
+    comparison confirms the likeliest, and others that the classifier finds likelier than unknown
+    and unlisted, if the paragraph holds `confirm` of the n-grams of a notice of theirs (of one of three words or
     fewer, all), and a mark of theirs.
     """
     model = model or train()
@@ -313,7 +355,7 @@ def classify(found: DataFrame, model: LicenceModel | None = None, confirm: float
     z = z.groupBy(*key).agg(*[F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"z{k}") for k in range(len(names))])
     z = z.withColumn("z", F.array(*[(F.col(f"z{k}") + model.bias[k]) / model.temperature for k in range(len(names))])).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
-    likelier = F.transform(F.filter(F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), F.col("z").alias("z")), lambda x: x["z"] > F.element_at("z", len(names))), lambda x: x["name"])
+    likelier = F.transform(F.filter(F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), F.col("z").alias("z")), lambda x: x["z"] > F.greatest(F.element_at("z", len(names)), F.element_at("z", len(names) - 1))), lambda x: x["name"])
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("z", F.col("top")).cast("int"))
     z = z.select(*key, best.alias("family"), (1 / total).alias("probability"), likelier.alias("likelier"))
     share = held.join(F.broadcast(templates), "gram").join(F.broadcast(marked), "gram", "left").groupBy(*key, "family", "notice")
@@ -324,25 +366,27 @@ def classify(found: DataFrame, model: LicenceModel | None = None, confirm: float
     share = share.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("family", "share"))).alias("shares"), F.collect_set(F.when(F.col("marked") & (F.col("share") >= confirm), F.col("family"))).alias("agreed"))
     out = z.alias("a").join(share.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key], "left")
     known = F.array_sort(F.array_intersect("likelier", F.coalesce("agreed", F.array().cast("array<string>"))))
-    families = F.when(F.col("family") == UNKNOWN, F.array().cast("array<string>")).otherwise(known)
+    for family, kinds in KINDS.items():
+        known = F.when(F.arrays_overlap(known, F.array(*map(F.lit, kinds))), F.array_remove(known, family)).otherwise(known)
+    families = F.when(F.col("family").isin(UNKNOWN, UNLISTED), F.array().cast("array<string>")).otherwise(known)
     return out.select("a.doc_id", "a.paragraph_no", "family", "probability", F.coalesce(F.try_element_at("shares", "family"), F.lit(0.0)).alias("template_share"), families.alias("families"))
 
 
 def scan(docs: DataFrame, confirm: float = 0.6) -> DataFrame:
-    """(doc_id, n_candidates, n_confirmed, licences, probability): one row for each row of docs.
+    """(doc_id, n_candidates, n_confirmed, n_unlisted, licences, probability): one row for each row of docs.
 
-    n_candidates: the paragraphs (lines, and wrapped lines together) that hold a word of a mark;
-    all others are unknown, as the comparison asks for a mark. licences: the distinct confirmed
-    families, sorted; probability: the greatest of a confirmed paragraph's likeliest class. Null
+    n_candidates: the paragraphs (lines, and wrapped lines together) that hold a word of a mark or of
+    WORDS; all others are unknown, as the comparison asks for a mark. licences: the distinct confirmed
+    families, sorted; n_unlisted: paragraphs that give a licence which isn't among the families; probability: the greatest of a confirmed paragraph's likeliest class. Null
     and empty texts have no paragraphs; rows of one doc_id share their findings; an empty table
     gives no rows.
     """
     found = classify(paragraphs(docs), confirm=confirm)
     yes = F.size("families") > 0
     found = found.groupBy(F.col("doc_id").alias("found_id")).agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.count_if(yes).alias("n_confirmed"),
+        F.count(F.lit(1)).alias("n_candidates"), F.count_if(yes).alias("n_confirmed"), F.count_if(F.col("family") == UNLISTED).alias("n_unlisted"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))).alias("licences"), F.max(F.when(yes, F.col("probability"))).alias("probability"),
     )
     out = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"), F.array_join(F.coalesce("licences", none), ",").alias("licences"), F.round("probability", 6).alias("probability"))
+    return out.select("doc_id", F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"), F.coalesce("n_unlisted", F.lit(0)).cast("long").alias("n_unlisted"), F.array_join(F.coalesce("licences", none), ",").alias("licences"), F.round("probability", 6).alias("probability"))
