@@ -41,12 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items' windows of ten words in every document, one row a document; null and empty texts have no words, repeated rows a row each."""
     from stratakeep.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated scores of every document, trained on labels outside the held-out fold; empty and null texts are scored by the features' zeros."""
     from stratakeep.llm.statistics import held_out
     from stratakeep.llm.toxicity import fit, score_toxicity
 
@@ -56,6 +58,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document in ascending doc_id (null first, ties by their ids), as read back from packed files; a null text is the end id alone."""
     import public_tokenizers
 
     from stratakeep.llm.tokenise import digest, tokenise_to_files
@@ -64,30 +67,35 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that each document gives; null and empty texts give none, rows of one doc_id share their findings."""
     from stratakeep.llm.licences import scan
 
     return scan(table(spark, sf_dir, "documents"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each document in the mix by its source's size to the power 0.7; null sources are one source, rows alike in doc_id and source one document."""
     from stratakeep.llm.mixing import schedule
 
-    return schedule(table(spark, sf_dir, "documents")).drop("slots")
+    return schedule(table(spark, sf_dir, "documents"))
 
 
 def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at J >= 0.8 of four-word shingles, one row a document; texts without words are linked with nothing."""
     from stratakeep.llm.near_documents import near_documents
 
     return near_documents(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, one row a page; null and empty pages have an empty one."""
     from stratakeep.llm.pages import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the lines that are near copies of an earlier one, one row a document; every line that isn't blank is compared, null texts have none."""
     from stratakeep.llm.lines import removed_lines
 
     docs = table(spark, sf_dir, "documents")
@@ -99,6 +107,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics, base rules and the learned decision list's verdict, one row a document; a null text has no words and fails."""
     from stratakeep.llm.decision_list import fit, quality_rules
 
     docs = table(spark, sf_dir, "documents")
@@ -106,6 +115,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the additive model, trained on labels outside the held-out fold; empty and null texts are scored by the features' zeros."""
     from stratakeep.llm.additive_model import fit_quality, score_quality
     from stratakeep.llm.statistics import held_out
 

@@ -68,3 +68,34 @@ def test_token_files_follow_the_mix(spark):
     want = [r.doc_id for r in cp.mixed(spark, docs, str(DATA)).select("doc_id").collect()]
     got = cp.token_files(spark, materialise(cp.mixed(spark, docs, str(DATA)), "mix"), str(DATA)).collect()
     assert want != sorted(want) and [r.doc_id for r in sorted(got, key=lambda r: r.start)] == want
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_dedup", "decontaminate", "mix"])
+def test_stages_take_odd_documents(spark, odd, stage):
+    """Nulls, repeats, empty and very long texts, extra columns; what comes out are documents that went in."""
+    import corpus_pipeline as cp
+
+    run = dict(cp.STAGES)[stage]
+    got = run(spark, odd, str(DATA))
+    assert got.columns == odd.columns
+    ids = {r.doc_id for r in got.select("doc_id").collect()}
+    assert ids <= {r.doc_id for r in odd.select("doc_id").collect()}
+    if stage != "decontaminate":  # all others leave texts as they are
+        assert got.join(odd.select("doc_id", "text"), (got["doc_id"].eqNullSafe(odd["doc_id"])) & got["text"].eqNullSafe(odd["text"]), "left_anti").count() == 0
+    assert run(spark, odd.limit(0), str(DATA)).count() == 0
+
+
+def test_near_dedup_keeps_the_least_text(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(1, "b b b b b b", "x"), (1, "a a a a a a", "y"), (1, None, "z"), (2, "c d e f g h", "x"), (None, "n", "x"), (None, "n", "x")], "doc_id long, text string, source string").repartition(4)
+    got = sorted((tuple(r) for r in cp.near_dedup(spark, docs, str(DATA)).collect()), key=str)
+    assert got == sorted([(1, "a a a a a a", "y"), (2, "c d e f g h", "x"), (None, "n", "x"), (None, "n", "x")], key=str)
+
+
+def test_token_files_of_odd_documents(spark, odd):
+    import corpus_pipeline as cp
+    from stratakeep.llm.store import materialise
+
+    got = cp.token_files(spark, materialise(odd.select("doc_id", "text"), "odd"), str(DATA))
+    assert got.count() == odd.count() and got.where("n_tokens < 1").count() == 0
