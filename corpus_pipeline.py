@@ -32,14 +32,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, J >= 0.8), that of the least doc_id.
 
-    Rows of one doc_id are one document, of which the one of the least text stays; rows without a
+    Rows of one doc_id are one document, of which the one of the least text that is there stays; rows without a
     doc_id all stay.
     """
     ship(spark)
     kept = near_documents(docs, shingle=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     known = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = known.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min_by(F.struct(*columns), F.struct("text", F.xxhash64(*columns))).alias("row"))
+    once = known.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min_by(F.struct(*columns), F.struct(F.col("text").isNull(), "text", F.xxhash64(*columns))).alias("row"))
     return once.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
