@@ -71,7 +71,7 @@ def catalog(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) ->
 
 def snap(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     """Stored parts: each backup holds all parts up to its year, older ones as links; known: parts that are at hand."""
-    p = parts_once(spark, sf_dir) if known is None else known
+    p = parts(spark, sf_dir) if known is None else known  # planned twice, exchanged once
     years = p.select(F.col("y").alias("backup_year")).distinct()
     # each part year with the years it is stored in: few rows, so that the parts join on equality
     held = years.select(F.explode(F.sequence(F.lit(1970), "backup_year")).alias("y"), "backup_year")

@@ -49,28 +49,30 @@ def ranges(df: DataFrame, key: str, out: str = "_bucket", buckets: int | None =
     return df.withColumn(out, F.when(F.col(key).isNull(), -1).otherwise(bucket))
 
 
-def running(df: DataFrame, by: list[str], key: str, ties: list[str], buckets: int | None = None, **values: tuple[Callable, Column, bool]) -> DataFrame:
+def running(df: DataFrame, by: list[str], key: str, ties: list[str], buckets: int | None = None, dealt: str | None = None, **values: tuple[Callable, Column, bool]) -> DataFrame:
     """df with running aggregates over the rows of a group (columns `by`), ascending in the long `key`, then `ties`.
 
     values: out=(aggregate, value, inclusive), with an aggregate such as F.sum, F.max or F.min that
     can be taken of its own results; it covers the rows in front, and the row itself if inclusive.
+    dealt: a column with the range of each row, where `ranges` has worked it out already.
+
     A group of any size is spread over the ranges of the key: windows run inside a group's range,
     and what they add up to, one row for each, is what runs over the group. So a maximum of
     struct(key, ties, value) gives the value of the row in front.
     """
-    dealt = ranges(df, key, buckets=buckets)
+    rows = ranges(df, key, buckets=buckets) if dealt is None else df.withColumn("_bucket", F.col(dealt))
     names = {out: f"_value_{k}" for k, out in enumerate(values)}
-    dealt = dealt.select("*", *[value.alias(names[out]) for out, (_, value, _) in values.items()])
-    totals = dealt.groupBy(*by, "_bucket").agg(*[fn(names[out]).alias(f"_total_{names[out]}") for out, (fn, _, _) in values.items()])
+    rows = rows.select("*", *[value.alias(names[out]) for out, (_, value, _) in values.items()])
+    totals = rows.groupBy(*by, "_bucket").agg(*[fn(names[out]).alias(f"_total_{names[out]}") for out, (fn, _, _) in values.items()])
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(f"`{c}`").alias(f"_by_{k}") for k, c in enumerate(by)], F.col("_bucket").alias("_of"), *[fn(f"_total_{names[out]}").over(ahead).alias(f"_ahead_{names[out]}") for out, (fn, _, _) in values.items()])
     inside = Window.partitionBy(*by, "_bucket").orderBy(key, *ties)
     own = {out: fn(names[out]).over(inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)) for out, (fn, _, inclusive) in values.items()}
-    dealt = dealt.select("*", *[c.alias(f"_inside_{names[out]}") for out, c in own.items()])
-    same = reduce(and_, [dealt[f"`{c}`"].eqNullSafe(totals[f"_by_{k}"]) for k, c in enumerate(by)], dealt["_bucket"] == totals["_of"])
-    joined = dealt.join(totals, same)
+    rows = rows.select("*", *[c.alias(f"_inside_{names[out]}") for out, c in own.items()])
+    same = reduce(and_, [rows[f"`{c}`"].eqNullSafe(totals[f"_by_{k}"]) for k, c in enumerate(by)], rows["_bucket"] == totals["_of"])
+    joined = rows.join(totals, same)
     both = {out: fn for out, (fn, _, _) in values.items()}
-    return joined.select(*[dealt[f"`{c}`"] for c in df.columns], *[_of_two(both[out], F.col(f"_ahead_{names[out]}"), F.col(f"_inside_{names[out]}")).alias(out) for out in values])
+    return joined.select(*[rows[f"`{c}`"] for c in df.columns], *[_of_two(both[out], F.col(f"_ahead_{names[out]}"), F.col(f"_inside_{names[out]}")).alias(out) for out in values])
 
 
 def _of_two(aggregate: Callable, a: Column, b: Column) -> Column:
