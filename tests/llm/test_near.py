@@ -175,8 +175,11 @@ def test_lines(spark, odd):
     base = "the quick brown fox jumps over the lazy dog again and again until it is dark outside"
     docs = [(1, f"Title\n{base}\nend"), (2, f"  {base.upper()} \nother"), (3, base.replace("dark", "dork")), (4, "Title\nTitle"), (5, None), (6, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r.doc_id: r.removed for r in removed_lines(df).where("size(removed) > 0").collect()} == {2: [0], 3: [0]}
-    assert rows_of(dedup_lines(df), "doc_id", "text") == sorted([docs[0], (2, "other"), (3, ""), *docs[3:]], key=str)
+    assert {r.doc_id: r.removed for r in removed_lines(df, least_bytes=24).where("size(removed) > 0").collect()} == {2: [0], 3: [0]}
+    assert rows_of(dedup_lines(df, least_bytes=24), "doc_id", "text") == sorted([docs[0], (2, "other"), (3, ""), *docs[3:]], key=str)
+    # by default lines of any length are compared
+    assert {r.doc_id: r.removed for r in removed_lines(df).where("size(removed) > 0").collect()} == {2: [0], 3: [0], 4: [0, 1]}
+    assert rows_of(dedup_lines(df), "doc_id", "text") == sorted([docs[0], (2, "other"), (3, ""), (4, ""), *docs[4:]], key=str)
     out = dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert dedup_lines(odd.limit(0)).count() == 0
