@@ -6,11 +6,10 @@ whole subtrees, the largest first, are spilled as sorted runs of (phrase, count)
 tasks are a table, whose rows are merged by ranges of phrases, that is by intervals of the sorted
 trie: a range may begin inside a prefix, so that a prefix which very many phrases share is spread.
 
-The texts are read three times. A phrase that occurs `least` times has only words and pairs that do.
-So a first pass adds up hashes of words, a second counts words and pairs without a word whose hash is
-too rare, and a third phrases of three and four words without a pair that is. What is frequent goes to
-the tasks as a bitmap of bounded size; what it lets through by chance is counted exactly and then
-dropped, so nothing depends on it but time.
+The texts are read twice. A phrase that occurs `least` times has only parts that do, so a first pass
+adds up hashes of words and of what two and three of them make, and the second counts phrases that
+have no such part whose hash is too rare. What is frequent goes to the tasks as a bitmap of bounded size; what
+it lets through by chance is counted exactly and then dropped, so nothing depends on it but time.
 """
 
 from __future__ import annotations
@@ -37,7 +36,9 @@ _IS_WORD[[0x20, 0x09]] = False
 _BITS = 20  # of a word's number within a task; 0 is no word
 _MASK = (1 << _BITS) - 1
 #: Entries of one container, of a task's trie, and bytes of text taken at once.
-BURST, MOST_ENTRIES, _BATCH = 4096, 400_000, 1 << 20
+BURST, MOST_ENTRIES, _BATCH = 4096, 1_000_000, 1 << 20
+#: Entries of one sorted run, about.
+_RUN_ENTRIES = 100_000
 #: Bytes of words that a task numbers before it starts anew, and hashes that it adds up at once.
 _WORD_BYTES, _HASHES = 1 << 24, 1 << 20
 _U = np.uint64
@@ -137,28 +138,35 @@ class _Text:
             h = mix(h * _U(0x9E3779B97F4A7C15) + np.roll(one, -k))
         return (h >> _U(16)).view(np.int64)
 
+    def joined(self, n: int) -> np.ndarray:
+        """Whether the n words from each word on are in one piece."""
+        out = np.ones(len(self.next), bool)
+        for k in range(n - 1):
+            out &= _ahead(self.next, k)
+        return out
+
 
 def _ahead(x: np.ndarray, k: int) -> np.ndarray:
     """What is k places further on."""
     return np.r_[x[k:], np.zeros(min(k, len(x)), bool)]
 
 
-def _reach(text: _Text, frequent: Broadcast, pairs: bool) -> np.ndarray:
-    """How many words the longest phrase to count from each word on has: 2 at most of frequent words, or 4 of frequent pairs, or 0."""
-    if not pairs:
-        word = asked_for(frequent, text.marks(1))
-        return word.astype(np.int64) + (word & text.next & _ahead(word, 1))
-    two = text.next & asked_for(frequent, text.marks(2))
-    three = two & _ahead(two, 1)
-    return 3 * three.astype(np.int64) + (three & _ahead(two, 2))
+def _reach(text: _Text, frequent: Broadcast) -> np.ndarray:
+    """How many words, 4 at most, the longest phrase to count from each word on has: no part of up to three words that is known to be rare is in it."""
+    word, pair, three = (text.joined(n) & asked_for(frequent, text.marks(n)) for n in (1, 2, 3))
+    two = word & pair & _ahead(word, 1)
+    third = two & _ahead(two, 1) & three
+    return word.astype(np.int64) + two + third + (third & _ahead(third, 1))
 
 
 def _rough(batches):
-    """(id, n): hashes of words, added up over as many as are held at once."""
+    """(id, n): hashes of one to three words, added up over as many as are held at once."""
     held, size = [], 0
     for batch in chunks(batches, "text", _BATCH):
-        held.append(_Text(batch.column(0), batch.column(1)).marks(1))
-        size += len(held[-1])
+        text = _Text(batch.column(0), batch.column(1))
+        for n in (1, 2, 3):
+            held.append(text.marks(n)[text.joined(n)])
+            size += len(held[-1])
         if size > _HASHES:
             yield _added(held)
             held, size = [], 0
@@ -174,48 +182,51 @@ def _added(held: list[np.ndarray]) -> pa.RecordBatch:
 _RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
 
-def _run(spilled: tuple[np.ndarray, np.ndarray, np.ndarray], longer: bool, known: list[bytes], langs: list[str]):
-    """Spilled subtrees' phrases of one and two words, or of three and four, in their order: a sorted run, in pieces."""
+def _spill(trie: HatTrie, keep: int, known: dict[bytes, int], langs: dict[str, int]):
+    """Sorted runs of the largest subtrees, until `keep` entries are left."""
+    spelt, langs_ = pa.array(list(known), pa.large_binary()).cast(pa.large_string()), pa.array(list(langs), pa.large_string())
+    while trie.size > keep:
+        yield from _run(trie.spill(max(keep, trie.size - _RUN_ENTRIES)), spelt, langs_)
+
+
+def _run(spilled: tuple[np.ndarray, np.ndarray, np.ndarray], spelt: pa.Array, langs: pa.Array):
+    """Spilled subtrees' phrases of one to four words, in their order: a sorted run, in pieces."""
     first, rest, n = spilled
-    if not len(first):
-        return
-    # a sequence of two words also begins with one, one of four with three
-    short = _BITS if longer else 3 * _BITS
-    more = (rest & _MASK if longer else rest >> 2 * _BITS) > 0
-    levels = [distinct(first, rest >> short << short, n), (first[more], rest[more], n[more])]
+    # a sequence of four words is also one of its first three, and so on
+    levels = [distinct(first, np.zeros_like(rest), n)]
+    for k in (2, 1, 0):
+        longer = (rest >> k * _BITS & _MASK) > 0
+        levels.append(distinct(first[longer], rest[longer] >> k * _BITS << k * _BITS, n[longer]))
     first, rest, n = (np.concatenate(x) for x in zip(*levels))
     ids = [first & _MASK, rest >> 2 * _BITS, rest >> _BITS & _MASK, rest & _MASK]
-    spelt = pa.array(known, pa.large_binary()).cast(pa.large_string())
     phrase = pc.binary_join_element_wise(*[spelt.take(pa.array(i - 1, mask=i == 0)) for i in ids], pa.scalar(" ", pa.large_string()), null_handling="skip")
-    lang = pa.array(langs, pa.large_string()).take(pa.array(first >> _BITS))
+    lang = langs.take(pa.array(first >> _BITS))
     table = pa.table({"lang": lang, "phrase": phrase, "words": sum((i > 0).astype(np.int32) for i in ids), "n": n})
     table = table.take(pc.sort_indices(table, sort_keys=[("lang", "ascending"), ("phrase", "ascending")]))
     for batch in table.to_batches(max_chunksize=20_000):
         yield batch.cast(_RUN)
 
 
-def _count(frequent: Broadcast, longer: bool, most: int):
+def _count(frequent: Broadcast, most: int):
     def run(batches):
         trie, known, langs, size, total = HatTrie(), {}, {}, 0, {}
         for batch in chunks(batches, "text", _BATCH):
             text = _Text(batch.column(0), batch.column(1))
             for lang, n in zip(text.langs, np.bincount(text.lang_of_word, minlength=len(text.langs)).tolist()):
                 total[lang] = total.get(lang, 0) + n
-            reach = _reach(text, frequent, longer)
-            # words of phrases alone get numbers
-            used = np.max([np.r_[np.zeros(min(k, len(reach)), bool), (reach > k)[: len(reach) - min(k, len(reach))]] for k in range(4)], axis=0)
-            spelt = text.spelt(used)
+            reach = _reach(text, frequent)
+            spelt = text.spelt(reach > 0)
             new = spelt.dictionary.to_pylist()
             if len(known) + len(new) > _MASK - 1 or size > _WORD_BYTES:
-                yield from _run(trie.spill(), longer, list(known), list(langs))
+                yield from _spill(trie, 0, known, langs)
                 known, langs, size = {}, {}, 0
             before = len(known)
             number = np.array([known.setdefault(w, len(known) + 1) for w in new] or [0], np.int64)
             size += sum(map(len, new)) if len(known) > before else 0
             lang = np.array([langs.setdefault(x, len(langs)) for x in text.langs] or [0], np.int64)
-            ids = np.zeros(len(reach) + 4, np.int64)
-            ids[np.flatnonzero(used)] = number[np.asarray(spelt.indices)] if len(spelt) else 0
             at = np.flatnonzero(reach)
+            ids = np.zeros(len(reach) + 4, np.int64)
+            ids[at] = number[np.asarray(spelt.indices)] if len(at) else 0
             first = lang[text.lang_of_word[at]] << _BITS | ids[at]
             lone = reach[at] == 1
             trie.add(*distinct(first[lone], np.zeros(lone.sum(), np.int64)))
@@ -223,47 +234,29 @@ def _count(frequent: Broadcast, longer: bool, most: int):
             rest = sum(np.where(reach[at] > k, ids[at + k], 0) << (3 - k) * _BITS for k in (1, 2, 3))
             trie.add(*distinct(first, rest))
             if trie.size > most:
-                yield from _run(trie.spill(most // 2), longer, list(known), list(langs))
-        yield from _run(trie.spill(), longer, list(known), list(langs))
-        if total and not longer:
+                yield from _spill(trie, most // 2, known, langs)
+        yield from _spill(trie, 0, known, langs)
+        if total:
             yield pa.RecordBatch.from_pylist([{"lang": k, "phrase": "", "words": 0, "n": n} for k, n in total.items()], _RUN)
 
     return run
 
 
-def _merged(texts: DataFrame, frequent: Broadcast, longer: bool, least: int, most: int) -> DataFrame:
-    """(lang, phrase, words, a) of what occurs `least` times, as a stored table; words 0 stands for all words of a language."""
-    runs = materialise(texts.mapInArrow(_count(frequent, longer, most), "lang string, phrase string, words int, n long"), "phrase-runs")
-    merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("a"))
-    found = materialise(merged.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")
-    discard(runs)
-    return found
-
-
-def _pair_marks(batches):
-    for batch in batches:
-        text = _Text(batch.column(0), batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(text.marks(2)[text.words.first[:-1]])], ["id"])
-
-
-def _bitmap(ids: DataFrame) -> Broadcast:
-    held, seen = observed(ids, "frequent-hashes")
-    out = bitmap(held, F.col("id"), bits_for(seen["n"]))
-    discard(held)
-    return out
-
-
 def phrase_counts(docs: DataFrame, least: int = 30, most_entries: int = MOST_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, a) of phrases of 1 to 4 words that occur at least `least` times, (lang, n) of all words).
 
-    Both are of stored tables. most_entries bounds what a task's trie holds before it spills.
+    Both are of a stored table. most_entries bounds what a task's trie holds before it spills.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    rough = texts.mapInArrow(_rough, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    short = _merged(texts, _bitmap(rough.where(F.col("n") >= least).select("id")), False, least, most_entries)
-    pairs = short.where("words = 2").select("phrase", "lang").mapInArrow(_pair_marks, "id long")
-    long_ = _merged(texts, _bitmap(pairs), True, least, most_entries)
-    return short.where("words > 0").unionByName(long_), short.where("words = 0").select("lang", F.col("a").alias("n"))
+    rough = texts.mapInArrow(_rough, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    ids, seen = observed(rough.select("id"), "frequent-hashes")
+    frequent = bitmap(ids, F.col("id"), bits_for(seen["n"]))
+    discard(ids)
+    runs = materialise(texts.mapInArrow(_count(frequent, most_entries), "lang string, phrase string, words int, n long"), "phrase-runs")
+    merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("a"))
+    found = materialise(merged.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")
+    discard(runs)
+    return found.where("words > 0"), found.where("words = 0").select("lang", F.col("a").alias("n"))
 
 
 #: Exact for any counts: decimals as wide as needed.
