@@ -201,7 +201,10 @@ OTHERS = (
 KINDS = {"bsd": ("bsd-2-clause", "bsd-3-clause")}
 #: Words that every notice of an unlisted licence has one of.
 WORDS = ("license", "licence", "licensed", "lizenziert", "spdx-license-identifier", "wtfpl", "warranty", "redistribute")
-_STOP = frozenset("a an and any are as at be by for from in is it may no of on or that the this to was were with you".split())
+_STOP = frozenset(
+    "a an and any are as at be by for from in is it may no of on or that the this to was were with you "
+    "de der die das dem den des du la le les el los las un una une dans en con".split()
+) | frozenset("bcdefghijklmnopqrstuvwxyz")
 _TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _LONGEST = 3
 
