@@ -16,6 +16,8 @@ from stratakeep.sources.shared import forget, stored
 _NAME = r"(?:`(?:[^`\\]|\\.)*+`|[\w$]++)"
 #: database.name or name, not followed by the parenthesis of a function
 _OBJECT = rf"{_NAME}(?:\.{_NAME})?+(?!\s*+[(.])"
+#: Kinds of dictionary sources that are never tables of the server's own.
+_ELSEWHERE = "MYSQL|POSTGRESQL|MONGODB|CASSANDRA|REDIS|HTTP|FILE|EXECUTABLE|EXECUTABLEPOOL|ODBC|JDBC|NULL"
 _REFERENCE = "array<struct<database:string,table:string>>"
 
 
@@ -58,7 +60,7 @@ def _call(statement: Column, engine: str, at: int, database: Column) -> Column:
 
 def _dictionary(statement: Column, database: Column) -> Column:
     """The table that a dictionary is filled from, if that is on this server."""
-    source = F.regexp_extract(statement, r"(?is)\bSOURCE\s*\(\s*CLICKHOUSE\s*\(((?:[^()']|'(?:[^'\\]|\\.)*+')*+)\)", 1)
+    source = F.regexp_extract(statement, r"(?is)\bSOURCE\s*\(\s*(?!(?:" + _ELSEWHERE + r")\b)\w+\s*\(((?:[^()']|'(?:[^'\\]|\\.)*+')*+)\)", 1)
     word = lambda key: F.regexp_extract(source, rf"(?is)\b{key}\s+'((?:[^'\\]|\\.)*+)'", 1)
     here = F.lower(word("HOST")).isin("", "localhost", "127.0.0.1", "::1")
     found = F.struct(F.coalesce(F.nullif(word("DB"), F.lit("")), database).alias("database"), word("TABLE").alias("table"))

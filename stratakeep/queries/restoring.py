@@ -45,7 +45,7 @@ def restore_rounds(spark, d):
         .when(m == 4, F.concat(F.lit("CREATE TABLE db."), at(0), F.lit(" (a Int32) ENGINE = Distributed('main', 'db', '"), at(-4), F.lit("', rand())")))
         .when(m == 5, view(F.lit("db."), at(-1), F.lit(" JOIN `db`.`"), at(-5), F.lit("` USING a"), F.when(q % 4 != 0, F.concat(F.lit(" LEFT JOIN "), at(-10), F.lit(" USING a"))).otherwise("")))
         .when(m == 6, F.concat(F.lit("CREATE MATERIALIZED VIEW db."), at(0), F.lit(" TO db."), at(-3), F.lit(" AS SELECT extract(YEAR FROM a) FROM db."), at(-1)))
-        .when(m == 7, F.concat(F.lit("CREATE DICTIONARY db."), at(0), F.lit(" (a Int32) PRIMARY KEY a SOURCE(CLICKHOUSE(HOST 'localhost' DB 'db' TABLE '"), at(-1), F.lit("')) LAYOUT(FLAT()) LIFETIME(0)")))
+        .when(m == 7, F.concat(F.lit("CREATE DICTIONARY db."), at(0), F.lit(" (a Int32) PRIMARY KEY a SOURCE(SERVER(HOST 'localhost' DB 'db' TABLE '"), at(-1), F.lit("')) LAYOUT(FLAT()) LIFETIME(0)")))
         .when(m == 8, view(F.lit("db."), F.when(q % 3 == 0, at(1)).otherwise(at(-1))))
         .otherwise(view(F.lit("db."), F.when((q % 3 != 0) & (q % 5 == 0), F.concat(F.lit("`t-"), k.cast("string"), F.lit("`"))).otherwise(at(-1))))
     )

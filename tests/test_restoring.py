@@ -59,9 +59,10 @@ STATEMENTS = {
     "ATTACH TABLE d (x Int32) ENGINE = Distributed('c', 'remote', 't', rand())": [("remote", "t")],
     "CREATE TABLE d (x Int32) ENGINE = Distributed(c, currentDatabase(), t)": [("db", "t")],
     "CREATE TABLE d (x Int32) ENGINE = Buffer('', 'dest', 1, 10)": [("db", "dest")],
-    "CREATE DICTIONARY dd (k Int32) PRIMARY KEY k SOURCE(CLICKHOUSE(HOST 'localhost' DB 'x' TABLE 'y')) LAYOUT(FLAT())": [("x", "y")],
-    "CREATE DICTIONARY dd (k Int32) PRIMARY KEY k SOURCE(CLICKHOUSE(HOST 'far' DB 'x' TABLE 'y')) LAYOUT(FLAT())": [],
-    "CREATE DICTIONARY dd (k Int32) PRIMARY KEY k SOURCE(CLICKHOUSE(QUERY 'SELECT k FROM q.r')) LAYOUT(FLAT())": [("q", "r")],
+    "CREATE DICTIONARY dd (k Int32) PRIMARY KEY k SOURCE(SERVER(HOST 'localhost' DB 'x' TABLE 'y')) LAYOUT(FLAT())": [("x", "y")],
+    "CREATE DICTIONARY dd (k Int32) PRIMARY KEY k SOURCE(SERVER(HOST 'far' DB 'x' TABLE 'y')) LAYOUT(FLAT())": [],
+    "CREATE DICTIONARY dd (k Int32) PRIMARY KEY k SOURCE(MYSQL(HOST 'localhost' DB 'x' TABLE 'y')) LAYOUT(FLAT())": [],
+    "CREATE DICTIONARY dd (k Int32) PRIMARY KEY k SOURCE(SERVER(QUERY 'SELECT k FROM q.r')) LAYOUT(FLAT())": [("q", "r")],
     "": [],
     None: [],
 }
