@@ -248,7 +248,8 @@ def phrase_counts(docs: DataFrame, least: int = 30, most_entries: int = MOST_ENT
     Both are of a stored table. most_entries bounds what a task's trie holds before it spills.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    rough = texts.mapInArrow(_rough, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # tasks have added up what they can, so that there is no more to do before the shuffle
+    rough = texts.mapInArrow(_rough, "id long, n long").repartition("id").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     ids, seen = observed(rough.select("id"), "frequent-hashes")
     frequent = bitmap(ids, F.col("id"), bits_for(seen["n"]))
     discard(ids)
