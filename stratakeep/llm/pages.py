@@ -1,14 +1,21 @@
-"""Main text of HTML pages (operator 2): landmarks where a page has them, a host suffix array elsewhere.
+"""Main text of HTML pages (operator 2): a host suffix array decides on every block, landmarks say how strictly.
 
 Repetition alone can't find the article: the same passage may stand in the articles of several
-pages, and an advert or a footer may be unlike any other. So an <article> or <main> element, where
-the parser finds one that isn't excluded, decides; the host suffix array decides on the body of all
-other pages. It is built over the token streams of what stands outside of landmarks on every page of
-a host. A block is boilerplate if long substrings that many of the host's pages have cover all of it:
-REPEAT tokens or more, on at least LEAST_PAGES pages of different content and LEAST_SHARE of all.
+pages, and an advert or a footer may be unlike any other. So every page goes through the array of
+its host, and an <article> or <main> element, where the parser finds one that isn't excluded, is a
+hint: what stands outside of it doesn't count as article, and what stands inside goes only by strong
+evidence. A block is boilerplate if long substrings that many of the host's pages have cover all of
+it: REPEAT tokens or more, outside of landmarks on at least LEAST_PAGES pages of different content
+and LEAST_SHARE of all; or inside, on INSIDE_PAGES pages of different articles and INSIDE_SHARE of
+all. The latter holds for blocks in landmarks alone, and not for copies of an article: where more
+than half of a page's landmarks is in blocks that begin with such substrings, they all stay.
+
 What longer substrings cover is what their stretches of REPEAT tokens cover, so the array is needed
 to that depth only: suffixes that agree so far stand next to each other in it, and these runs are
-found by a hash aggregate, so that a host of any size needs no task of its own.
+found by a hash aggregate, so that a host of any size needs no task of its own. A block that repeats
+cover begins with one. So of the suffixes in landmarks those are counted first that agree with the
+beginning of some block, and then those of blocks whose beginning is repeated; bitmaps of bounded
+size pick them, and let some others through that change nothing.
 """
 
 from __future__ import annotations
@@ -20,14 +27,18 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakeep.llm.store import materialise
-from stratakeep.llm.words import Words, chunks
+from stratakeep.llm.store import materialise, observed
+from stratakeep.llm.wanted import MOST_BITS, asked_for, bitmap, bits_for
+from stratakeep.llm.words import Words, chunks, mix
 
 REPEAT, LEAST_PAGES, LEAST_SHARE = 6, 3, 0.2
+#: Of what is inside of landmarks.
+INSIDE_PAGES, INSIDE_SHARE = 5, 0.5
 
 #: Fixed values of HTML: elements without an end tag, with raw text, and that begin and end blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -177,9 +188,9 @@ def _host():
     return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, position, prefix) of each suffix of blocks that has REPEAT tokens; prefix is the hash of the first
-    REPEAT of them. A shorter block is one suffix, at position 0."""
+def _suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, position, prefix, long) of each suffix of blocks that has REPEAT tokens; prefix is the hash of the first
+    REPEAT of them. A shorter block is one suffix, at position 0, and not long."""
     words = Words(pa.array(texts, pa.string()))
     hashes = words.hashes()
     grams, whole = words.grams(hashes, REPEAT)
@@ -188,98 +199,202 @@ def _suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(whole)
     lone = np.array([np.bitwise_xor.reduce(hashes[words.first[s] : words.first[s + 1]] * np.arange(1, 2 * length[s], 2, dtype=np.uint64)) for s in short], np.uint64)
     position = np.r_[at - words.first[line[at]], np.zeros(len(short), np.int64)].astype(np.int64)
-    return np.r_[line[at], short].astype(np.int64), position, np.r_[grams[at], lone].astype(np.uint64).view(np.int64)
+    is_long = np.arange(len(position)) < len(at)
+    return np.r_[line[at], short].astype(np.int64), position, np.r_[grams[at], lone].astype(np.uint64), is_long
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+_STORED = [("site", pa.int64()), ("page", pa.int64()), ("outside", pa.int64()), ("inside", pa.int64()), ("places", pa.binary()), ("text", pa.string())]
 
 
-def _everywhere(batches: Iterator[pa.RecordBatch]):
-    """(host, prefix, content), each prefix once a page, of what stands outside of landmarks, and one row with no prefix; content: of all that."""
+def _parsed(batches: Iterator[pa.RecordBatch]):
+    """Each page parsed: its host's hash, its own, those of what stands outside and inside of landmarks (null: it has none),
+    of each block where it stands, and all blocks, which hold no line feeds, joined by them."""
     for batch in chunks(batches, "html"):
-        texts, row, contents = [], [], []
-        for k, html in enumerate(batch.column(1).to_pylist()):
-            found = [b for b, where in blocks(html)[0] if where < 2]
-            contents.append(int.from_bytes(hashlib.blake2b("\n".join(found).encode(), digest_size=8).digest(), "little", signed=True))
+        rows = []
+        for html, host, page in zip(*(c.to_pylist() for c in batch.columns[:3])):
+            found, landmark = blocks(html)
+            of = ["\n".join(b for b, where in found if (where == 2) == inside) for inside in (False, True)]
+            rows.append((_hash(host), page, _hash(of[0]), _hash(of[1]) if landmark else None, bytes(where for _, where in found), "\n".join(b for b, _ in found)))
+        columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _STORED)]
+        yield pa.RecordBatch.from_arrays([*columns, *batch.columns[3:]], [*(n for n, _ in _STORED), *batch.schema.names[3:]])
+
+
+class _Array:
+    """The suffixes of a batch of parsed pages: of each its page's row, block's number on the page, position, prefix (of its host alone), and kinds."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        of = lambda name: batch.column(batch.schema.get_field_index(name))
+        texts, row, number = [], [], []
+        for k, text in enumerate(of("text").to_pylist()):
+            found = text.split("\n") if text else []
             texts += found
             row += [k] * len(found)
-        block, _, prefix = _suffixes(texts)
-        pairs = np.unique(np.stack([np.array(row, np.int64)[block], prefix], axis=1), axis=0) if len(block) else np.zeros((0, 2), np.int64)
-        pages = np.arange(batch.num_rows)
-        rows = np.r_[pairs[:, 0], pages]
-        prefixes = pa.array(np.r_[pairs[:, 1], np.zeros(len(pages), np.int64)], mask=np.arange(len(rows)) >= len(pairs))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), prefixes, pa.array(np.array(contents, np.int64)[rows])], ["host", "prefix", "content"])
+            number += range(len(found))
+        block, self.position, prefix, self.long = _suffixes(texts)
+        place = np.frombuffer(b"".join(of("places").to_pylist()), np.uint8)[block]
+        self.site, self.page, self.outside = (np.asarray(of(c)) for c in ("site", "page", "outside"))
+        self.has_landmark = np.asarray(of("inside").is_valid())
+        self.article = np.asarray(of("inside").fill_null(0))
+        self.row, self.number = np.array(row, np.int64)[block], np.array(number, np.int64)[block]
+        self.prefix = mix(prefix ^ self.site.view(np.uint64)[self.row]).view(np.int64)
+        # shorter blocks aren't long substrings: in landmarks they stay
+        self.inside = (place == 2) & self.long
+        self.around = place < 2
+        self.body = (place == 1) & ~self.has_landmark[self.row]
+        self.block = block
 
+    def begun_by(self, repeated: Broadcast) -> np.ndarray:
+        """Whether a suffix in landmarks is of a block whose beginning may be repeated."""
+        first = self.inside & (self.position == 0)
+        blocks_ = np.unique(self.block[first][asked_for(repeated, self.prefix[first])])
+        return self.inside & np.isin(self.block, blocks_)
 
-def _open_prefixes(batches: Iterator[pa.RecordBatch]):
-    """(host, page, block, position, prefix) of each suffix of the blocks that await a verdict."""
-    for batch in chunks(batches, "html"):
-        texts, row, number = [], [], []
-        for k, html in enumerate(batch.column(2).to_pylist()):
-            for j, (b, where) in enumerate(blocks(html)[0]):
-                if where == 1:
-                    texts.append(b)
-                    row.append(k)
-                    number.append(j)
-        block, position, prefix = _suffixes(texts)
-        rows = np.array(row, np.int64)[block] if len(block) else block
-        numbers = np.array(number, np.int64)[block] if len(block) else block
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(numbers), pa.array(position), pa.array(prefix)], ["host", "page", "block", "position", "prefix"])
-
-
-def _routed(batches: Iterator[pa.RecordBatch]):
-    """Of pages with a landmark their text, of all others their html; the other one is null."""
-    for batch in chunks(batches, "html"):
-        texts, left = [], []
-        for html in batch.column(0).to_pylist():
-            found, landmark = blocks(html)
-            texts.append("\n".join(b for b, where in found if where == 2) if landmark else None)
-            left.append(None if landmark else html)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(texts, pa.string()), *batch.columns[1:]], ["html", "text", *batch.schema.names[1:]])
 
+def _beginnings(batches: Iterator[pa.RecordBatch]):
+    """Prefixes of blocks in landmarks."""
+    for batch in chunks(batches, "text"):
+        a = _Array(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(a.prefix[a.inside & (a.position == 0)]))], ["prefix"])
 
-def _texts_left(batches: Iterator[pa.RecordBatch]):
-    """Text of pages without a landmark: the blocks that repeats don't cover."""
-    for batch in chunks(batches, "html"):
+
+def _of_begun(repeated: Broadcast):
+    """Prefixes of all suffixes of the blocks in landmarks whose beginning may be repeated."""
+
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            a = _Array(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(a.prefix[a.begun_by(repeated)]))], ["prefix"])
+
+    return run
+
+
+_SEEN = "site long, prefix long, content long, inside boolean"
+
+
+def _seen(asked: Broadcast):
+    """(site, prefix, content, inside), each prefix once a page: of suffixes outside of landmarks, and of those asked for inside;
+    and a row with no prefix for each content."""
+
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            a = _Array(batch)
+            for inside, content in ((False, a.outside), (True, a.article)):
+                at = np.flatnonzero(a.inside if inside else a.around)
+                at = at[asked_for(asked, a.prefix[at])] if inside else at
+                pairs = np.unique(np.stack([a.row[at], a.prefix[at]], axis=1), axis=0)
+                pages = np.flatnonzero(a.has_landmark) if inside else np.arange(batch.num_rows)
+                rows = np.r_[pairs[:, 0], pages]
+                prefix = pa.array(np.r_[pairs[:, 1], np.zeros(len(pages), np.int64)], mask=np.arange(len(rows)) >= len(pairs))
+                columns = [pa.array(a.site[rows]), prefix, pa.array(content[rows]), pa.array(np.full(len(rows), inside))]
+                yield pa.RecordBatch.from_arrays(columns, ["site", "prefix", "content", "inside"])
+
+    return run
+
+
+def _open(repeated: Broadcast):
+    """(page, block, position, prefix, inside) of suffixes that may be repeated, of blocks that await a verdict."""
+
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            a = _Array(batch)
+            at = np.flatnonzero(a.body | a.begun_by(repeated))
+            at = at[asked_for(repeated, a.prefix[at])]
+            columns = [a.page[a.row[at]], a.number[at], a.position[at], a.prefix[at], a.inside[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["page", "block", "position", "prefix", "inside"])
+
+    return run
+
+
+def _touched(pages: Broadcast, wanted: bool):
+    """The parsed pages that may have repeats, or the others."""
+
+    def run(batches):
+        for batch in chunks(batches, "text"):
+            has = asked_for(pages, np.asarray(batch.column(batch.schema.get_field_index("page"))))
+            yield batch.filter(pa.array(has == wanted))
+
+    return run
+
+
+def _texts(batches: Iterator[pa.RecordBatch]):
+    """The main text of parsed pages: their blocks less those that repeats cover."""
+    for batch in chunks(batches, "text"):
         texts = []
-        for html, covered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, places, landmark, covered in zip(*(c.to_pylist() for c in batch.columns[:4])):
             gone: dict[int, set[int]] = {}
             for c in covered or ():
                 gone.setdefault(c["block"], set()).update(range(c["position"], c["position"] + REPEAT))
-            kept = [b for j, (b, where) in enumerate(blocks(html)[0]) if where == 1 and not gone.get(j, set()).issuperset(range(len(b.split(" "))))]
-            texts.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], [*batch.schema.names[2:], "text"])
+            found = [(j, b) for j, (b, where) in enumerate(zip(text.split("\n"), places)) if where == (1 if landmark is None else 2)]
+            if gone and landmark is not None:
+                size = {j: b.count(" ") + 1 for j, b in found}
+                if 2 * sum(n for j, n in size.items() if 0 in gone.get(j, ())) > sum(size.values()):
+                    gone = {}  # a copy of an article
+            texts.append("\n".join(b for j, b in found if j not in gone or not gone[j].issuperset(range(b.count(" ") + 1))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[4:], pa.array(texts, pa.string())], [*batch.schema.names[4:], "text"])
+
+
+def _repeated(seen: DataFrame) -> DataFrame:
+    """(prefix, inside) of what enough different contents of a host have."""
+    counts = seen.distinct().groupBy("site", "prefix", "inside").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.where(f"prefix is null or n >= if(inside, {INSIDE_PAGES}, {LEAST_PAGES})"), "repeats")
+    totals = counts.where("prefix is null").select("site", "inside", F.col("n").alias("total"))
+    share = F.when(F.col("inside"), INSIDE_SHARE).otherwise(LEAST_SHARE)
+    return counts.where("prefix is not null").join(totals, ["site", "inside"]).where(F.col("n") >= share * F.col("total")).select("prefix", "inside")
+
+
+def _bitmap(ids: DataFrame, column: str, name: str) -> tuple[Broadcast, int]:
+    """A bitmap of a column's distinct values, and their number."""
+    ids, seen = observed(ids.select(column).distinct(), name)
+    return bitmap(ids, F.col(column), min(MOST_BITS, bits_for(seen["n"]) + 2)), seen["n"]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of pages (page_id, url, html).
 
-    A page in which the parser finds <article> or <main> elements (not in comments or scripts, nor
-    in excluded parts) gives their blocks, without what is excluded inside
-    them (navigation, headers, footers, asides, forms, comments, adverts, notices, hidden parts,
-    scripts and styles). Any other page gives the blocks of its body that aren't excluded, less
-    those that substrings of REPEAT tokens or more cover which LEAST_PAGES pages of different
-    content, and LEAST_SHARE of all, of its host have outside landmarks too (a shorter block: if
-    they have all of it). Blocks stay or go whole, and an article under several urls is one
-    content, so it stays. Character references are decoded, white space inside a block is one
-    space, blocks are joined by line feeds.
+    The parser cuts a page into blocks and leaves out what is excluded (navigation, headers,
+    footers, asides, forms, comments, adverts, notices, hidden parts, scripts and styles). Where it
+    finds <article> or <main> elements (not in comments or scripts, nor in excluded parts) their
+    blocks are open, else those of the body. Of these go the ones that substrings of REPEAT tokens
+    or more cover which LEAST_PAGES pages of different content, and LEAST_SHARE of all, of the host
+    have outside landmarks (on a page without landmarks a shorter block too: if they have all of
+    it), or, for blocks in landmarks, which INSIDE_PAGES different articles and INSIDE_SHARE of all
+    have inside. Copies of an article, of which more than half is in blocks that begin so, stay.
+    Blocks stay or go whole, and an article under several urls is one content, so it stays.
+    Character references are decoded, white space inside a block is one space, blocks are joined by
+    line feeds.
 
     Null and empty pages give an empty text. Pages without a host form one group. Rows alike in
-    page_id and url are the same page.
+    page_id, url and html are the same page.
     """
-    page = F.xxhash64("page_id", "url").alias("page")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    base = pages.select("page_id", "url", html.alias("html"))
-    # a page's own content counts once, whatever its urls
-    contents = base.select(_host().alias("host"), "html").mapInArrow(_everywhere, "host string, prefix long, content long").distinct()
-    counts = contents.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.where("prefix is null").select("host", F.col("n").alias("total"))
-    repeated = counts.where((F.col("n") >= LEAST_PAGES) & F.col("prefix").isNotNull()).join(totals, "host").where(F.col("n") >= LEAST_SHARE * F.col("total")).select("host", "prefix")
-
     ids = [pages.schema["page_id"], pages.schema["url"]]
-    text = T.StructField("text", T.StringType())
-    # the parser's own verdict on landmarks, once for each page, sends it one way or the other
-    routed = materialise(base.select("html", "page_id", "url").mapInArrow(_routed, T.StructType([T.StructField("html", T.StringType()), text, *ids])), "pages")
-    marked = routed.where("html is null").select("page_id", "url", "text")
-    rest = routed.where("html is not null")
-    open_ = rest.select(_host().alias("host"), page, "html").mapInArrow(_open_prefixes, "host string, page long, block long, position long, prefix long")
-    covered = open_.join(repeated, ["host", "prefix"], "left_semi").groupBy("page").agg(F.collect_set(F.struct("block", "position")).alias("covered"))
-    left = rest.select("html", "page_id", "url", page).join(covered, "page", "left").select("html", "covered", "page_id", "url").mapInArrow(_texts_left, T.StructType([*ids, text]))
-    return marked.unionByName(left).withColumn("n_chars", F.length("text").cast("long"))
+    base = pages.select(html.alias("html"), _host().alias("host"), F.xxhash64("page_id", "url", html).alias("page"), "page_id", "url")
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.StringType()]
+    stored = T.StructType([*(T.StructField(n, kind) for (n, _), kind in zip(_STORED, kinds)), *ids])
+    parsed = materialise(base.mapInArrow(_parsed, stored), "pages", compression="zstd")
+    array = parsed.select("site", "page", "outside", "inside", "places", "text")
+
+    starts, _ = _bitmap(array.mapInArrow(_beginnings, "prefix long"), "prefix", "beginnings")
+    repeated = materialise(_repeated(array.mapInArrow(_seen(starts), _SEEN)), "repeated")
+    # inside of landmarks only beginnings of blocks are counted by now: the rest of those blocks follows
+    map_, _ = _bitmap(repeated, "prefix", "repeated-beginnings")
+    rest, n = _bitmap(array.mapInArrow(_of_begun(map_), "prefix long"), "prefix", "begun")
+    if n:
+        inside = _repeated(array.mapInArrow(_seen(rest), _SEEN).where("inside"))
+        repeated = materialise(repeated.unionByName(inside), "repeated")
+        map_, _ = _bitmap(repeated, "prefix", "all-repeated")
+    where = repeated.groupBy("prefix").agg(F.min("inside").alias("only_inside"))
+    open_ = array.mapInArrow(_open(map_), "page long, block long, position long, prefix long, inside boolean")
+    covered = open_.join(where, "prefix").where("inside or not only_inside").groupBy("page").agg(F.collect_set(F.struct("block", "position")).alias("covered"))
+    covered = materialise(covered, "covered")
+
+    touched, _ = _bitmap(covered, "page", "touched")
+    columns = ["text", "places", "inside", "covered", "page_id", "url"]
+    left = parsed.mapInArrow(_touched(touched, False), stored).withColumn("covered", F.lit(None).cast(covered.schema["covered"].dataType)).select(columns)
+    joined = parsed.mapInArrow(_touched(touched, True), stored).join(covered, "page", "left").select(columns)
+    out = T.StructType([*ids, T.StructField("text", T.StringType())])
+    return left.mapInArrow(_texts, out).unionByName(joined.mapInArrow(_texts, out)).withColumn("n_chars", F.length("text").cast("long"))

@@ -120,3 +120,74 @@ def test_route_by_parser(spark):
     rows = [(k, "https://h.example/", p.format(k, k, k, k)) for k, p in enumerate(pages)]
     got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert rows_of(got, "page_id", "text") == [(k, f"The body of page {k} w{k} x{k} y{k}") for k in range(len(pages))]
+
+
+def landmarks_by_counting(pages, n=6):
+    """The texts of (host, html), by plain search: pages with landmarks by what repeats inside and outside of them."""
+    from stratakeep.llm.pages import INSIDE_PAGES, INSIDE_SHARE, LEAST_PAGES, LEAST_SHARE
+    from stratakeep.llm.pages import blocks as found
+
+    windows = lambda b: [tuple(b.split(" ")[i : i + n]) for i in range(b.count(" ") + 2 - n)]
+    parsed = [(host, *found(html)) for host, html in pages]
+    outside, inside = {}, {}
+    for host, bs, landmark in parsed:
+        outside.setdefault(host, set()).add(tuple(b for b, w in bs if w < 2))
+        if landmark:
+            inside.setdefault(host, set()).add(tuple(b for b, w in bs if w == 2))
+
+    def repeated(contents, least, share):
+        seen = {}
+        for c in contents:
+            for w in {w for b in c for w in windows(b)}:
+                seen[w] = seen.get(w, 0) + 1
+        return {w for w, k in seen.items() if k >= least and k >= share * len(contents)}
+
+    out = []
+    for (host, bs, landmark), counted in zip(parsed, repeats_by_counting(pages)):
+        if not landmark:
+            out.append(counted)
+            continue
+        again = repeated(outside[host], LEAST_PAGES, LEAST_SHARE) | repeated(inside[host], INSIDE_PAGES, INSIDE_SHARE)
+        open_ = [b for b, w in bs if w == 2]
+        begun = sum(b.count(" ") + 1 for b in open_ if windows(b) and windows(b)[0] in again)
+        covered = lambda b: {k for i, w in enumerate(windows(b)) if w in again for k in range(i, i + n)}  # noqa: B023, E731
+        copy = 2 * begun > sum(b.count(" ") + 1 for b in open_)
+        out.append("\n".join(b for b in open_ if copy or len(covered(b)) <= b.count(" ")))
+    return out
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(k, f"https://{h}.example/{k}", html) for k, (h, html) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(main_text(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_repeats_decide_inside_of_landmarks_too(spark):
+    """An unmarked notice in a host's articles goes, wherever it repeats; quotations, copies of an article and short blocks stay."""
+    words = lambda k, n=20: " ".join(f"w{k}x{i}" for i in range(n))
+    notice, footer, quoted = "Subscribe to our weekly newsletter for more stories", "All rights reserved by the makers of this site", "To be or not to be that is the question"
+    pages = [("h", f"<article><p>{words(k)}</p><p>Short.</p><p>{notice}</p><p>{words(-k - 1)}</p>{f'<p>{quoted}</p>' if k < 4 else ''}</article><footer>{footer}</footer><div>Page {k}</div>") for k in range(9)]
+    pages += [("h", f"<article><p>{words(50)}</p><p>{footer}</p></article>")]
+    copy = [f"<p>{words(60 + i)}</p>" for i in range(5)]
+    pages += [("g", "<article>" + "".join(copy[:k] + [f"<p>{words(70 + k)}</p>"] + copy[k + 1 :]) + "</article>") for k in range(5)]
+    pages += [("g", f"<article><p>{words(80 + k)}</p></article>") for k in range(3)]
+    got = texts_of(spark, pages)
+    assert got[0] == f"{words(0)}\nShort.\n{words(-1)}\n{quoted}" and got[8] == f"{words(8)}\nShort.\n{words(-9)}" and got[9] == words(50)
+    assert all(t.count("\n") == 4 for t in got[10:15])
+    assert got == landmarks_by_counting(pages)
+
+
+def test_landmarks_are_those_counted(spark):
+    import random
+
+    rng = random.Random(7)
+    sentence = lambda n: " ".join(rng.choice("one two three four five six seven eight nine ten".split()) for _ in range(n))
+    common, pages = [sentence(n) for n in (3, 6, 7, 9, 12)], []
+    for _ in range(60):
+        body = [rng.choice(common) + (" " + sentence(3) if rng.random() < 0.3 else "") if rng.random() < 0.45 else sentence(rng.randint(1, 14)) for _ in range(rng.randint(1, 9))]
+        around = "".join(f"<p>{rng.choice(common)}</p>" for _ in range(rng.randint(0, 2)))
+        body = "".join(f"<p>{b}</p>" for b in body)
+        pages.append((rng.choice("aabc"), around + (f"<article>{body}</article>" if rng.random() < 0.8 else body)))
+    pages += pages[:3]
+    want, got = landmarks_by_counting(pages), texts_of(spark, pages)
+    plain = [article(html) for _, html in pages]
+    assert got == want and sum(w != p and p != "" for w, p in zip(want, plain)) > 5
