@@ -1,7 +1,7 @@
 """Phrase collocations by HAT-trie counting (operator 11).
 
 Every task counts word sequences in a burst trie: first words lead to hash containers, and a
-container that grows too large bursts into a node by second words. When the trie holds too much,
+container that grows too large bursts into a node by ranges of second words. When the trie holds too much,
 whole subtrees, the largest first, are spilled as sorted runs of (phrase, count). The runs of all
 tasks are a table, whose rows are merged by ranges of phrases, that is by intervals of the sorted
 trie: a range may begin inside a prefix, so that a prefix which very many phrases share is spread.
@@ -10,6 +10,10 @@ The texts are read twice. A phrase that occurs `least` times has only parts that
 adds up hashes of words and of what two and three of them make, and the second counts phrases that
 have no such part whose hash is too rare. What is frequent goes to the tasks as a bitmap of bounded size; what
 it lets through by chance is counted exactly and then dropped, so nothing depends on it but time.
+
+A phrase leaves every counting task that meets it. So the second pass takes the table's partitions
+together, into as few tasks as keep all cores busy or more where these would have too much text: the
+runs then follow the phrases there are, not phrases times partitions.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from stratakeep.llm.store import discard, materialise, observed
@@ -35,17 +39,20 @@ _IS_WORD[[0x20, 0x09]] = False
 
 _BITS = 20  # of a word's number within a task; 0 is no word
 _MASK = (1 << _BITS) - 1
+_RANGE = 2 * _BITS + 8  # 256 second words share a container: most have few sequences, and a dict for each takes more than they do
 #: Entries of one container, of a task's trie, and bytes of text taken at once.
 BURST, MOST_ENTRIES, _BATCH = 4096, 1_000_000, 1 << 20
 #: Entries of one sorted run, about.
 _RUN_ENTRIES = 100_000
 #: Bytes of words that a task numbers before it starts anew, and hashes that it adds up at once.
 _WORD_BYTES, _HASHES = 1 << 24, 1 << 20
+#: Bytes of text of one counting task, where one for each core would have more.
+_TASK_BYTES = 1 << 28
 _U = np.uint64
 
 
 class Node(dict):
-    """A burst container: second word -> container of what follows it."""
+    """A burst container: range of second words -> container of what begins with one of them."""
 
 
 class HatTrie:
@@ -65,7 +72,7 @@ class HatTrie:
             grown = 0
             if type(tree) is Node:
                 for k in range(a, b):
-                    container = tree.setdefault(rests[k] >> 2 * _BITS, {})
+                    container = tree.setdefault(rests[k] >> _RANGE, {})
                     had = container.get(rests[k])
                     container[rests[k]] = numbers[k] + (had or 0)
                     grown += had is None
@@ -77,7 +84,7 @@ class HatTrie:
                 if len(tree) > self.burst:
                     node = self.root[f] = Node()
                     for key, n in tree.items():
-                        node.setdefault(key >> 2 * _BITS, {})[key] = n
+                        node.setdefault(key >> _RANGE, {})[key] = n
             self.sizes[f] = self.sizes.get(f, 0) + grown
             self.size += grown
 
@@ -248,11 +255,15 @@ def phrase_counts(docs: DataFrame, least: int = 30, most_entries: int = MOST_ENT
     Both are of a stored table. most_entries bounds what a task's trie holds before it spills.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    rough = texts.mapInArrow(_rough, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    size = Observation()
+    read = texts.observe(size, F.sum(F.octet_length("text")).alias("bytes"))
+    rough = read.mapInArrow(_rough, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     ids, seen = observed(rough.select("id"), "frequent-hashes")
-    frequent = bitmap(ids, F.col("id"), bits_for(seen["n"]))
+    frequent = bitmap(ids, F.col("id"), bits_for(4 * seen["n"]))  # most sequences are rare: one in a hundred gets through
     discard(ids)
-    runs = materialise(texts.mapInArrow(_count(frequent, most_entries), "lang string, phrase string, words int, n long"), "phrase-runs")
+    much = size.get["bytes"] if seen["n"] else 0  # where nothing is frequent, tries stay empty; an empty table gives no sum
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-much // _TASK_BYTES))
+    runs = materialise(texts.coalesce(tasks).mapInArrow(_count(frequent, most_entries), "lang string, phrase string, words int, n long"), "phrase-runs")
     merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("a"))
     found = materialise(merged.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")
     discard(runs)

@@ -116,3 +116,37 @@ def test_trie_bursts_and_spills():
     assert spilled == want and trie.size == 0 and not trie.root
     trie.add(*distinct(np.zeros(0, np.int64), np.zeros(0, np.int64)))
     assert [len(x) for x in trie.spill()] == [0, 0, 0]
+
+
+def test_runs_follow_phrases_not_partitions(spark, monkeypatch):
+    """A phrase leaves each counting task that meets it: tables in many partitions are counted in few tasks."""
+    from pyspark.sql import functions as F
+
+    rows, stored = {}, phrases.materialise
+
+    def materialise(df, name, compression=None):
+        out = stored(df, name, compression)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(phrases, "materialise", materialise)
+    docs = spark.range(0, 960, 1, 96).select(F.lit("one two three. four five").alias("text"), F.lit("en").alias("lang"))
+    found, totals = phrase_counts(docs)
+    want = [("en", p, len(p.split()), 960) for p in ("five", "four", "four five", "one", "one two", "one two three", "three", "two", "two three")]
+    assert sorted(map(tuple, found.collect())) == want and [tuple(r) for r in totals.collect()] == [("en", 4800)]
+    few = rows["phrase-runs"]
+    assert few <= (len(want) + 1) * spark.sparkContext.defaultParallelism
+    # more text than a task should have: more tasks, the same counts
+    monkeypatch.setattr(phrases, "_TASK_BYTES", 24 * 960 // 40)
+    found, _ = phrase_counts(docs)
+    assert sorted(map(tuple, found.collect())) == want and rows["phrase-runs"] > few
+
+
+def test_burst_node_has_few_containers():
+    """Second words share containers, as a dict for each would take more than its entries do."""
+    trie, seconds = HatTrie(burst=16), np.arange(1, 1001)
+    trie.add(*distinct(np.ones(1000, np.int64), seconds << 40))
+    assert isinstance(trie.root[1], Node) and len(trie.root[1]) <= 4
+    trie.add(*distinct(np.ones(1000, np.int64), seconds << 40))
+    first, rest, n = trie.spill()
+    assert trie.size == 0 and sorted((rest >> 40).tolist()) == seconds.tolist() and set(n.tolist()) == {2} and len(first) == 1000
